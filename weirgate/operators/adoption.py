@@ -56,7 +56,11 @@ def stage_claims(claims: DataFrame) -> DataFrame:
 
 
 def indicators_from_json(resources: DataFrame, json_column: str, kind: Column) -> DataFrame:
-    """One row per database signal among the keys or values of each resource's JSON object."""
+    """One row per database signal among the keys or values of each resource's JSON object.
+
+    Text without a signal and without an escape that could hide one is not parsed at all.
+    """
+    resources = resources.filter(signal(F.col(json_column)) | F.col(json_column).contains("\\"))
     entries = F.map_entries(F.from_json(F.col(json_column), "map<string,string>"))
     hits = F.filter(entries, lambda e: signal(e["key"]) | F.coalesce(signal(e["value"]), F.lit(False)))
     return resources.withColumn("__hit", F.explode(hits)).select(
@@ -68,6 +72,13 @@ def indicators_from_json(resources: DataFrame, json_column: str, kind: Column) -
     )
 
 
+def has_signal(json_text: Column) -> Column:
+    """Whether the JSON object of a resource has a database signal among its keys or values."""
+    entries = F.map_entries(F.from_json(json_text, "map<string,string>"))
+    found = F.exists(entries, lambda e: signal(e["key"]) | F.coalesce(signal(e["value"]), F.lit(False)))
+    return F.coalesce(found, F.lit(False))
+
+
 def stage_indicators(resource_keys: DataFrame) -> DataFrame:
     """Distinct database signals per release from rows of (resource, type, key)."""
     return (

@@ -66,27 +66,27 @@ def run_lifecycle(events: DataFrame, as_of: Column | None = None, timeout_second
     """One row per run from its START, COMPLETE, FAIL and ABORT events.
 
     Earliest start, latest end and its status. A run without an end is running, or stale once
-    ``timeout_seconds`` have passed. The counters combine before the shuffle, however chatty a run is.
+    ``timeout_seconds`` have passed. Only timestamps are aggregated, so this is a hash aggregate that
+    combines before the shuffle, however chatty a run is.
     """
-    is_end = F.col("event_type").isin(*END_STATUS)
-    ended = (
-        events.groupBy("run_id", "job_name")
-        .agg(
-            F.min(F.when(F.col("event_type") == "START", F.col("event_time"))).alias("start_time"),
-            F.max(F.when(is_end, F.struct("event_time", "event_type"))).alias("end"),
-        )
-    )
+    moments = [
+        F.min(F.when(F.col("event_type") == "START", F.col("event_time"))).alias("start_time"),
+        *[F.max(F.when(F.col("event_type") == e, F.col("event_time"))).alias(e) for e in END_STATUS],
+    ]
+    end = F.greatest(*END_STATUS)
     status = F.lit("running")
     if timeout_seconds is not None:
         overdue = seconds_between(F.col("start_time"), as_of) > timeout_seconds
         status = F.when(overdue, "stale").otherwise("running")
     for event_type, name in END_STATUS.items():
-        status = F.when(F.col("end")["event_type"] == event_type, name).otherwise(status)
-    return ended.select(
-        "run_id", "job_name", "start_time",
-        F.col("end")["event_time"].alias("end_time"),
-        status.alias("status"),
-        millis_between(F.col("start_time"), F.col("end")["event_time"]).alias("duration_ms"),
+        status = F.when(F.col(event_type) == F.col("end_time"), name).otherwise(status)
+    return (
+        events.groupBy("run_id", "job_name").agg(*moments)
+        .withColumn("end_time", end)
+        .select(
+            "run_id", "job_name", "start_time", "end_time", status.alias("status"),
+            millis_between(F.col("start_time"), F.col("end_time")).alias("duration_ms"),
+        )
     )
 
 

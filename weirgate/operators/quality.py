@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,10 +22,10 @@ def profile(df: DataFrame, freshness: str | None = None) -> DataFrame:
     return df.agg(total.alias("row_count"), newest.alias("freshness"), *rates)
 
 
-def file_profile(df: DataFrame) -> DataFrame:
-    """Files and bytes behind a file-backed table, from Spark's file metadata columns."""
-    files = df.select("_metadata.file_path", "_metadata.file_size").distinct()
-    return files.agg(F.count(F.lit(1)).alias("files"), F.sum("file_size").alias("bytes"))
+def file_profile(spark: SparkSession, path: str) -> DataFrame:
+    """Files and bytes below a path. Only the listing is read, not the files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("length")
+    return files.agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
 
 
 def null_violations(df: DataFrame, columns: Iterable[str]) -> DataFrame:

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from weirgate.functions.times import millis_between
-from weirgate.operators.windows import newest, previous_value
+from weirgate.operators.windows import newest, previous_value, running_total
 
 # Fixed values of the run model.
 ENVIRONMENTS = ("dev", "int", "prod")
@@ -16,6 +17,8 @@ STATUSES = ("pending", "running", "success", "failure", "cancelled")
 STATS_RUNS = 10
 HEALTH_RUNS = 5
 UNHEALTHY_FAILURES = 3
+# Pages ending within this many rows are taken as a top-N.
+DEEP_PAGE = 10_000
 
 
 def newest_first() -> list[Column]:
@@ -43,13 +46,28 @@ def filter_runs(
     return runs
 
 
-def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) -> DataFrame:
-    """One page in the given order, every row carrying the number of rows before paging.
+def page(df: DataFrame, limit: int, offset: int = 0, at: str = "start_time", tiebreak: str = "id") -> DataFrame:
+    """One page, newest first, every row carrying the number of rows before paging in ``total``.
 
-    Past the end the page is empty. The count is a scalar subquery, so nothing is gathered.
+    Past the end the page is empty. Early pages are a top-N. For a deep one the positions each instant
+    covers are counted first, and only the rows of the instants on the page are read and ordered.
     """
     total = df.agg(F.count(F.lit(1))).scalar()
-    return df.orderBy(*order).offset(offset).limit(limit).withColumn("total", total)
+    if offset + limit <= DEEP_PAGE:
+        return df.orderBy(F.col(at).desc(), F.col(tiebreak)).offset(offset).limit(limit).withColumn("total", total)
+    counted = running_total(df.select(at, F.lit(1).alias("__n")), (), at, "__n", "__upto")
+    newer = (total - F.col("__upto")).alias("__newer")
+    shown = counted.select(at, "__n", newer).filter(
+        (F.col("__newer") < offset + limit) & (F.col("__newer") + F.col("__n") > offset)
+    )
+    position = F.col("__newer") + F.row_number().over(W.partitionBy(at).orderBy(tiebreak))
+    return (
+        df.join(shown.drop("__n"), at)
+        .withColumn("__position", position)
+        .filter((F.col("__position") > offset) & (F.col("__position") <= offset + limit))
+        .orderBy("__position")
+        .select(*df.columns, total.alias("total"))
+    )
 
 
 def newest_runs(runs: DataFrame, n: int, keys: Sequence[str] = ("package", "environment")) -> DataFrame:

@@ -13,64 +13,69 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-# Spark's default limit for keeping only the first rows per key ahead of the shuffle.
-GROUP_LIMIT = 1000
-
 
 def newest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1, rank: str | None = None) -> DataFrame:
     """First ``n`` rows per key in the given order, with their 1-based position as ``rank`` when named.
 
     ``order`` has to end in a unique column, so ties cannot change the result. The filter on the row
-    number lets Spark drop all but ``n`` rows per key inside each map task.
+    number lets Spark drop all but ``n`` rows per key inside each map task (for ``n`` up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold``).
     """
-    if not 1 <= n <= GROUP_LIMIT:
-        raise ValueError(f"n must be between 1 and {GROUP_LIMIT}")
+    if n < 1:
+        raise ValueError("n must be at least 1")
     name = rank or "__position"
     position = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
     kept = df.withColumn(name, position).filter(F.col(name) <= n)
     return kept if rank else kept.drop(name)
 
 
-def _span(at: Column, span: str) -> Column:
-    return F.date_trunc(span, at)
-
-
 def running_total(
     df: DataFrame, keys: Sequence[str], at: str, amount: str, out: str, span: str = "hour"
 ) -> DataFrame:
     """Sum of ``amount`` over all rows of the key up to and including each instant.
 
-    One row per key and instant: rows of the same instant are added up first. A span's window holds at
-    most its distinct instants, and the carry window one row per span.
+    One row per key and instant: rows of the same instant are added up first. Each span starts with a row
+    holding the sum of all spans before it, so a span's window holds at most its distinct instants, the
+    window over spans one row per span, and no join is needed.
     """
-    instants = (
-        df.groupBy(*keys, at)
-        .agg(F.sum(amount).alias("__amount"))
-        .withColumn("__span", _span(F.col(at), span))
-    )
-    spans = instants.groupBy(*keys, "__span").agg(F.sum("__amount").alias("__total"))
+    instants = df.groupBy(*keys, at).agg(F.sum(amount).alias("__amount"))
+    dated = instants.withColumn("__span", F.date_trunc(span, F.col(at)))
     before = W.partitionBy(*keys).orderBy("__span").rowsBetween(W.unboundedPreceding, -1)
-    carried = spans.select(
-        *keys, "__span", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__carry")
+    carried = dated.groupBy(*keys, "__span").agg(F.sum("__amount").alias("__total")).select(
+        *keys,
+        F.lit(None).cast(df.schema[at].dataType).alias(at),
+        F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__amount"),
+        "__span",
+        F.lit(True).alias("__carry"),
+    )
+    inside = (
+        W.partitionBy(*keys, "__span").orderBy(F.col("__carry").desc(), at).rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    inside = W.partitionBy(*keys, "__span").orderBy(at).rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
-        instants.join(carried, [*keys, "__span"])
-        .withColumn(out, F.col("__carry") + F.sum("__amount").over(inside))
+        dated.withColumn("__carry", F.lit(False)).unionByName(carried)
+        .withColumn(out, F.sum("__amount").over(inside))
+        .filter(~F.col("__carry"))
         .select(*keys, at, F.col("__amount").alias(amount), out)
     )
 
 
 def previous_instant(df: DataFrame, keys: Sequence[str], at: str, out: str, span: str = "hour") -> DataFrame:
-    """Distinct instants of each key with the instant before; NULL for the first."""
-    instants = df.select(*keys, at).distinct().withColumn("__span", _span(F.col(at), span))
-    spans = instants.groupBy(*keys, "__span").agg(F.max(at).alias("__last"))
+    """Distinct instants of each key with the instant before; NULL for the first.
+
+    Each span starts with a copy of the last instant of the span before it.
+    """
+    instants = df.select(*keys, at).distinct().withColumn("__span", F.date_trunc(span, F.col(at)))
     over_spans = W.partitionBy(*keys).orderBy("__span")
-    carried = spans.select(*keys, "__span", F.lag("__last").over(over_spans).alias("__carry"))
+    carried = (
+        instants.groupBy(*keys, "__span").agg(F.max(at).alias("__last"))
+        .select(*keys, F.lag("__last").over(over_spans).alias(at), "__span", F.lit(True).alias("__carry"))
+        .filter(F.col(at).isNotNull())
+    )
     inside = W.partitionBy(*keys, "__span").orderBy(at)
     return (
-        instants.join(carried, [*keys, "__span"])
-        .withColumn(out, F.coalesce(F.lag(at).over(inside), F.col("__carry")))
+        instants.withColumn("__carry", F.lit(False)).unionByName(carried)
+        .withColumn(out, F.lag(at).over(inside))
+        .filter(~F.col("__carry"))
         .select(*keys, at, out)
     )
 
@@ -78,17 +83,22 @@ def previous_instant(df: DataFrame, keys: Sequence[str], at: str, out: str, span
 def previous_value(
     df: DataFrame, keys: Sequence[str], at: str, tiebreak: str, value: str, out: str, span: str = "day"
 ) -> DataFrame:
-    """``value`` of the row before, in order of time and tiebreak, as a new column; NULL for the first row."""
-    rows = df.withColumn("__span", _span(F.col(at), span))
-    last = F.max_by(F.struct(F.col(value).alias("v")), F.struct(at, tiebreak))
-    spans = rows.groupBy(*keys, "__span").agg(last.alias("__last"))
-    carried = spans.select(
-        *keys, "__span", F.lag("__last").over(W.partitionBy(*keys).orderBy("__span")).alias("__carry")
+    """``value`` of the row before, in order of time and tiebreak, as a new column; NULL for the first row.
+
+    Each span starts with a copy of the last row of the span before it.
+    """
+    rows = df.withColumn("__span", F.date_trunc(span, F.col(at)))
+    last = F.max_by(F.struct(at, tiebreak, value), F.struct(at, tiebreak))
+    carried = (
+        rows.groupBy(*keys, "__span").agg(last.alias("__last"))
+        .withColumn("__last", F.lag("__last").over(W.partitionBy(*keys).orderBy("__span")))
+        .filter(F.col("__last").isNotNull())
+        .select(*keys, "__span", "__last.*", F.lit(True).alias("__carry"))
     )
     inside = W.partitionBy(*keys, "__span").orderBy(at, tiebreak)
     return (
-        rows.join(carried, [*keys, "__span"])
-        .withColumn("__local", F.lag(F.struct(F.col(value).alias("v"))).over(inside))
-        .withColumn(out, F.coalesce("__local", "__carry")["v"])
-        .drop("__span", "__local", "__carry")
+        rows.withColumn("__carry", F.lit(False)).unionByName(carried, allowMissingColumns=True)
+        .withColumn(out, F.lag(value).over(inside))
+        .filter(~F.col("__carry"))
+        .drop("__span", "__carry")
     )

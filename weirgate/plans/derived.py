@@ -7,10 +7,13 @@ input tables. The few that need an array function differ between the two and are
 from __future__ import annotations
 
 import re
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirgate.session import written
+
 RUNS = """
 SELECT concat('run-', CAST(event_id AS STRING)) AS id,
        concat('pkg-', CAST(user_id % 50 AS STRING)) AS package,
@@ -203,8 +206,9 @@ class Tables:
     def edges(self) -> DataFrame:
         return self._doubled().select(_id("ds", "p_partkey").alias("src"), _id("ds", "next").alias("dst"))
 
-    @property
+    @cached_property
     def flow_edges(self) -> DataFrame:
+        """Datasets and the transforms between them, stored like any graph the operators would be given."""
         near = self._doubled().withColumn("position", F.col("next") * 2)
         usual = near.select(
             F.inline(
@@ -224,9 +228,9 @@ class Tables:
                 )
             )
         )
-        return usual.unionByName(other).distinct()
+        return written(usual.unionByName(other).distinct(), "graph")
 
-    @property
+    @cached_property
     def flow_nodes(self) -> DataFrame:
         edges = self.flow_edges
         ids = (
@@ -234,7 +238,8 @@ class Tables:
             .unionByName(self.part.select(_id("ds", "p_partkey").alias("id")))
             .distinct()
         )
-        return ids.withColumn("type", F.when(F.col("id").startswith("ds-"), "dataset").otherwise("transform"))
+        nodes = ids.withColumn("type", F.when(F.col("id").startswith("ds-"), "dataset").otherwise("transform"))
+        return written(nodes, "graph")
 
     @property
     def fields(self) -> DataFrame:

@@ -224,7 +224,7 @@ def quality_profile(t):
 
 @query("A18")
 def file_sizes(t):
-    return file_profile(t.lineitem)
+    return file_profile(t.spark, t.path("lineitem"))
 
 
 @query(

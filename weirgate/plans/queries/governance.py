@@ -1,12 +1,15 @@
 """Governance, retention and fingerprints."""
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from weirgate.operators import governance as V
 from weirgate.operators.fingerprint import fingerprints, table_fingerprint, verify
 from weirgate.plans.registry import query
 from weirgate.session import scratch_path, written
-from weirgate.sources.refresh import apply_retention
+from weirgate.sources.refresh import apply_partition_retention, apply_retention
+from weirgate.sources.writers import write_partitioned
 
 AS_OF = "2025-06-01"
 RANK = "CASE {c} WHEN 'public' THEN 0 WHEN 'internal' THEN 1 WHEN 'confidential' THEN 2 WHEN 'restricted' THEN 3 END"
@@ -102,6 +105,19 @@ def retention_delete(t):
     return t.spark.read.parquet(path)
 
 
+@query(
+    "L14",
+    """SELECT event_id, event_type, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%Y-%m-%d') < '2024-01-11' AS archived FROM events""",
+)
+def retention_by_day(t):
+    path, archive = scratch_path(t.spark, "days"), scratch_path(t.spark, "archive")
+    dated = t.events.select("event_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("date"))
+    write_partitioned(dated, path, "date")
+    apply_partition_retention(t.spark, path, "date", 20, date(2024, 1, 31), "archive", archive)
+    kept = t.spark.read.schema(dated.schema).parquet(path).withColumn("archived", F.lit(False))
+    return kept.unionByName(t.spark.read.schema(dated.schema).parquet(archive).withColumn("archived", F.lit(True)))
+
+
 def digest_sql(rows, keys="", salt="''"):
     """The fingerprint in DuckDB terms over a query giving ``txt`` and the keys."""
     prefix = f"{keys}, " if keys else ""

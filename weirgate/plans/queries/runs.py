@@ -45,7 +45,17 @@ def filtered_runs(t):
 )
 def runs_page(t):
     found = R.filter_runs(t.runs, environment="prod").select("id", "start_time")
-    return R.page(found, R.newest_first(), limit=20, offset=40)
+    return R.page(found, limit=20, offset=40)
+
+
+@query(
+    "G1",
+    """SELECT event_id AS id, ts AS start_time, (SELECT count(*) FROM events) AS total FROM events
+       ORDER BY ts DESC, event_id LIMIT 5000 OFFSET 7000""",
+)
+def deep_page(t):
+    events = t.events.select(F.col("event_id").alias("id"), F.col("ts").alias("start_time"))
+    return R.page(events, limit=5000, offset=7000)
 
 
 @query("F1", f"WITH {RANKED} SELECT package, environment, id, CAST(rn AS INTEGER) AS run_rank FROM ranked WHERE rn <= 10")

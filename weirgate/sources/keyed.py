@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from weirgate.operators.windows import newest
 from weirgate.session import written
+from weirgate.sources.writers import refresh_table, write_partitioned
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -83,13 +84,8 @@ def upsert_partitions(path: str, changes: DataFrame, keys: Sequence[str], order:
     kept = affected.join(latest.select(*keys), list(keys), "left_anti").select(*current.columns)
     result = written(kept.unionByName(latest.select(*current.columns)), "staged")
     emptied = touched.join(result.select(partition).distinct(), partition, "left_anti")
-    overwrite = "dynamic"
-    if not emptied.isEmpty():
-        untouched = current.join(touched, partition, "left_anti").select(*current.columns)
-        result, overwrite = written(untouched.unionByName(result), "staged"), "static"
-    (
-        result.write.mode("overwrite")
-        .option("partitionOverwriteMode", overwrite)
-        .partitionBy(partition)
-        .parquet(path)
-    )
+    if emptied.isEmpty():
+        write_partitioned(result, path, partition, mode="overwrite")
+        return
+    untouched = current.join(touched, partition, "left_anti").select(*current.columns)
+    refresh_table(untouched.unionByName(result), path, partition)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 from weirgate.contracts import Contract
 from weirgate.operators.fingerprint import table_fingerprint
 from weirgate.operators.governance import split_expired
+from weirgate.session import written
 from weirgate.sources.keyed import upsert
 from weirgate.sources.readers import inline_rows, read_seed_file
-from weirgate.sources.writers import create_if_absent, path_exists, refresh_table
-from weirgate.session import written
+from weirgate.sources.writers import create_if_absent, delete_path, path_exists, refresh_table, write_partitioned
 
 META_SCHEMA = "table_name string, profile string, checksum string, seeded_at timestamp, loaded boolean"
 
@@ -121,3 +122,32 @@ def apply_retention(
             raise RuntimeError("archive is incomplete; nothing was removed")
     refresh_table(kept, path)
     return gone
+
+
+def apply_partition_retention(
+    spark: SparkSession, path: str, partition: str, days: int, as_of: date, policy: str = "delete", archive_path: str | None = None
+) -> list[str]:
+    """Retention of a table with one folder per day (``partition=YYYY-MM-DD``); the days that are past it.
+
+    Whole folders are dropped, so no kept row is read or written. ``archive`` first appends the expired
+    days to ``archive_path`` and checks their number there; ``notify`` changes nothing.
+    """
+    if policy not in ("delete", "archive", "notify"):
+        raise ValueError(f"unknown deletion policy {policy!r}")
+    table = spark.read.parquet(path)
+    name = F.col(partition).cast("string")
+    first_kept = (as_of - timedelta(days=days)).isoformat()
+    gone = sorted(r[0] for r in table.select(name).distinct().collect() if r[0] < first_kept)
+    if policy == "notify" or not gone:
+        return gone
+    if policy == "archive":
+        if not archive_path:
+            raise ValueError("archive needs a path")
+        expired = table.filter(name < first_kept)
+        before = spark.read.parquet(archive_path).count() if path_exists(spark, archive_path) else 0
+        write_partitioned(expired, archive_path, partition)
+        if spark.read.parquet(archive_path).count() != before + expired.count():
+            raise RuntimeError("archive is incomplete; nothing was removed")
+    for day in gone:
+        delete_path(spark, f"{path.rstrip('/')}/{partition}={day}")
+    return gone

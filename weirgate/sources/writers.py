@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,17 +18,32 @@ from weirgate.session import written
 COMPRESSIONS = ("snappy", "gzip", "zstd")
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str):
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)
+    return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm_path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, jvm_path = _file_system(spark, path)
+    return fs.exists(jvm_path)
 
 
 def is_folder(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, jvm_path = _file_system(spark, path)
     return fs.exists(jvm_path) and fs.getFileStatus(jvm_path).isDirectory()
 
 
+def rename_path(spark: SparkSession, path: str, new: str) -> None:
+    fs, jvm_path = _file_system(spark, path)
+    if not fs.rename(jvm_path, _file_system(spark, new)[1]):
+        raise RuntimeError(f"could not rename {path} to {new}")
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, jvm_path = _file_system(spark, path)
+    fs.delete(jvm_path, True)
+
+
 def append_files(df: DataFrame, prefix: str, table: str, file_format: str = "parquet") -> str:
     """Append new files below ``prefix/table``; every table has its own format."""
     path = f"{prefix.rstrip('/')}/{table}"
@@ -44,17 +62,19 @@ def write_single_file(df: DataFrame, prefix: str, table: str, file_format: str =
 
 
 def write_partitioned(
-    df: DataFrame, path: str, partition_by: str, compression: str = "snappy", mode: str = "append"
+    df: DataFrame, path: str, partition_by: str, compression: str = "snappy", mode: str = "append", rebalance: bool = True
 ) -> None:
     """Compressed parquet with one folder per partition value.
 
-    Rows are not gathered by value first, so a value holding most rows is still written by many tasks.
-    With ``mode='overwrite'`` only the folders present in ``df`` are replaced.
+    Rows are rebalanced by value first: AQE joins small values into one task and splits a value holding
+    most rows over many, so files come out in a good size either way. Turn that off for input already
+    ordered by the value. With ``mode='overwrite'`` only the folders present in ``df`` are replaced.
     """
     if compression not in COMPRESSIONS:
         raise ValueError(f"compression must be one of {COMPRESSIONS}")
     (
-        df.write.mode(mode)
+        (df.hint("rebalance", partition_by) if rebalance else df)
+        .write.mode(mode)
         .option("compression", compression)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition_by)
@@ -62,18 +82,32 @@ def write_partitioned(
     )
 
 
-def refresh_table(df: DataFrame, path: str) -> int:
-    """Replace all rows and keep the table: the rows are staged and counted before the old ones go.
+def refresh_table(df: DataFrame, path: str, partition_by: str | None = None) -> int:
+    """Replace all rows of a parquet table: write beside it, check the number of rows, then swap.
 
-    ``df`` may read the same path. The staged copy stays in the scratch folder, so a failure while
-    replacing loses nothing.
+    ``df`` may read the same path. The old files go only once the new ones are in place; a failure before
+    that leaves them as they were.
     """
+    spark, tag = df.sparkSession, uuid.uuid4().hex
+    base = path.rstrip("/")
+    staged, old = f"{base}.staged-{tag}", f"{base}.old-{tag}"
     observed = Observation()
-    staged = written(df.observe(observed, F.count(F.lit(1)).alias("rows")), "staged")
+    writer = df.observe(observed, F.count(F.lit(1)).alias("rows")).write
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(staged)
     expected = observed.get["rows"]
-    if staged.count() != expected:
+    if spark.read.schema(df.schema).parquet(staged).count() != expected:
         raise RuntimeError(f"staged rows differ from the {expected} computed ones; {path} left as it was")
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+    had_old = path_exists(spark, base)
+    if had_old:
+        rename_path(spark, base, old)
+    try:
+        rename_path(spark, staged, base)
+    except Exception:
+        if had_old:
+            rename_path(spark, old, base)
+        raise
+    if had_old:
+        delete_path(spark, old)
     return expected
 
 
@@ -104,31 +138,34 @@ def refresh_relational(df: DataFrame, url: str, table: str, properties: Mapping[
 
 
 def fan_out(
-    tables: Mapping[str, DataFrame], destinations: Mapping[str, Callable[[str, DataFrame], None]]
+    tables: Mapping[str, DataFrame], destinations: Mapping[str, Callable[[str, DataFrame], None]], parallel: int = 4
 ) -> DataFrame:
     """Write every table to every destination; returns the sync summary.
 
     A table that goes to several destinations is staged once, so its source is read once. A failed write
-    is counted for its table and the others go on.
+    is counted for its table and the others go on. Up to ``parallel`` tables are written side by side.
     """
     spark = next(iter(tables.values())).sparkSession
-    summary: list[tuple] = []
-    for name, df in tables.items():
-        observed = Observation()
-        watched = df.observe(observed, F.count(F.lit(1)).alias("rows"))
-        source = watched
+
+    def sync(item: tuple[str, DataFrame]) -> list[tuple]:
+        name, df = item
+        observed, rows = Observation(), []
+        source = df.observe(observed, F.count(F.lit(1)).alias("rows"))
         try:
             if len(destinations) > 1:
-                source = written(watched, "fanout")
+                source = written(source, "fanout")
         except Exception as error:
-            summary += [(name, d, 0, 1, str(error)[:500]) for d in destinations]
-            continue
+            return [(name, d, 0, 1, str(error)[:500]) for d in destinations]
         for destination, write in destinations.items():
             try:
                 write(name, source)
-                summary.append((name, destination, observed.get["rows"], 0, None))
+                rows.append((name, destination, observed.get["rows"], 0, None))
             except Exception as error:
-                summary.append((name, destination, 0, 1, str(error)[:500]))
+                rows.append((name, destination, 0, 1, str(error)[:500]))
+        return rows
+
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        summary = [row for rows in pool.map(inheritable_thread_target(spark)(sync), tables.items()) for row in rows]
     return spark.createDataFrame(
         summary, "table_name string, destination string, rows_written bigint, errors int, error_message string"
     )
