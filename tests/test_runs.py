@@ -100,13 +100,21 @@ def test_no_runs(spark):
 @pytest.mark.parametrize("limit,offset", [(5, 0), (7, 30), (10, 595), (5, 5000)])
 @pytest.mark.parametrize("deep", [False, True])
 def test_pages(runs, histories, monkeypatch, limit, offset, deep):
-    monkeypatch.setattr(R, "DEEP_PAGE", 0 if deep else 10_000)
+    monkeypatch.setattr(R, "DEEP_PAGE", 0 if deep else 100_000)
     everything = sorted((r for (p, e), s in histories.items() for r in history(p, e, s)), key=lambda r: (-r[4].timestamp(), r[0]))
     got = R.page(runs, limit, offset).collect()
     assert [r.id for r in got] == [r[0] for r in everything[offset : offset + limit]]
     assert {r.total for r in got} <= {len(everything)}
 
 
+def test_pages_put_undated_rows_last(spark, monkeypatch):
+    rows = history("p", "dev", ["success"] * 5) + [(f"u{i}", "p", "dev", "success", None, 1, 1, "1") for i in range(4)]
+    expected = [r.id for r in R.page(frame(spark, rows), 9).collect()]
+    monkeypatch.setattr(R, "DEEP_PAGE", 0)
+    for offset in range(0, 9, 2):
+        assert [r.id for r in R.page(frame(spark, rows), 3, offset).collect()] == expected[offset : offset + 3]
+
+
 def test_filter_bounds_are_inclusive(spark):
     runs = frame(spark, history("p", "dev", ["success"] * 4))
     found = R.filter_runs(runs, package="p", since=START - timedelta(hours=2), until=START - timedelta(hours=1))

@@ -30,6 +30,11 @@ def test_ragged_csv_fails(spark, folder):
     path = write(folder, "t.csv", "id,name\n1,a\n2\n")
     with pytest.raises(Exception):
         S.read_csv(spark, path, Contract("x")).collect()
+    only_id = Contract.from_dict({"name": "x", "schema": [{"name": "id", "type": "integer"}]})
+    with pytest.raises(Exception):
+        S.read_csv(spark, path, only_id).collect()
+    with pytest.raises(Exception):
+        S.read_csv(spark, path, only_id).count()
 
 
 def test_empty_csv_fails(spark, folder):

@@ -145,3 +145,30 @@ def test_heartbeats_never_fail_the_query(spark, folder):
 def test_topic_stream_names_the_missing_module(spark):
     with pytest.raises(RuntimeError, match="spark-sql-kafka"):
         ingest.topic_stream(spark, "localhost:1", "t", schema_of(spark, EVENTS))
+
+
+def test_enrichment_runs_adaptively_on_the_current_users(spark, folder, monkeypatch):
+    schema, plans = schema_of(spark, EVENTS), []
+    users = "user_id bigint, user_name string, user_email string"
+
+    def watched(events, known):
+        joined = original(events, known)
+        plans.append(joined._jdf.queryExecution().executedPlan().toString())
+        return joined
+
+    original = ingest.enrich_events
+    monkeypatch.setattr(ingest, "enrich_events", watched)
+
+    def run():
+        stream = ingest.file_stream(spark, f"{folder}/in", schema)
+        ingest.run_available(ingest.enrich_stream(stream, lambda: spark.read.parquet(f"{folder}/users"), f"{folder}/out", f"{folder}/cp"))
+
+    land(spark, folder, "users", [(1, "ann", "ann@x")], users)
+    land(spark, folder, "in", [event(1, 1, 0), event(2, 2, 0)], EVENTS)
+    run()
+    land(spark, folder, "users", [(2, "bob", "bob@x")], users)
+    land(spark, folder, "in", [event(3, 2, 0)], EVENTS)
+    run()
+    got = {r.event_id: r.user_name for r in spark.read.parquet(f"{folder}/out").collect()}
+    assert got == {1: "ann", 2: None, 3: "bob"}
+    assert plans and all("AdaptiveSparkPlan" in p for p in plans)

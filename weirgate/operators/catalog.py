@@ -65,14 +65,17 @@ def resolve(records: DataFrame, labels: Mapping[str, str] | Iterable[str], const
 
 
 def dangling(references: DataFrame, known: DataFrame) -> DataFrame:
-    """References (dataset, kind, target) whose target is not among the known (kind, id)."""
-    return references.join(known.select("kind", F.col("id").alias("target")).distinct(), ["kind", "target"], "left_anti")
+    """References (dataset, kind, target) whose target is not among the known (kind, id).
+
+    Nothing is done to the known side before the join, so AQE can split a target with very many references.
+    """
+    return references.join(known.select("kind", F.col("id").alias("target")), ["kind", "target"], "left_anti")
 
 
 def unlocked(refs: DataFrame, lock: DataFrame) -> DataFrame:
     """Datasets whose schema reference names a module without a lock entry."""
     wanted = refs.filter(F.coalesce("schema_ref", F.lit("")) != "").withColumn("module", schema_ref_module(F.col("schema_ref")))
-    return wanted.join(lock.select("module").distinct(), "module", "left_anti")
+    return wanted.join(lock.select("module"), "module", "left_anti")
 
 
 def unlocked_modules(refs: DataFrame, lock: DataFrame) -> DataFrame:

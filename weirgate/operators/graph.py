@@ -116,15 +116,17 @@ def producers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def transform_dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Pairs (transform, depends_on): the transform reads a dataset the other one produces.
 
-    Each dataset has one producer, so an edge gives at most one pair however many read the dataset.
+    Each dataset has one producer, so an edge gives at most one pair however many read the dataset. The
+    producers are written first: joined as a plain table, a dataset with very many readers is split.
     A transform does not depend on itself.
     """
     transforms = nodes.filter(F.col("type") == "transform").select(F.col("id").alias("dst"))
     reads = edges.join(transforms, "dst", "left_semi").select(
         F.col("src").alias("dataset"), F.col("dst").alias("transform")
     )
+    produced = written(producers(nodes, edges).select("dataset", F.col("producer").alias("depends_on")), "producers")
     return (
-        reads.join(producers(nodes, edges).select("dataset", F.col("producer").alias("depends_on")), "dataset")
+        reads.join(produced, "dataset")
         .filter(F.col("transform") != F.col("depends_on"))
         .select("transform", "depends_on")
         .distinct()

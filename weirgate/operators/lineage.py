@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weirgate.functions.times import micros, millis_between, seconds_between
 from weirgate.operators.graph import reach
 from weirgate.operators.windows import previous_instant
+from weirgate.session import written
 
 # Event types that end a run, with the run status they stand for.
 END_STATUS = {"COMPLETE": "success", "FAIL": "failure", "ABORT": "cancelled"}
@@ -135,12 +136,11 @@ def pii_flow(fields: DataFrame) -> DataFrame:
 
     All marked columns start the search together, so each column is found once.
     """
-    flagged = fields.groupBy(column_id(F.col("dataset"), F.col("name")).alias("node"), "dataset").agg(
-        F.bool_or("pii").alias("pii")
-    )
-    seeds = flagged.filter("pii").select("node")
+    node = column_id(F.col("dataset"), F.col("name")).alias("node")
+    flagged = written(fields.groupBy(node, "dataset").agg(F.bool_or("pii").alias("pii")), "flagged")
+    marked = flagged.filter("pii").select(F.col("node").alias("src"))
     edges = _id_edges(fields)
-    below = reach(edges, edges.join(seeds, edges["src"] == seeds["node"], "left_semi").select(F.col("dst").alias("node")), "down")
+    below = reach(edges, edges.join(marked, "src", "left_semi").select(F.col("dst").alias("node")), "down")
     return below.select("node").join(flagged, "node").select(
         F.col("node").alias("column_id"), "dataset", F.col("pii").alias("marked")
     )

@@ -153,13 +153,15 @@ def custom_table(t):
         import pyarrow as pa
         import pyarrow.compute as pc
         import pyarrow.parquet as pq
+        from pyarrow.fs import FileSystem
 
-        for batch in pq.ParquetFile(file).iter_batches(columns=["event_id", "event_type", "value"]):
+        store, path = FileSystem.from_uri(file)
+        table = pq.ParquetFile(path, filesystem=store)
+        for batch in table.iter_batches(columns=["event_id", "event_type", "value"]):
             active = pc.greater(batch["value"], 10)
             yield pa.RecordBatch.from_arrays([batch["event_id"], batch["event_type"], active], ["id", "name", "active"])
 
-    files = [f.removeprefix("file://") for f in t.events.inputFiles()]
-    return read_resolved(t.spark, contract, resolver, files)
+    return read_resolved(t.spark, contract, resolver, t.events.inputFiles())
 
 
 @query(

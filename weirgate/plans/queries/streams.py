@@ -92,7 +92,7 @@ def stream_lifecycle(t):
 @query("T7", "SELECT event_id, user_id, event_type, user_name, user_email FROM events LEFT JOIN users USING (user_id)")
 def stream_enrichment(t):
     out, checkpoint = folders(t, "enrich")
-    ingest.run_available(ingest.enrich_stream(event_stream(t), t.users, out, checkpoint))
+    ingest.run_available(ingest.enrich_stream(event_stream(t), lambda: t.users, out, checkpoint))
     return t.spark.read.parquet(out).select("event_id", "user_id", "event_type", "user_name", "user_email")
 
 

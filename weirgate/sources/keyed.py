@@ -18,10 +18,15 @@ from weirgate.sources.writers import refresh_table, write_partitioned
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Changed rows replace those of the same key. Among changes of one key the first in ``order`` wins."""
-    latest = newest(changes.select(*current.columns, *_extra(changes, current)), keys, order)
+    """Changed rows replace those of the same key. Among changes of one key the first in ``order`` wins.
+
+    The winning changes are written to the scratch folder first. They are needed twice, and as a plain
+    table their size is known and Spark can split the join where a key has many rows.
+    """
+    columns = [*current.columns, *_extra(changes, current)]
+    latest = written(newest(changes.select(*columns), keys, order).select(*current.columns), "changes")
     kept = current.join(latest.select(*keys), list(keys), "left_anti")
-    return kept.select(*current.columns).unionByName(latest.select(*current.columns))
+    return kept.select(*current.columns).unionByName(latest)
 
 
 def _extra(changes: DataFrame, current: DataFrame) -> list[str]:
@@ -32,7 +37,7 @@ def apply_change_log(
     current: DataFrame, changes: DataFrame, keys: Sequence[str], position: str = "position", operation: str = "op"
 ) -> DataFrame:
     """Table after a log of inserts, updates and deletes: the last change of a key wins, a delete drops it."""
-    latest = newest(changes, keys, [F.col(position).desc()])
+    latest = written(newest(changes, keys, [F.col(position).desc()]), "changes")
     kept = current.join(latest.select(*keys), list(keys), "left_anti")
     alive = latest.filter(F.col(operation) != "delete")
     return kept.select(*current.columns).unionByName(alive.select(*current.columns))
@@ -41,16 +46,11 @@ def apply_change_log(
 def rejected_changes(current: DataFrame, changes: DataFrame, keys: Sequence[str], operation: str = "op") -> DataFrame:
     """Changes that cannot apply, with the reason: a create of a known key, or an update or delete of an
     unknown one."""
-    known = current.select(*keys).distinct().withColumn("__known", F.lit(True))
-    is_known = F.coalesce("__known", F.lit(False))
-    reason = F.when((F.col(operation) == "create") & is_known, "already exists").when(
-        F.col(operation).isin("update", "delete") & ~is_known, "not found"
-    )
-    return (
-        changes.join(known, list(keys), "left")
-        .withColumn("reason", reason)
-        .filter(F.col("reason").isNotNull())
-        .drop("__known")
+    known = current.select(*keys)
+    creates = changes.filter(F.col(operation) == "create").join(known, list(keys), "left_semi")
+    others = changes.filter(F.col(operation).isin("update", "delete")).join(known, list(keys), "left_anti")
+    return creates.withColumn("reason", F.lit("already exists")).unionByName(
+        others.withColumn("reason", F.lit("not found"))
     )
 
 

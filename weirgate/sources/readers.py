@@ -39,8 +39,9 @@ def read_files(spark: SparkSession, path: str, contract: Contract) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, contract: Contract) -> DataFrame:
     reader = spark.read.option("header", True).option("mode", "FAILFAST").option("escape", '"')
-    # Inference off: every column is text, named by the header of the file itself.
-    df = reader.option("inferSchema", False).csv(path)
+    # Every column is text, named by the header. Without pruning the parser sees whole rows, so a ragged
+    # one fails even when only some columns are used.
+    df = reader.option("inferSchema", False).option("columnPruning", False).csv(path)
     if not df.columns:
         raise ValueError(f"{contract.name}: CSV file has no header")
     return conform(df, contract) if contract.fields else df

@@ -66,12 +66,19 @@ def ingest_events(
     )
 
 
-def enrich_stream(events: DataFrame, users: DataFrame, path: str, checkpoint: str):
-    """Streamed events joined with the user table as it is in each batch; unknown users stay."""
-    return (
-        enrich_events(events, users).writeStream.format("parquet").outputMode("append")
-        .option("path", path).option("checkpointLocation", checkpoint)
-    )
+def enrich_stream(events: DataFrame, users: Callable[[], DataFrame], path: str, checkpoint: str):
+    """Streamed events joined with the user table as it is in each batch; unknown users stay.
+
+    Spark turns AQE off in streams. It is turned on again for the batch, so that a user with most of the
+    batch's events is split when the table is too large to broadcast. Each batch has its own folder,
+    replaced when the batch is retried.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.sparkSession.conf.set("spark.sql.adaptive.enabled", "true")
+        enrich_events(batch, users()).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 def on_change(
