@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weirgate.streaming import ingest, lifecycle, windows
+from weirgate.streaming.state import path_bytes, state_partitions, stateful_session
 
 START = datetime(2024, 1, 1)
 EVENTS = "event_id bigint, user_id bigint, event_type string, ts timestamp_ntz"
@@ -48,7 +49,7 @@ def test_counts_drop_and_count_late_rows(spark, folder):
     schema = schema_of(spark, EVENTS)
 
     def run():
-        counts = windows.user_counts(ingest.file_stream(spark, f"{folder}/in", schema), "10 minutes")
+        counts = windows.user_counts(ingest.file_stream(stateful_session(spark), f"{folder}/in", schema), "10 minutes")
         return ingest.run_available(windows.save_updates(counts, f"{folder}/out", f"{folder}/cp"))
 
     land(spark, folder, "in", [event(1, 1, 0), event(2, 1, 0.5), event(3, 2, 60)], EVENTS)
@@ -96,7 +97,7 @@ def test_lifecycle(spark, folder):
     schema = schema_of(spark, LINEAGE)
 
     def run():
-        rows = lifecycle.lifecycle_stream(ingest.file_stream(spark, f"{folder}/in", schema), 3600, "10 minutes")
+        rows = lifecycle.lifecycle_stream(ingest.file_stream(stateful_session(spark), f"{folder}/in", schema), 3600, "10 minutes")
         writer = rows.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out")
         ingest.run_available(writer.option("checkpointLocation", f"{folder}/cp"))
 
@@ -172,3 +173,13 @@ def test_enrichment_runs_adaptively_on_the_current_users(spark, folder, monkeypa
     got = {r.event_id: r.user_name for r in spark.read.parquet(f"{folder}/out").collect()}
     assert got == {1: "ann", 2: None, 3: "bob"}
     assert plans and all("AdaptiveSparkPlan" in p for p in plans)
+
+
+def test_state_partitions_follow_the_input(spark, folder):
+    cores = spark.sparkContext.defaultParallelism
+    assert state_partitions(spark) == cores and state_partitions(spark, 1) == cores
+    assert state_partitions(spark, 10**12) == -(-(10**12) // (32 * 1024 * 1024))
+    assert path_bytes(spark, f"{folder}/none") == 0
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert stateful_session(spark).conf.get("spark.sql.shuffle.partitions") == str(cores)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before

@@ -190,7 +190,8 @@ class Tables:
 
     @property
     def catalog(self) -> DataFrame:
-        return self.catalog_csv.withColumn("tags", F.split("tags_csv", ","))
+        updated = F.col("updated_at").cast("timestamp_ntz")
+        return self.catalog_csv.withColumn("tags", F.split("tags_csv", ",")).withColumn("updated_at", updated)
 
     def _doubled(self) -> DataFrame:
         part = self.part.select("p_partkey")

@@ -2,6 +2,7 @@
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from weirgate.contracts import Contract
@@ -10,7 +11,7 @@ from weirgate.plans.registry import query
 from weirgate.session import scratch_path
 from weirgate.sources.custom import read_resolved
 from weirgate.sources.keyed import apply_change_log
-from weirgate.sources.readers import inline_rows, read_cells, read_files, read_tables
+from weirgate.sources.readers import inline_rows, read_cells, read_files, read_json_array, read_tables
 
 EVENTS = Contract.from_dict(
     {
@@ -58,6 +59,21 @@ def csv_scan(t):
     return read_files(t.spark, path, CUSTOMERS)
 
 
+@query("S4", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def json_array_scan(t):
+    """Seed files of one JSON array each, every array holding one Arrow batch of the table."""
+    fields = [{"name": "s_suppkey", "type": "bigint"}, {"name": "s_name"}, {"name": "s_acctbal", "type": "float"}]
+
+    def arrays(batches):
+        for batch in batches:
+            yield pd.DataFrame({"value": [batch.to_json(orient="records", double_precision=15)]})
+
+    path = scratch_path(t.spark, "arrays")
+    packed = t.supplier.select("s_suppkey", "s_name", "s_acctbal").mapInPandas(arrays, "value string")
+    packed.write.option("maxRecordsPerFile", 1).text(path)
+    return read_json_array(t.spark, path, Contract.from_dict({"name": "suppliers", "schema": fields}))
+
+
 @query(
     "S8",
     """SELECT severity, count(*) AS events FROM events

@@ -6,6 +6,7 @@ from weirgate.plans.queries.events import RESHAPED, STAMP, raw_events, stamp
 from weirgate.plans.registry import query
 from weirgate.session import scratch_path
 from weirgate.streaming import ingest, lifecycle, windows
+from weirgate.streaming.state import path_bytes, stateful_session
 
 
 def folders(t, label):
@@ -17,6 +18,11 @@ def event_stream(t):
     return ingest.file_stream(t.spark, t.path("events"), t.events.schema)
 
 
+def stateful_event_stream(t):
+    path = t.path("events")
+    return ingest.file_stream(stateful_session(t.spark, path_bytes(t.spark, path)), path, t.events.schema)
+
+
 @query(
     "T1",
     f"""SELECT event_id, user_id, event_type, ts AS "timestamp", CAST(NULL AS VARCHAR) AS session,
@@ -33,7 +39,7 @@ def stream_ingest(t):
 @query("T2", "SELECT date_trunc('minute', ts) AS window_start, user_id, count(*) AS events FROM events GROUP BY 1, 2")
 def stream_user_counts(t):
     out, checkpoint = folders(t, "counts")
-    ingest.run_available(windows.save_updates(windows.user_counts(event_stream(t)), out, checkpoint))
+    ingest.run_available(windows.save_updates(windows.user_counts(stateful_event_stream(t)), out, checkpoint))
     return windows.latest_updates(t.spark, out, ["window_start", "user_id"])
 
 
@@ -64,7 +70,7 @@ def stream_on_change(t):
 )
 def stream_rates(t):
     out, checkpoint = folders(t, "rates")
-    ingest.run_available(windows.save_updates(windows.sliding_rates(event_stream(t), "event_type"), out, checkpoint))
+    ingest.run_available(windows.save_updates(windows.sliding_rates(stateful_event_stream(t), "event_type"), out, checkpoint))
     return windows.latest_updates(t.spark, out, ["window_start", "event_type"])
 
 
@@ -83,7 +89,8 @@ def stream_lifecycle(t):
     source = scratch_path(t.spark, "lineage")
     events = t.lineage_events
     events.write.parquet(source)
-    rows = lifecycle.lifecycle_stream(ingest.file_stream(t.spark, source, events.schema), timeout_seconds=3600)
+    session = stateful_session(t.spark, path_bytes(t.spark, source))
+    rows = lifecycle.lifecycle_stream(ingest.file_stream(session, source, events.schema), timeout_seconds=3600)
     writer = rows.writeStream.format("parquet").outputMode("append").option("path", out)
     ingest.run_available(writer.option("checkpointLocation", checkpoint))
     return t.spark.read.schema(rows.schema).parquet(out)
@@ -118,3 +125,22 @@ def stream_scores(t):
     stream = event_stream(t).select("event_id", "event_type", "value")
     ingest.run_available(ingest.score_stream(stream, lambda x: x["value"] * 0.5, ["value"], out, checkpoint))
     return t.spark.read.parquet(out).select("event_id", "event_type", "score")
+
+
+@query("T3", "SELECT 'RUNNING' AS event_type, count(*) AS records_processed FROM events")
+def stream_heartbeats(t):
+    beats = []
+    listener = lifecycle.HeartbeatListener(beats.append)
+    out, checkpoint = folders(t, "beats")
+    t.spark.streams.addListener(listener)
+    try:
+        stream = event_stream(t).select("event_id", "event_type", "value")
+        query = ingest.run_available(ingest.fan_out_stream(stream, {"lake": out}, checkpoint))
+        listener.wait_for_end(str(query.runId), seconds=30)
+    finally:
+        t.spark.streams.removeListener(listener)
+    reported = t.spark.createDataFrame(
+        [(b["run_id"], b["event_type"], b["records_processed"]) for b in beats if b["run_id"] == str(query.runId)],
+        "run_id string, event_type string, records_processed bigint",
+    )
+    return reported.groupBy("event_type").agg(F.max("records_processed").alias("records_processed"))

@@ -82,6 +82,18 @@ def recreated_table(t):
     return t.spark.table(table)
 
 
+@query("K8", "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name FROM customer")
+def created_if_absent(t):
+    contract = Contract.from_dict(
+        {"name": "customer", "schema": [{"name": "c_custkey", "type": "bigint"}, {"name": "c_name"}]}
+    )
+    prefix = scratch_path(t.spark, "create")
+    created = writers.create_if_absent(t.spark, f"{prefix}/customer", contract)
+    path = writers.save_contract(t.customer, contract, prefix)
+    assert created and not writers.create_if_absent(t.spark, path, contract)
+    return t.spark.read.schema(contract.schema).parquet(path)
+
+
 @query(
     "K9",
     """WITH latest AS (SELECT o_custkey AS c_custkey, o_totalprice AS c_acctbal FROM orders

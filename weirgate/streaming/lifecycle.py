@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -60,6 +61,13 @@ class HeartbeatListener(StreamingQueryListener):
         self._emit = emit
         self._started: dict[str, datetime] = {}
         self._records: dict[str, int] = {}
+        self._ended: set[str] = set()
+        self._changed = threading.Condition()
+
+    def wait_for_end(self, run_id: str, seconds: float) -> bool:
+        """Wait until the end of a query, and so all its heartbeats, have been reported."""
+        with self._changed:
+            return self._changed.wait_for(lambda: run_id in self._ended, timeout=seconds)
 
     def onQueryStarted(self, event) -> None:
         self._started[str(event.runId)] = datetime.now(timezone.utc)
@@ -87,3 +95,6 @@ class HeartbeatListener(StreamingQueryListener):
     def onQueryTerminated(self, event) -> None:
         self._started.pop(str(event.runId), None)
         self._records.pop(str(event.runId), None)
+        with self._changed:
+            self._ended.add(str(event.runId))
+            self._changed.notify_all()
