@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from weirgate.streaming import ingest, lifecycle, windows
-from weirgate.streaming.state import path_bytes, state_partitions, stateful_session
+from weirgate.session import path_bytes, shuffle_partitions, size_shuffles
+from weirgate.streaming.state import state_partitions, stateful_session
 
 START = datetime(2024, 1, 1)
 EVENTS = "event_id bigint, user_id bigint, event_type string, ts timestamp_ntz"
@@ -183,3 +184,15 @@ def test_state_partitions_follow_the_input(spark, folder):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     assert stateful_session(spark).conf.get("spark.sql.shuffle.partitions") == str(cores)
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_shuffles_are_sized_for_the_input(spark):
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    assert shuffle_partitions(10**14) == 100_000 and shuffle_partitions(10**12) == 7451
+    size_shuffles(spark, 1000)
+    assert spark.conf.get(name, None) is None
+    size_shuffles(spark, 10**12)
+    assert spark.conf.get(name) == "7451"
+    size_shuffles(spark, 10**9)
+    assert spark.conf.get(name) == "7451"
+    spark.conf.unset(name)

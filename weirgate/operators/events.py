@@ -48,21 +48,26 @@ def name_summary(df: DataFrame) -> DataFrame:
     )
 
 
+def _by_day(events: DataFrame, key: str, *measures: Column) -> DataFrame:
+    """Grouped by the date itself; its text is made once per result row."""
+    grouped = events.groupBy(F.to_date("ts").alias("__day"), key).agg(*measures)
+    day = F.date_format("__day", "yyyy-MM-dd").alias("date")
+    return grouped.select(day, *[c for c in grouped.columns if c != "__day"])
+
+
 def daily_rollup(events: DataFrame, approximate: bool = False) -> DataFrame:
     """Events and distinct users per day and event type.
 
     The exact distinct count shuffles by (day, type, user), so no single day or type lands in one task.
     """
     users = F.approx_count_distinct("user_id") if approximate else F.count_distinct("user_id")
-    return events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("date"), "event_type").agg(
-        F.count(F.lit(1)).alias("total_events"), users.alias("unique_users")
-    )
+    return _by_day(events, "event_type", F.count(F.lit(1)).alias("total_events"), users.alias("unique_users"))
 
 
 def daily_user_summary(events: DataFrame) -> DataFrame:
     """Events per day and user."""
-    return events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("date"), "user_id").agg(
-        F.count(F.lit(1)).alias("total_events"), F.count_distinct("event_type").alias("event_types")
+    return _by_day(
+        events, "user_id", F.count(F.lit(1)).alias("total_events"), F.count_distinct("event_type").alias("event_types")
     )
 
 

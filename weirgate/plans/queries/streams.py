@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from weirgate.plans.queries.events import RESHAPED, STAMP, raw_events, stamp
 from weirgate.plans.registry import query
-from weirgate.session import scratch_path
+from weirgate.session import path_bytes, scratch_path
 from weirgate.streaming import ingest, lifecycle, windows
-from weirgate.streaming.state import path_bytes, stateful_session
+from weirgate.streaming.state import stateful_session
 
 
 def folders(t, label):

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from weirgate.plans.derived import Tables, oracle
+from weirgate.session import path_bytes, size_shuffles
 
 
 @dataclass(frozen=True)
@@ -30,6 +31,7 @@ def query(covers: str, sql: str | None = None) -> Callable:
             raise ValueError(f"query {name!r} is registered twice")
 
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            size_shuffles(spark, path_bytes(spark, folder))
             return function(Tables(spark, folder))
 
         REGISTRY[name] = Query(name, tuple(covers.split()), run, oracle(sql) if sql else None)

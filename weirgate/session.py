@@ -8,13 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+INITIAL_PARTITIONS_CONF = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+SHUFFLE_PARTITION_BYTES = 128 * 1024 * 1024
+MAX_SHUFFLE_PARTITIONS = 100_000
 
 
 def with_defaults(builder: SparkSession.Builder) -> SparkSession.Builder:
     """Settings every job here relies on. Sizes (memory, partitions) stay with the cluster.
 
-    AQE splits skewed join partitions and coalesces small ones, so the partition count only has to be
-    large enough. Partial session merging lets session windows combine before the shuffle.
+    AQE splits skewed join partitions and joins small ones, so the partition count only has to be large
+    enough: see :func:`size_shuffles`.
     """
     return (
         builder.config("spark.sql.session.timeZone", "UTC")
@@ -22,11 +25,33 @@ def with_defaults(builder: SparkSession.Builder) -> SparkSession.Builder:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
 
 
+def path_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files at a path, from the file system; 0 when there is nothing."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getContentSummary(target).getLength() if fs.exists(target) else 0
+
+
+def shuffle_partitions(input_bytes: int) -> int:
+    """Partitions that keep a shuffle of the whole input at about 128 MB each."""
+    return min(-(-input_bytes // SHUFFLE_PARTITION_BYTES), MAX_SHUFFLE_PARTITIONS)
+
+
+def size_shuffles(spark: SparkSession, input_bytes: int) -> None:
+    """Let shuffles start with enough partitions for an input of this size; never fewer than set already.
+
+    AQE joins the small ones afterwards but does not split ordinary large ones, so the start has to be high.
+    """
+    current = int(spark.conf.get(INITIAL_PARTITIONS_CONF, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = shuffle_partitions(input_bytes)
+    if wanted > current:
+        spark.conf.set(INITIAL_PARTITIONS_CONF, str(wanted))
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder name below ``spark.checkpoint.dir``; a local temporary folder only where that is unset."""
     base = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)

@@ -29,15 +29,7 @@ def stateful_session(spark: SparkSession, input_bytes: int | None = None) -> Spa
         "spark.sql.shuffle.partitions": str(state_partitions(spark, input_bytes)),
         "spark.sql.streaming.stateStore.providerClass": PROVIDER,
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     }
     for key, value in settings.items():
         session.conf.set(key, value)
     return session
-
-
-def path_bytes(spark: SparkSession, path: str) -> int:
-    """Bytes of the files at a path, from the file system."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.getContentSummary(target).getLength() if fs.exists(target) else 0
