@@ -1,8 +1,8 @@
 """Content fingerprints that do not depend on row order or partitioning.
 
-A row's SHA-256 is cut into four 60-bit numbers. Rows are grouped into at most 256 parts by the first
-two hex digits, the numbers and the rows of a part are added up exactly (so copies count), and each part
-is digested. The fingerprint is the digest of the sorted part digests. Sums combine before the shuffle,
+A row's SHA-256 is cut into twelve 20-bit numbers. Rows are grouped into at most 256 parts by the first
+two hex digits, the numbers and the rows of a part are added up (so copies count; a sum holds for 8
+million million rows), and each part is digested. The fingerprint is the digest of the sorted part digests. Sums combine before the shuffle,
 and only the at most 256 part rows of a table are ever brought together.
 """
 
@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from weirgate.functions.identifiers import sha256_digest
 
-LIMBS = 4
-LIMB_DIGITS = 15
+WORDS = 4
+WORD_DIGITS = 15
+PIECES = 3
+PIECE_BITS = 20
 
 
 def row_text(df: DataFrame, columns: Sequence[str]) -> Column:
@@ -36,14 +38,19 @@ def row_text(df: DataFrame, columns: Sequence[str]) -> Column:
 def part_digests(df: DataFrame, keys: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
     """At most 256 part digests per key."""
     names = [c for c in (columns or df.columns) if c not in keys]
-    rows = df.select(*keys, F.sha2(row_text(df, names), 256).alias("h"))
-    limbs = [
-        F.sum(F.conv(F.substring("h", 1 + i * LIMB_DIGITS, LIMB_DIGITS), 16, 10).cast("decimal(20,0)")).alias(f"s{i}")
-        for i in range(LIMBS)
+    hashed = df.select(*keys, F.sha2(row_text(df, names), 256).alias("h"))
+    words = [
+        F.conv(F.substring("h", 1 + i * WORD_DIGITS, WORD_DIGITS), 16, 10).cast("bigint").alias(f"w{i}") for i in range(WORDS)
     ]
-    sums = rows.groupBy(*keys, F.substring("h", 1, 2).alias("part")).agg(F.count(F.lit(1)).alias("n"), *limbs)
-    text = F.concat_ws(",", "part", F.col("n").cast("string"), *[F.col(f"s{i}").cast("string") for i in range(LIMBS)])
-    return sums.select(*keys, "n", F.sha2(text, 256).alias("part_digest"))
+    rows = hashed.select(*keys, F.substring("h", 1, 2).alias("part"), *words)
+    pieces = [
+        F.sum(F.shiftright(f"w{i}", j * PIECE_BITS).bitwiseAND(F.lit((1 << PIECE_BITS) - 1))).alias(f"s{i}_{j}")
+        for i in range(WORDS)
+        for j in range(PIECES)
+    ]
+    sums = rows.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"), *pieces)
+    numbers = [F.col(c).cast("string") for c in sums.columns if c not in (*keys, "part")]
+    return sums.select(*keys, "n", F.sha2(F.concat_ws(",", "part", *numbers), 256).alias("part_digest"))
 
 
 def fingerprints(

@@ -122,7 +122,11 @@ def digest_sql(rows, keys="", salt="''"):
     """The fingerprint in DuckDB terms over a query giving ``txt`` and the keys."""
     prefix = f"{keys}, " if keys else ""
     group = f"GROUP BY {keys}" if keys else ""
-    limbs = ", ".join(f"CAST(sum(CAST(('0x' || substr(h, {1 + 15 * i}, 15)) AS BIGINT)) AS VARCHAR)" for i in range(4))
+    limbs = ", ".join(
+        f"CAST(sum((CAST(('0x' || substr(h, {1 + 15 * i}, 15)) AS BIGINT) >> {20 * j}) & 1048575) AS VARCHAR)"
+        for i in range(4)
+        for j in range(3)
+    )
     return f"""hashed AS (SELECT {prefix}sha256(txt) AS h FROM ({rows})),
       parts AS (SELECT {prefix}substr(h, 1, 2) AS part, count(*) AS n, sha256(concat_ws(',', substr(h, 1, 2), CAST(count(*) AS VARCHAR), {limbs})) AS d
                 FROM hashed GROUP BY {prefix}substr(h, 1, 2)),

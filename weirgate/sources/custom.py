@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import sys
 from base64 import b64decode, b64encode
 from collections.abc import Callable, Iterator
 
@@ -13,6 +14,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from weirgate.contracts import Contract
 
+# Python workers get these classes with their code, so the package need not be installed on executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class _Slice(InputPartition):
     def __init__(self, parent: object):
