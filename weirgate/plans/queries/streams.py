@@ -79,12 +79,15 @@ def stream_rates(t):
     """WITH ends AS (SELECT run_id, job_name, min(event_time) FILTER (WHERE event_type = 'START') AS start_time,
                             max(event_time) FILTER (WHERE event_type <> 'START') AS end_time,
                             max(event_type) FILTER (WHERE event_type <> 'START') AS end_type FROM lineage_events GROUP BY run_id, job_name),
-            final AS (SELECT date_trunc('millisecond', max(event_time)) - INTERVAL '10' MINUTE AS watermark FROM lineage_events)
+            final AS (SELECT date_trunc('millisecond', least(max(event_time) FILTER (WHERE event_type = 'START'),
+                                                             max(event_time) FILTER (WHERE event_type <> 'START'))) - INTERVAL '10' MINUTE AS watermark
+                      FROM lineage_events)
        SELECT run_id, job_name, start_time, end_time,
               CASE end_type WHEN 'COMPLETE' THEN 'success' WHEN 'FAIL' THEN 'failure' WHEN 'ABORT' THEN 'cancelled' ELSE 'stale' END AS status
        FROM ends, final WHERE end_type IS NOT NULL OR date_trunc('millisecond', start_time) + INTERVAL '1' HOUR < watermark""",
 )
 def stream_lifecycle(t):
+    """The watermark of two joined streams is the lower of the two, here of the starts and of the ends."""
     out, checkpoint = folders(t, "lifecycle")
     source = scratch_path(t.spark, "lineage")
     events = t.lineage_events
