@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -42,6 +43,6 @@ def query(covers: str, sql: str | None = None) -> Callable:
 
 def load() -> dict[str, Query]:
     """All registered queries."""
-    import weirgate.plans.queries  # noqa: F401  registers on import
+    importlib.import_module("weirgate.plans.queries")
 
     return REGISTRY
