@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 INITIAL_PARTITIONS_CONF = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
@@ -52,20 +56,46 @@ def size_shuffles(spark: SparkSession, input_bytes: int) -> None:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new folder name below ``spark.checkpoint.dir``; a local temporary folder only where that is unset."""
+    """A new folder name below ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master gets a temporary folder; on a cluster executors would each write to
+    their own disk, so this raises.
+    """
     base = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
     if not base:
-        base = tempfile.mkdtemp(prefix="weirgate-")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
+        base = _local_scratch()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+@functools.cache
+def _local_scratch() -> str:
+    """One temporary folder for a local process, removed when it ends."""
+    base = tempfile.mkdtemp(prefix="weirgate-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the scratch folder and read it back.
 
     This cuts lineage in iterative jobs, survives the loss of executors, and hands the planner the real
-    file size, so a later join is broadcast only when it is known to be small.
+    file size, so a later join is broadcast only when it is known to be small. Fails if fewer or more rows
+    are read than were written.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    verify_rows(back, seen.get["rows"], path)
+    return back
+
+
+def verify_rows(df: DataFrame, rows: int, path: str) -> None:
+    """Raise unless a folder holds as many rows as were written to it; reads file footers only."""
+    found = df.count()
+    if found != rows:
+        raise RuntimeError(f"{path} holds {found} rows of {rows} written; is it shared by all executors?")
