@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirgate.llm.common import label_split, table
+from weirgate.llm.common import label_split, ship_code, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -15,7 +16,12 @@ ORACLE: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def register(function):
-        QUERIES[function.__name__] = function
+        @functools.wraps(function)
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship_code(spark)
+            return function(spark, folder)
+
+        QUERIES[function.__name__] = run
         if sql:
             ORACLE[function.__name__] = sql
         return function
@@ -49,3 +55,10 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
     kept = F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256)
     return remove_repeats(table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
+
+
+@query()
+def op4_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    from weirgate.llm.jaccard import jaccard_classes
+
+    return jaccard_classes(table(spark, folder, "documents"))
