@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from weirgate.llm.common import label_split, ship_code, table
 
@@ -14,6 +18,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+@F.pandas_udf(StringType())
+def little_endian_sha256(ids: pd.Series) -> pd.Series:
+    """SHA-256 of ids as little-endian unsigned 32-bit integers, in lowercase hex."""
+    return ids.map(lambda x: hashlib.sha256(np.asarray(x, dtype="<u4").tobytes()).hexdigest())
+
+
 def query(sql: str | None = None):
     def register(function):
         @functools.wraps(function)
@@ -62,3 +72,44 @@ def op4_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     from weirgate.llm.jaccard import jaccard_classes
 
     return jaccard_classes(table(spark, folder, "documents"))
+
+
+@query()
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from weirgate.llm.langid import identify, train
+
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", label_split(F.col("doc_id")).alias("part"))
+    model = train(docs.where("part <> 1"))
+    return identify(docs.withColumn("held_out", F.col("part") == 1), model, carry=("doc_id", "held_out"))
+
+
+@query()
+def op5_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from weirgate.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query()
+def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from weirgate.llm.pieces import decode, encode
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    ids = encode(table(spark, folder, "documents"), path)
+    hashed = ids.select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), little_endian_sha256("ids").alias("ids_sha256")
+    )
+    decoded = decode(hashed, path, carry=("doc_id", "n_tokens", "ids_sha256"))
+    return decoded.withColumn("decoded_sha256", F.sha2(F.col("decoded").cast("binary"), 256)).drop("decoded")
+
+
+@query()
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from weirgate.llm.tokencount import count_tokens
+
+    counted = count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
