@@ -113,3 +113,34 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
     counted = count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+@query()
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from weirgate.llm.toxicity import score, train
+
+    docs = table(spark, folder, "documents").select("doc_id", "text", (label_split(F.col("doc_id")) == 1).alias("held_out"))
+    model = train(docs.where("not held_out"), table(spark, folder, "labels"))
+    return score(docs, model, carry=("doc_id", "held_out"))
+
+
+@query(
+    """
+    WITH raw AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h, coalesce(html, '') AS p FROM pages),
+    marked AS (SELECT *, max(page_id) OVER (PARTITION BY p) AS last FROM raw),
+    bits AS (
+      SELECT page_id, payload_bytes, last,
+             (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(('0x' || substr(h, 1 + 10 * ((k - 1) // 8), 10)) AS BIGINT) // (1::BIGINT << (35 - 5 * ((k - 1) % 8))) % 32, 1), '' ORDER BY k)
+              FROM generate_series(1, 32) t(k)) AS payload_digest
+      FROM marked)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> last THEN last END AS refers_to
+    FROM bits
+    """
+)
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    from weirgate.llm.warc import archive_folder, read_archives, write_archives
+
+    target = archive_folder(spark)
+    manifest = write_archives(table(spark, folder, "pages"), target)
+    return read_archives(manifest, target).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
