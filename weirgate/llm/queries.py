@@ -144,3 +144,69 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     target = archive_folder(spark)
     manifest = write_archives(table(spark, folder, "pages"), target)
     return read_archives(manifest, target).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from weirgate.llm.decontaminate import find_items
+
+    found = find_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", F.size("matches").cast("long").alias("n_items"), F.col("matches.item").alias("item_ids"), (F.size("matches") > 0).alias("contaminated")
+    )
+
+
+#: Seconds of 2024-01-01, the first day of the captures and list changes that are derived from the pages.
+YEAR_START = 1_704_067_200
+
+
+@query(
+    rf"""
+    WITH p AS (
+      SELECT page_id, url, {YEAR_START} + (page_id * 7919) % 31622400 AS fetched_at,
+             lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#:]+)', 1)) AS host,
+             regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)', 1) AS path FROM pages),
+    parts AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '') AS segs, string_split(host, '.') AS labels FROM p),
+    changes AS (
+      SELECT CASE WHEN page_id % 10 = 5 THEN 'allow' ELSE 'block' END AS list,
+             CASE page_id % 3 WHEN 0 THEN array_to_string(labels[-3:], '.') WHEN 1 THEN host ELSE concat_ws('/', host, segs[1]) END AS pattern,
+             (page_id // 5) % 3 <> 0 AS added, {YEAR_START} + (page_id * 104729) % 31622400 AS moment FROM parts),
+    once AS (SELECT list, pattern, moment, bool_or(added) AS added FROM changes GROUP BY ALL),
+    flips AS (SELECT * FROM (SELECT *, lag(added, 1, FALSE) OVER (PARTITION BY list, pattern ORDER BY moment) AS before FROM once) WHERE added <> before),
+    ends AS (SELECT *, lead(moment) OVER (PARTITION BY list, pattern ORDER BY moment) AS until FROM flips),
+    spans AS (SELECT list, pattern, moment AS since, until FROM ends WHERE added),
+    asked AS (
+      SELECT page_id, url, fetched_at, unnest(list_concat(
+        list_transform(generate_series(1, len(labels)), lambda i: array_to_string(labels[i:], '.')),
+        list_transform(generate_series(1, len(segs)), lambda i: host || '/' || array_to_string(segs[1:i], '/')))) AS pattern FROM parts),
+    hits AS (
+      SELECT a.page_id, a.pattern, s.list FROM asked a JOIN spans s ON a.pattern = s.pattern AND s.since <= a.fetched_at
+        AND (s.until IS NULL OR a.fetched_at < s.until)),
+    judged AS (
+      SELECT page_id, count(*) FILTER (list = 'block') AS n_block, count(*) FILTER (list = 'allow') AS n_allow FROM hits GROUP BY page_id),
+    best AS (
+      SELECT page_id, pattern, list FROM hits
+      QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(pattern) DESC, list = 'allow' DESC, pattern DESC) = 1)
+    SELECT p.page_id, p.url, p.fetched_at, coalesce(n_block, 0) AS n_block, coalesce(n_allow, 0) AS n_allow, b.pattern,
+           CASE WHEN b.list IS NULL THEN 'clear' WHEN b.list = 'allow' THEN 'allowed' ELSE 'blocked' END AS verdict
+    FROM p LEFT JOIN judged j USING (page_id) LEFT JOIN best b USING (page_id)
+    """
+)
+def op8_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    from weirgate.llm.urls import filter_urls, host_of, path_of
+
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    second = lambda factor: F.lit(YEAR_START) + F.pmod(F.col("page_id") * F.lit(factor), F.lit(31_622_400))
+    captures = pages.withColumn("fetched_at", second(7919))
+    labels = F.split(host_of(F.col("url")), r"\.")
+    segment = F.element_at(F.filter(F.split(path_of(F.col("url")), "/"), lambda p: p != ""), 1)
+    kind = F.col("page_id") % 3
+    domain = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 2, F.lit(1)), F.lit(3)), ".")
+    pattern = F.when(kind == 0, domain).when(kind == 1, host_of(F.col("url"))).otherwise(F.concat_ws("/", host_of(F.col("url")), segment))
+    changes = pages.select(
+        F.when(F.col("page_id") % 10 == 5, "allow").otherwise("block").alias("list"),
+        pattern.alias("pattern"),
+        (F.floor(F.col("page_id") / 5) % 3 != 0).alias("added"),
+        second(104_729).alias("at"),
+    )
+    return filter_urls(captures, changes)

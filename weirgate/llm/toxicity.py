@@ -4,8 +4,8 @@ The kernel of two strings sums over their common subsequences of ``ORDER`` chara
 ``DECAY`` to the power of the stretch it spans in both, so an insult still matches with letters put in or left
 out. It is normalized. A sentence is compared with a landmark through its closest word (words of single
 letters, "i d i o t", are read as one). The kernel of a pair is zero where the longest common subsequence is
-shorter than half the landmark; this is found for all landmarks at once with bit operations and leaves few
-pairs for the kernel itself.
+shorter than three fifths of the landmark, which is found for all landmarks at once with bit operations and leaves few
+pairs for the kernel itself, and where its value is below ``LEAST``.
 
 Landmarks are words of the training sample: those most tied to toxic documents, no two alike, and frequent
 ones of clean documents. Sentences are mapped through the inverse root of the landmarks' own kernel, and a
@@ -17,7 +17,6 @@ training documents are told apart best.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,29 +31,42 @@ from weirgate.llm.common import stored
 ORDER = 4
 DECAY = 0.6
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 64, 16
+#: Landmarks are no more alike than this.
+ALIKE = 0.6
 #: Most labelled documents of a class that are used in the fit.
 SAMPLE_DOCS = 2_000
 MAX_UNIT, UNIT_STEP = 32, 16
 MAX_LANDMARK = 16
 SENTENCE_WORDS = 64
 MAX_CACHED = 300_000
-SPACED = re.compile(r"(?:(?<=\s)|^)(?:\S\s+){2,}\S(?=\s|$)")
 CUT = 0.7
-
-
-def sentences(text: str) -> Iterator[list[str]]:
-    """The words of each sentence, in lower case. Sentences end at line ends, at . ! ? and after 64 words."""
-    for line in text.lower().splitlines():
-        if SPACED.search(line):
-            line = SPACED.sub(lambda m: "".join(m.group().split()), line)
-        words = line.split()
-        start = 0
-        for i, w in enumerate(words):
-            if w[-1] in ".!?" or i - start + 1 == SENTENCE_WORDS:
-                yield words[start : i + 1]
-                start = i + 1
-        if start < len(words):
-            yield words[start:]
+LEAST = 0.2
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text in lower case. A line end is a word "."; runs of three or more single characters are one word."""
+    words = text.lower().replace("\n", " . ").split()
+    single = [i for i, w in enumerate(words) if len(w) == 1 and w != "."]
+    if len(single) < 3:
+        return words
+    runs, start = [], 0
+    for k in range(1, len(single) + 1):
+        if k == len(single) or single[k] != single[k - 1] + 1:
+            if k - start >= 3:
+                runs.append((single[start], single[k - 1] + 1))
+            start = k
+    for lo, hi in reversed(runs):
+        words[lo:hi] = ["".join(words[lo:hi])]
+    return words
+
+
+def sentence_of(words: list[str]) -> np.ndarray:
+    """The sentence of each word. Sentences end after . ! ? and after ``SENTENCE_WORDS`` words."""
+    ends = np.fromiter((w[-1] in ".!?" for w in words), dtype=bool, count=len(words))
+    number = np.concatenate(([0], np.cumsum(ends)[:-1])) if len(words) else np.zeros(0, np.int64)
+    _, first = np.unique(number, return_index=True)
+    place = np.arange(len(words)) - first[number] if len(words) else number
+    return number * (len(words) // SENTENCE_WORDS + 1) + place // SENTENCE_WORDS
 
 
 def _units(word: str) -> list[str]:
@@ -74,7 +86,7 @@ def _codes(strings: list[str], width: int) -> np.ndarray:
 def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The kernel of each pair of rows; rows are code points, filled up with zeros."""
     match = (a[:, :, None] == b[:, None, :]) & (a[:, :, None] != 0)
-    weight = match * np.float64(DECAY * DECAY)
+    weight = match * np.float32(DECAY * DECAY)
     ending = weight
     for _ in range(ORDER - 1):
         total = ending.copy()  # subsequences that end at or before each pair of places, decayed by the distance
@@ -99,7 +111,7 @@ class Landmarks:
         for j, w in enumerate(words):
             for i, c in enumerate(w):
                 self.masks[letters.index(c), j] |= np.uint32(1 << i)
-        self.enough = np.maximum(ORDER, -(-self.lengths // 2))
+        self.enough = np.maximum(ORDER, -(-3 * self.lengths // 5))
 
     def similar(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of units and landmarks with a kernel above zero, and its normalized value."""
@@ -122,9 +134,11 @@ class Landmarks:
             own = np.zeros(len(part))
             own[some] = np.concatenate([kernel(codes[some[i : i + 512]], codes[some[i : i + 512]]) for i in range(0, len(some), 512)])
             both = np.concatenate([kernel(codes[u[i : i + 1024]], self.codes[v[i : i + 1024]]) for i in range(0, len(u), 1024)])
-            rows.append(np.array(part)[u])
-            columns.append(v)
-            values.append(both / np.sqrt(own[u] * self.own[v]))
+            value = both / np.sqrt(own[u] * self.own[v])
+            keep = value >= LEAST
+            rows.append(np.array(part)[u[keep]])
+            columns.append(v[keep])
+            values.append(value[keep])
         if not rows:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         return np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
@@ -138,10 +152,11 @@ class Words:
         self.known: dict[str, np.ndarray | None] = {}
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
+        new = words.difference(self.known)
         if len(self.known) + len(new) > MAX_CACHED:
             self.known.clear()
-            new = list(words)
+            new = words
+        new = list(new)
         units, owner = [], []
         for i, w in enumerate(new):
             for u in _units(w):
@@ -156,17 +171,14 @@ class Words:
                 row = self.known[word] = np.zeros(len(self.landmarks.words))
             row[c] = max(row[c], v)
 
-    def sentence_rows(self, text: str) -> tuple[np.ndarray, int]:
-        """A row for each sentence that is like a landmark, and how many are not."""
-        rows, none = [], 0
-        get = self.known.get
-        for words in sentences(text):
-            found = [r for r in map(get, words) if r is not None]
-            if found:
-                rows.append(np.max(found, axis=0))
-            else:
-                none += 1
-        return (np.array(rows) if rows else np.zeros((0, len(self.landmarks.words)))), none
+    def sentence_rows(self, words: list[str]) -> np.ndarray:
+        """A row for each sentence that is like a landmark."""
+        found = [(i, r) for i, r in enumerate(map(self.known.get, words)) if r is not None]
+        if not found:
+            return np.zeros((0, len(self.landmarks.words)))
+        number = sentence_of(words)[[i for i, _ in found]]
+        _, first = np.unique(number, return_index=True)
+        return np.maximum.reduceat(np.array([r for _, r in found]), first, axis=0)
 
 
 @dataclass
@@ -198,40 +210,44 @@ def _machine(x: np.ndarray, y: np.ndarray, c: np.ndarray, rounds: int = 30) -> t
     return w[:-1], float(w[-1])
 
 
-def choose_landmarks(texts: list[str], labels: np.ndarray) -> list[str]:
+def choose_landmarks(texts: list[str], labels: np.ndarray) -> tuple[list[str], int]:
+    """Words tied to toxic texts, then the words of clean texts that are most like these; and how many are toxic."""
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     for text, label in zip(texts, labels):
-        seen[label].update({u for s in sentences(text) for w in s if ORDER <= len(w) <= MAX_LANDMARK for u in [w.strip(".,!?;:\"'()")] if len(u) >= ORDER})
+        bare = {w.strip(".,!?;:\"'()") for w in words_of(text)}
+        seen[label].update(w for w in bare if ORDER <= len(w) <= MAX_LANDMARK)
     toxic, clean = max(int(labels.sum()), 1), max(int((labels == 0).sum()), 1)
-    gain = {w: n / toxic * np.log(((n + 0.5) / (toxic + 1)) / ((seen[0][w] + 0.5) / (clean + 1))) for w, n in seen[1].items()}
+    gain = {w: n / toxic * np.log(((n + 0.5) / (toxic + 1)) / ((seen[0][w] + 0.5) / (clean + 1))) for w, n in seen[1].items() if n > 1}
     picked: list[str] = []
-    for pool, most in ((sorted(gain, key=lambda w: (-gain[w], w)), TOXIC_LANDMARKS), (sorted(seen[0], key=lambda w: (-seen[0][w], w)), CLEAN_LANDMARKS)):
-        taken = 0
-        for w in pool[: 20 * most]:
-            if taken == most or (pool is not None and most == TOXIC_LANDMARKS and gain[w] <= 0):
-                break
-            if picked and len(Landmarks(picked).similar([w])[2]) and Landmarks(picked).similar([w])[2].max() > 0.8:
-                continue
+    for w in sorted((w for w in gain if gain[w] > 0), key=lambda w: (-gain[w], w))[: 20 * TOXIC_LANDMARKS]:
+        if len(picked) == TOXIC_LANDMARKS:
+            break
+        if not picked or Landmarks(picked).similar([w])[2].max(initial=0) <= ALIKE:
             picked.append(w)
-            taken += 1
-    return picked
+    toxic_ones = len(picked)
+    if picked:
+        usual = [w for w, n in sorted(seen[0].items(), key=lambda x: (-x[1], x[0]))[:20_000] if n > 2 * seen[1][w] * clean / toxic / 3 and w not in picked]
+        rows, _, values = Landmarks(picked).similar(usual)
+        like = np.zeros(len(usual))
+        np.maximum.at(like, rows, values)
+        near = sorted((i for i in range(len(usual)) if 0.2 < like[i] < 0.95), key=lambda i: (-like[i], i))[:CLEAN_LANDMARKS]
+        picked += [usual[i] for i in near]
+    return picked, toxic_ones
 
 
 def fit(texts: list[str], labels: np.ndarray) -> Model | None:
     """A model of labelled texts; None without both labels or without words."""
-    words = choose_landmarks(texts, labels) if 0 < labels.sum() < len(labels) else []
+    words, n_toxic = choose_landmarks(texts, labels) if 0 < labels.sum() < len(labels) else ([], 0)
     if not words:
         return None
     landmarks = Landmarks(words)
     known = Words(landmarks)
-    rows, empty = [], []
+    rows = []
     for at in range(0, len(texts), 256):
-        part = texts[at : at + 256]
-        known.learn({w for t in part for s in sentences(t) for w in s})
-        for t in part:
-            r, n = known.sentence_rows(t)
-            rows.append(r)
-            empty.append(n)
+        part = [words_of(t) for t in texts[at : at + 256]]
+        known.learn({w for own in part for w in own})
+        rows += [known.sentence_rows(own) for own in part]
+    empty = [len(texts)]
     gram = np.eye(len(words))
     r, c, v = landmarks.similar(words)
     gram[r, c] = v
@@ -240,7 +256,7 @@ def fit(texts: list[str], labels: np.ndarray) -> Model | None:
     x = np.vstack([*rows, np.zeros((1, len(words)))]) @ root
     doc = np.repeat(np.arange(len(texts)), [len(r) for r in rows])
     toxic = labels[doc] == 1
-    peak = np.concatenate([*(r.max(axis=1) for r in rows), [0.0]])
+    peak = np.concatenate([*(r[:, :n_toxic].max(axis=1, initial=0) for r in rows), [0.0]])
     y = np.full(len(x), -1.0)
     y[:-1][toxic & (peak[:-1] > 0.6)] = 1
     weights, bias = np.zeros(len(words)), -1.0
@@ -310,14 +326,14 @@ def _score(shared):
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 scores = []
-                texts = part.column(1).fill_null("").to_pylist()
+                texts = [words_of(t) for t in part.column(1).fill_null("").to_pylist()]
                 if words is not None:
-                    words.learn({w for t in texts for s in sentences(t) for w in s})
-                for t in texts:
+                    words.learn({w for own in texts for w in own})
+                for own in texts:
                     if words is None:
                         scores.append(0.0)
                         continue
-                    rows, _ = words.sentence_rows(t)
+                    rows = words.sentence_rows(own)
                     margin = model.bias
                     if len(rows):
                         margin = max(margin, float((rows @ model.weights).max()) + model.bias)
