@@ -8,8 +8,8 @@ A document's set holds the hashes of its distinct shingles. Two sets link when
    by hash. Sets that link share one of the first ``n - ceil(percent / 100 * n) + 1`` shingles in that order.
 2. Equal sets become one set. Sets with the same prefix and size become one group, and only groups are
    joined on prefix shingles; a shingle of one group alone is dropped first.
-3. Star round: in each list of groups with one shingle and similar size, members are compared with the list's
-   first group only. Verified links are made into classes.
+3. Star round: in each list of groups with one shingle and similar size, a group is compared with the first
+   group of one of its lists only. Verified links are made into classes.
 4. Cross round: groups that share a shingle are paired where their classes still differ, filtered by size and
    position, expanded to members and verified. Pairs inside one class can't change the classes, so nothing is
    lost, and a large group of near copies is never expanded into all pairs.
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirgate.llm.common import components, stored
@@ -36,6 +36,7 @@ PERCENT = 75
 COUNTERS = 1 << 18
 CELL_SETS = 48
 CELL_SHINGLES = 1 << 17
+MOST_SHINGLES = 1 << 20
 
 
 def _sets(words: Words, size: int) -> list[np.ndarray]:
@@ -104,22 +105,37 @@ def _same(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes(), seed=1)
 
 
-def _whole_sets(size: int):
+def _celled(size: int):
+    """The set of each text, once for each cell that it takes part in."""
+    names = ["center", "block", "member", "shingles"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column(0).to_pylist()
-            for words in word_slices(batch.column(1), lower=True):
+            wanted, cells = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for words in word_slices(batch.column(2), lower=True):
+                rows, lists, total = [], [], 0
                 for i, s in enumerate(_sets(words, size)):
-                    same = int(np.uint64(_same(s)).astype(np.int64))
-                    if same == wanted[words.first + i]:
-                        flat = pa.array(signed(s), pa.int64())
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([same], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), flat)], names=["s", "shingles"]
-                        )
+                    if int(np.uint64(_same(s)).astype(np.int64)) != wanted[words.first + i]:
+                        continue
+                    for cell in cells[words.first + i]:
+                        rows.append((cell["center"], cell["block"], cell["member"]))
+                        lists.append(signed(s))
+                        total += len(s)
+                        if total >= MOST_SHINGLES:
+                            yield _batch(rows, lists, names)
+                            rows, lists, total = [], [], 0
+                if rows:
+                    yield _batch(rows, lists, names)
 
     return run
 
 
+def _batch(rows: list[tuple], lists: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in lists]))), pa.int32())
+    columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
+    return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(lists), pa.int64()))], names=names)
+
+
 def _verified(percent: int):
     def run(cell: pa.Table) -> pa.Table:
         cell = cell.combine_chunks()
@@ -143,6 +159,14 @@ def _verified(percent: int):
     return run
 
 
+def _may_link(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) -> Column:
+    """Whether sets of these sizes with a common prefix shingle at these places can link: by size, and by how many
+    shingles can still be common before and after the places."""
+    needed = F.ceil((na + nb) * F.lit(percent) / F.lit(100 + percent))
+    most = F.least(pa_, pb) + F.least(na - pa_, nb - pb)
+    return (F.lit(100) * F.least(na, nb) >= F.lit(percent) * F.greatest(na, nb)) & (most >= needed)
+
+
 def _links(rows: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (center, member: sets) that link, as ``(a, b)``."""
     sized = sets.select(F.col("s").alias("member"), "n")
@@ -151,19 +175,17 @@ def _links(rows: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, percen
     blocks = stored(
         load.select("center", F.greatest(F.ceil(F.col("m") / CELL_SETS), F.ceil(F.col("n") / CELL_SHINGLES)).alias("blocks")), "blocks"
     )
-    needed = stored(pairs.select(F.col("center").alias("s")).union(pairs.select("member")).distinct().join(sets, "s").select("s", "id"), "needed")
-    whole = stored(
-        rows.join(needed, "id").select("s", "text").mapInArrow(_whole_sets(size), "s long, shingles array<long>"), "sets"
+    members = pairs.join(blocks, "center").select(
+        F.col("member").alias("s"), "center", F.expr("pmod(hash(member), blocks)").alias("block"), "member"
     )
-    own = whole.dropDuplicates(["s"])
-    celled = pairs.join(blocks, "center").select("center", "member", F.expr("pmod(hash(member), blocks)").alias("block"))
-    partners = celled.join(own.withColumnRenamed("s", "member"), "member").select("center", "block", "member", "shingles")
-    centers = (
-        blocks.select("center", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-        .join(own.withColumnRenamed("s", "center"), "center")
-        .select("center", "block", F.lit(None).cast("long").alias("member"), "shingles")
+    centers = blocks.select(
+        F.col("center").alias("s"), "center", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("member")
     )
-    return stored(partners.unionByName(centers).groupBy("center", "block").applyInArrow(_verified(percent), "a long, b long"), "links")
+    cells = members.unionByName(centers).groupBy("s").agg(F.collect_list(F.struct("center", "block", "member")).alias("cells"))
+    placed = stored(stored(cells, "cells").join(sets.select("s", "id"), "s").select("id", "s", "cells"), "placed")
+    whole = rows.join(placed, "id").select("s", "cells", "text")
+    celled = whole.mapInArrow(_celled(size), "center long, block long, member long, shingles array<long>")
+    return stored(celled.groupBy("center", "block").applyInArrow(_verified(percent), "a long, b long"), "links")
 
 
 def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -198,13 +220,16 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     stars = None
     for shift in (0.0, 0.5):
         band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + shift) if percent < 100 else F.col("n")
-        banded = lists.select("token", "g", band.alias("band"))
-        first = stored(banded.groupBy("token", "band").agg(F.min("g").alias("first")), "firsts")
-        found = stored(banded.join(first, ["token", "band"]).where("g <> first").select("g", "first").distinct(), "stars")
+        banded = lists.select("token", "g", "n", "pos", band.alias("band"))
+        first = stored(banded.groupBy("token", "band").agg(F.min(F.struct("g", "n", "pos")).alias("f")), "firsts")
+        starred = banded.join(first, ["token", "band"]).where("g <> f.g")
+        starred = starred.where(_may_link(F.col("n"), F.col("pos"), F.col("f.n"), F.col("f.pos"), percent))
+        found = stored(starred.groupBy("g").agg(F.min("f.g").alias("first")), "stars")
         stars = found if stars is None else stars.union(found)
     rep_of = groups.select(F.col("g").alias("first"), F.col("rep").alias("center"))
     members = sets.where("id is not null").select("g", F.col("s").alias("member"))
-    centers = stored(stars.distinct().join(rep_of, "first").select("g", "center"), "centers")
+    one = stars.groupBy("g").agg(F.min("first").alias("first"))
+    centers = stored(stored(one, "star").join(rep_of, "first").select("g", "center"), "centers")
     inside = members.join(groups.select("g", F.col("rep").alias("center")), "g").select("center", "member")
     links = _links(rows, sets, members.join(centers, "g").select("center", "member").union(inside), size, percent)
     ids = sets.select(F.col("s").alias("id"))
@@ -217,10 +242,13 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     mixed_tokens = stored(open_lists.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("token"), "mixed")
     crossing = stored(open_lists.join(mixed_tokens, "token"), "crossing")
     a, b = (crossing.select("token", *(F.col(x).alias(f"{x}{side}") for x in ("g", "c", "n", "pos"))) for side in "ab")
+    near = _may_link(F.col("na"), F.col("posa"), F.col("nb"), F.col("posb"), percent)
+    # common prefix shingles all come before the last one, so what is left after it bounds the intersection
+    met = a.join(b, "token").where((F.col("ca") < F.col("cb")) & near).groupBy("ga", "ca", "gb", "cb")
+    met = met.agg(F.count("token").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("posa").alias("posa"), F.max("posb").alias("posb"))
+    most = F.col("common") + F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) - 1
     needed = F.ceil((F.col("na") + F.col("nb")) * F.lit(percent) / F.lit(100 + percent))
-    most = F.least("posa", "posb") + 1 + F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) - 1
-    near = (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")) & (most >= needed)
-    pairs = stored(a.join(b, "token").where((F.col("ca") < F.col("cb")) & near).select("ga", "ca", "gb", "cb").distinct(), "crosses")
+    pairs = stored(met.where(most >= needed).select("ga", "ca", "gb", "cb"), "crosses")
     wide = (
         pairs.join(units.toDF("ga", "ca", "center"), ["ga", "ca"])
         .join(units.toDF("gb", "cb", "member"), ["gb", "cb"])
