@@ -3,8 +3,9 @@
 Texts and items are words in lower case, compared by edit distance over words. An item of n words leaks into a
 text if a window of the text is within ``floor(share * n)`` edits of it.
 
-1. A window of an item's size is a candidate only if enough of its words and word pairs occur in items at all:
-   each edit spoils one word and two pairs at most, so nothing within the distance is lost.
+1. A window of an item's size is a candidate only if enough of its words and word pairs occur in items at all,
+   and then in items of that size: each edit spoils one word and two pairs at most, so nothing within the
+   distance is lost.
 2. Candidates and items of one size are embedded by the same random walks: at each step the current word is put
    out, and a random bit of (step, word) says whether to move on. The walk turns a small edit distance into a
    small Hamming distance, since walks that part on an edit soon fall into step again.
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from weirgate.llm.words import Words, mixed, run_of, word_slices
 
-SHARE = 0.15
-WALKS, TABLES, SAMPLED = 6, 8, 3
+SHARE = 0.1
+WALKS, TABLES, SAMPLED = 5, 6, 2
 BLOCK_ITEMS = 20_000
 MATCHES = "array<struct<item:bigint,distance:int,first_word:bigint,words:int>>"
 _TYPE = pa.list_(pa.struct([("item", pa.int64()), ("distance", pa.int32()), ("first_word", pa.int64()), ("words", pa.int32())]))
@@ -58,22 +59,23 @@ class _Size:
 
     ids: np.ndarray
     words: np.ndarray
+    pairs: np.ndarray
     edits: int
     tables: list[list[tuple[np.ndarray, np.ndarray]]]
 
 
-def walked(words: np.ndarray, lengths: np.ndarray, walk: int) -> np.ndarray:
-    """The embedding of each row of ``words``: three times as many places as a row has; 0 past its end."""
+def walked(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """By walk, the embedding of each row of ``words``: three times as many places as a row has; 0 past its end."""
     n = words.shape[1]
-    steps = np.random.default_rng((n, walk)).integers(0, 1 << 63, 3 * n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    at, rows = np.zeros(len(words), dtype=np.int64), np.arange(len(words))
+    steps = np.random.default_rng(n).integers(0, 1 << 63, (3 * n, WALKS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    at, rows = np.zeros((WALKS, len(words)), dtype=np.int64), np.arange(len(words))
     padded = np.hstack([words, np.zeros((len(words), 1), np.uint64)])
-    out = np.empty((len(words), 3 * n), dtype=np.uint64)
+    out = np.empty((3 * n, WALKS, len(words)), dtype=np.uint64)
     for step in range(3 * n):
         word = padded[rows, at]
-        out[:, step] = word
-        at = np.minimum(at + ((mixed(word ^ steps[step]) >> np.uint64(63)).astype(np.int64)), lengths)
-    return out
+        out[step] = word
+        at = np.minimum(at + ((word * steps[step]) >> np.uint64(63)).astype(np.int64), lengths)
+    return out.transpose(1, 2, 0)
 
 
 def _keys(embedded: np.ndarray, walk: int) -> Iterator[np.ndarray]:
@@ -102,10 +104,9 @@ class Index:
         for n, items in sorted(by_size.items()):
             matrix = np.array([w for _, w in items])
             tables = []
-            for walk in range(WALKS):
-                embedded = walked(matrix, np.full(len(matrix), n), walk)
+            for walk, embedded in enumerate(walked(matrix, np.full(len(matrix), n))):
                 tables.append([(k[o := np.argsort(k, kind="stable")], o) for k in _keys(embedded, walk)])
-            self.sizes[n] = _Size(np.array([i for i, _ in items], dtype=np.int64), matrix, int(share * n), tables)
+            self.sizes[n] = _Size(np.array([i for i, _ in items], dtype=np.int64), matrix, np.unique([run_of(w, 2) for w in matrix]), int(share * n), tables)
 
     def find(self, words: Words) -> Iterator[tuple[int, int, int, int, int]]:
         """Text, item, distance, first word and words of the windows that are within an item's distance."""
@@ -116,7 +117,8 @@ class Index:
         text = np.repeat(np.arange(len(words.bounds) - 1), np.diff(words.bounds))
         stop = words.bounds[text + 1]
         in_words = np.concatenate(([0], np.cumsum(self.words.has(h), dtype=np.int32)))
-        pair = self.pairs.has(run_of(h, 2)) if total > 1 else np.zeros(0, bool)
+        both = run_of(h, 2)
+        pair = self.pairs.has(both)
         in_pairs = np.concatenate(([0], np.cumsum(pair, dtype=np.int32), np.zeros(1, np.int32)))
         in_pairs[-1] = in_pairs[-2]
         start = np.arange(total)
@@ -124,16 +126,17 @@ class Index:
             end = np.minimum(start + n, stop)
             good = (in_words[end] - in_words[:-1] >= n - size.edits) & (in_pairs[np.maximum(end - 1, start)] - in_pairs[start] >= n - 1 - 2 * size.edits)
             first = np.flatnonzero(good)
-            for at in range(0, len(first), 4096):
-                yield from self._verify(words, text, first[at : at + 4096], end[first[at : at + 4096]], n, size)
+            if len(first) and n > 1:
+                first = first[_pairs_within(both, first, end[first], size.pairs) >= n - 1 - 2 * size.edits]
+            for at in range(0, len(first), 1024):
+                yield from self._verify(words, text, first[at : at + 1024], end[first[at : at + 1024]], n, size)
 
     def _verify(self, words: Words, text: np.ndarray, first: np.ndarray, end: np.ndarray, n: int, size: _Size) -> Iterator[tuple[int, int, int, int, int]]:
         lengths = end - first
         place = np.minimum(first[:, None] + np.arange(n), len(words.hashes) - 1)
         rows = np.where(np.arange(n) < lengths[:, None], words.hashes[place], np.uint64(0))
         found: set[tuple[int, int]] = set()
-        for walk in range(WALKS):
-            embedded = walked(rows, lengths, walk)
+        for walk, embedded in enumerate(walked(rows, lengths)):
             for key, (ordered, item) in zip(_keys(embedded, walk), size.tables[walk]):
                 low, high = np.searchsorted(ordered, key, "left"), np.searchsorted(ordered, key, "right")
                 for w in np.flatnonzero(high > low):
@@ -148,6 +151,23 @@ class Index:
                     yield t, int(size.ids[i[k]]), int(distance[k]), int(first[w[k]] - words.bounds[t]), int(lengths[w[k]])
 
 
+def _pairs_within(pairs: np.ndarray, first: np.ndarray, end: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """How many word pairs of each window are known."""
+    places = np.unique(np.concatenate([np.arange(a, b - 1) for a, b in _joined(first, end)] or [np.zeros(0, np.int64)]))
+    hit = np.zeros(len(pairs) + 1, dtype=np.int32)
+    values = pairs[places]
+    hit[places + 1] = known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+    total = np.cumsum(hit)
+    return total[np.maximum(end - 1, first)] - total[first]
+
+
+def _joined(first: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches that windows in order cover together."""
+    cut = np.flatnonzero(first[1:] > end[:-1]) + 1
+    for a, b in zip(np.concatenate(([0], cut)), np.concatenate((cut, [len(first)]))):
+        yield int(first[a]), int(end[b - 1])
+
+
 def edit_distances(a: np.ndarray, lengths: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The edit distance of the first ``lengths`` words of each row of ``a`` and the whole row of ``b``."""
     n = b.shape[1]
