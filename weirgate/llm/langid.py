@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from weirgate.llm.common import stored
 from weirgate.llm.words import mixed, run_hashes
 
-SAMPLE_DOCS = 1_500
-MAX_WORDS = 200_000
-MAX_GRAMS = 100_000
+SAMPLE_DOCS = 500
+MAX_WORDS = 100_000
+MAX_GRAMS = 50_000
 ORDER = 5
 SLICE_CHARS = 1 << 17
 UNDETERMINED = "und"
@@ -162,12 +162,36 @@ def _find(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(ordered[place] == values, place, -1)
 
 
-def _table(hashes: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+class _Counts:
+    """Counts of hashes, summed whenever enough have come in, so memory follows the distinct ones."""
+
+    def __init__(self):
+        self.kinds, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.waiting.append(hashes)
+        self.size += len(hashes)
+        if self.size > 500_000:
+            self.sum()
+
+    def sum(self) -> None:
+        new, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.waiting]), return_counts=True)
+        self.waiting, self.size = [], 0
+        kinds, where = np.unique(np.concatenate([self.kinds, new]), return_inverse=True)
+        self.counts = np.bincount(where, weights=np.concatenate([self.counts, n]), minlength=len(kinds)).astype(np.int64)
+        self.kinds = kinds
+
+
+def _table(languages: list[_Counts], most: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``most`` frequent hashes (ties by value) with add-half smoothed log frequencies by language."""
-    kinds, where = np.unique(np.concatenate(hashes), return_inverse=True)
-    language = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
-    counts = np.zeros((len(kinds), len(hashes)))
-    np.add.at(counts, (where, language), 1)
+    for one in languages:
+        one.sum()
+    kinds = np.unique(np.concatenate([one.kinds for one in languages]))
+    counts = np.zeros((len(kinds), len(languages)))
+    for k, one in enumerate(languages):
+        counts[np.searchsorted(kinds, one.kinds), k] = one.counts
     keep = np.sort(np.lexsort((kinds, -counts.sum(axis=1)))[:most])
     return kinds[keep], np.log(counts[keep] + 0.5) - np.log(counts.sum(axis=0) + 0.5 * len(kinds))
 
@@ -175,23 +199,18 @@ def _table(hashes: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]
 def fit(texts: dict[str, list[str]]) -> Model:
     """A model of texts by language."""
     languages = sorted(texts)
-    words: list[np.ndarray] = []
-    grams: list[list[np.ndarray]] = [[] for _ in range(ORDER)]
-    for language in languages:
-        mine: list[np.ndarray] = []
-        parts: list[list[np.ndarray]] = [[] for _ in range(ORDER)]
+    words = [_Counts() for _ in languages]
+    grams = [[_Counts() for _ in languages] for _ in range(ORDER)]
+    for k, language in enumerate(languages):
         for text in texts[language]:
             for piece in _pieces(text.lower()):
                 codes, starts, ends, _ = letter_words([piece])
-                mine.append(_word_hashes(codes, starts, ends))
+                hashes = _word_hashes(codes, starts, ends)
+                words[k].add(hashes)
                 # n-grams are counted over the distinct words of a piece: they stand for unseen words
-                _, once = np.unique(mine[-1], return_index=True)
+                _, once = np.unique(hashes, return_index=True)
                 for i, size in enumerate(range(ORDER, 0, -1)):
-                    parts[i].append(_grams(codes, starts[once], ends[once], size)[0])
-        empty = np.zeros(0, np.uint64)
-        words.append(np.concatenate([empty, *mine]))
-        for i in range(ORDER):
-            grams[i].append(np.concatenate([empty, *parts[i]]))
+                    grams[i][k].add(_grams(codes, starts[once], ends[once], size)[0])
     n = np.array([len(texts[language]) for language in languages], dtype=float)
     return Model(languages, np.log((n + 1) / (n.sum() + len(n))), _table(words, MAX_WORDS), [_table(g, MAX_GRAMS) for g in grams])
 
