@@ -39,6 +39,7 @@ MAX_UNIT, UNIT_STEP = 32, 16
 MAX_LANDMARK = 16
 SENTENCE_WORDS = 64
 MAX_CACHED = 300_000
+MARKS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
 CUT = 0.7
 LEAST = 0.2
 
@@ -70,7 +71,8 @@ def sentence_of(words: list[str]) -> np.ndarray:
 
 
 def _units(word: str) -> list[str]:
-    """A long word in overlapping pieces."""
+    """A word without the marks around it; a long one in overlapping pieces."""
+    word = word.strip(MARKS)
     if len(word) <= MAX_UNIT:
         return [word]
     return [word[i : i + MAX_UNIT] for i in range(0, len(word) - UNIT_STEP, UNIT_STEP)]
@@ -214,12 +216,12 @@ def choose_landmarks(texts: list[str], labels: np.ndarray) -> tuple[list[str], i
     """Words tied to toxic texts, then the words of clean texts that are most like these; and how many are toxic."""
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     for text, label in zip(texts, labels):
-        bare = {w.strip(".,!?;:\"'()") for w in words_of(text)}
+        bare = {w.strip(MARKS) for w in words_of(text)}
         seen[label].update(w for w in bare if ORDER <= len(w) <= MAX_LANDMARK)
     toxic, clean = max(int(labels.sum()), 1), max(int((labels == 0).sum()), 1)
     gain = {w: n / toxic * np.log(((n + 0.5) / (toxic + 1)) / ((seen[0][w] + 0.5) / (clean + 1))) for w, n in seen[1].items() if n > 1}
     picked: list[str] = []
-    for w in sorted((w for w in gain if gain[w] > 0), key=lambda w: (-gain[w], w))[: 20 * TOXIC_LANDMARKS]:
+    for w in sorted((w for w in gain if seen[1][w] / toxic >= 4 * (seen[0][w] + 1) / clean), key=lambda w: (-gain[w], w))[: 20 * TOXIC_LANDMARKS]:
         if len(picked) == TOXIC_LANDMARKS:
             break
         if not picked or Landmarks(picked).similar([w])[2].max(initial=0) <= ALIKE:
