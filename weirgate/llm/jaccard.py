@@ -8,8 +8,9 @@ A document's set holds the hashes of its distinct shingles. Two sets link when
    by hash. Sets that link share one of the first ``n - ceil(percent / 100 * n) + 1`` shingles in that order.
 2. Equal sets become one set. Sets with the same prefix and size become one group, and only groups are
    joined on prefix shingles; a shingle of one group alone is dropped first.
-3. Star round: in each list of groups with one shingle and similar size, a group is compared with the first
-   group of one of its lists only. Verified links are made into classes.
+3. Star round: in each list of groups with one shingle and similar size, the center is the group that has the
+   shingle earliest in its order, so with the fewest shingles of its own: the text that the others are edits of,
+   where it is there. A group is compared with two centers at most. Verified links are made into classes.
 4. Cross round: groups that share a shingle are paired where their classes still differ, filtered by size and
    position, expanded to members and verified. Pairs inside one class can't change the classes, so nothing is
    lost, and a large group of near copies is never expanded into all pairs.
@@ -221,15 +222,14 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     for shift in (0.0, 0.5):
         band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + shift) if percent < 100 else F.col("n")
         banded = lists.select("token", "g", "n", "pos", band.alias("band"))
-        first = stored(banded.groupBy("token", "band").agg(F.min(F.struct("g", "n", "pos")).alias("f")), "firsts")
+        first = stored(banded.groupBy("token", "band").agg(F.min(F.struct("pos", "g", "n")).alias("f")), "firsts")
         starred = banded.join(first, ["token", "band"]).where("g <> f.g")
         starred = starred.where(_may_link(F.col("n"), F.col("pos"), F.col("f.n"), F.col("f.pos"), percent))
-        found = stored(starred.groupBy("g").agg(F.min("f.g").alias("first")), "stars")
+        found = stored(starred.groupBy("g").agg(F.min(F.struct("f.pos", "f.g")).alias("f")).select("g", F.col("f.g").alias("first")), "stars")
         stars = found if stars is None else stars.union(found)
     rep_of = groups.select(F.col("g").alias("first"), F.col("rep").alias("center"))
     members = sets.where("id is not null").select("g", F.col("s").alias("member"))
-    one = stars.groupBy("g").agg(F.min("first").alias("first"))
-    centers = stored(stored(one, "star").join(rep_of, "first").select("g", "center"), "centers")
+    centers = stored(stored(stars.distinct(), "star").join(rep_of, "first").select("g", "center"), "centers")
     inside = members.join(groups.select("g", F.col("rep").alias("center")), "g").select("center", "member")
     links = _links(rows, sets, members.join(centers, "g").select("center", "member").union(inside), size, percent)
     ids = sets.select(F.col("s").alias("id"))
