@@ -11,8 +11,9 @@ A document's set holds the hashes of its distinct shingles. Two sets link when
 3. Star round: in each list of groups with one shingle and similar size, the center is the group that has the
    shingle earliest in its order, so with the fewest shingles of its own: the text that the others are edits of,
    where it is there. A group is compared with two centers at most. Verified links are made into classes.
-4. Cross round: groups that share a shingle are paired where their classes still differ, filtered by size and
-   position, expanded to members and verified. Pairs inside one class can't change the classes, so nothing is
+4. Cross round: groups that share a shingle are paired where their classes still differ, filtered by size,
+   position and sketch, expanded to members and verified. A sketch has 1,024 bits, each the parity of the number
+   of shingles that fall on it; two sketches differ in no more bits than their sets in shingles. Pairs inside one class can't change the classes, so nothing is
    lost, and a large group of near copies is never expanded into all pairs.
 
 Verification computes the sets of the documents involved from their texts and compares exact intersections in
@@ -38,6 +39,7 @@ COUNTERS = 1 << 18
 CELL_SETS = 48
 CELL_SHINGLES = 1 << 17
 MOST_SHINGLES = 1 << 20
+SKETCH_LONGS = 16
 
 
 def _sets(words: Words, size: int) -> list[np.ndarray]:
@@ -70,6 +72,13 @@ def _count(size: int):
     return run
 
 
+def _sketch(shingles: np.ndarray) -> np.ndarray:
+    """The parity bits of a set, as longs."""
+    width = 64 * SKETCH_LONGS
+    odd = np.bincount((shingles % np.uint64(width)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -95,8 +104,9 @@ def _profile(size: int, percent: int, counts):
                         pa.array(signed(np.array([_same(s) for s in sets], np.uint64)), pa.int64()),
                         pa.array(signed(np.array([xxhash.xxh3_64_intdigest(p.tobytes(), seed=len(s)) for p, s in zip(prefixes, sets)], np.uint64)), pa.int64()),
                         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(signed(np.concatenate(prefixes)), pa.int64())),
+                        pa.array([_sketch(s) for s in sets], pa.list_(pa.int64())),
                     ],
-                    names=["id", "n", "s", "g", "prefix"],
+                    names=["id", "n", "s", "g", "prefix", "sketch"],
                 )
 
     return run
@@ -168,6 +178,13 @@ def _may_link(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) ->
     return (F.lit(100) * F.least(na, nb) >= F.lit(percent) * F.greatest(na, nb)) & (most >= needed)
 
 
+def _sketches_allow(percent: int) -> Column:
+    """Whether sets ``a`` and ``b`` with these sketches can link; true where a sketch is not known."""
+    differing = sum((F.bit_count(F.col(f"bits{i}a").bitwiseXOR(F.col(f"bits{i}b"))) for i in range(SKETCH_LONGS)), F.lit(0))
+    size = F.col("na") + F.col("nb")
+    return F.coalesce(differing <= size - 2 * F.ceil(size * F.lit(percent) / F.lit(100 + percent)), F.lit(True))
+
+
 def _links(rows: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (center, member: sets) that link, as ``(a, b)``."""
     sized = sets.select(F.col("s").alias("member"), "n")
@@ -206,9 +223,9 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     found = counted.toPandas()  # COUNTERS rows at most
     counts[found["counter"].to_numpy()] = found["n"].to_numpy()
     order = spark.sparkContext.broadcast(counts)
-    profiles = stored(rows.mapInArrow(_profile(size, percent, order), "id long, n long, s long, g long, prefix array<long>"), "profiles")
-    sets = stored(profiles.where("n > 0").groupBy("s").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("g").alias("g")), "sets")
-    groups = stored(sets.where("id is not null").groupBy("g").agg(F.min("s").alias("rep"), F.min("n").alias("n")), "groups")
+    profiles = stored(rows.mapInArrow(_profile(size, percent, order), "id long, n long, s long, g long, prefix array<long>, sketch array<long>"), "profiles")
+    sets = stored(profiles.where("n > 0").groupBy("s").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("g").alias("g"), F.first("sketch").alias("sketch")), "sets")
+    groups = stored(sets.where("id is not null").groupBy("g").agg(F.min("s").alias("rep"), F.min("n").alias("n"), F.when(F.count("s") == 1, F.first("sketch")).alias("sketch")), "groups")
     reps = sets.join(groups.select(F.col("rep").alias("s")), "s").select("s", F.col("id").alias("least"))
     postings = (
         profiles.join(stored(reps, "reps"), "s")
@@ -240,11 +257,13 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     )
     open_lists = stored(lists.join(units.select("g", "c").distinct(), "g"), "open")
     mixed_tokens = stored(open_lists.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("token"), "mixed")
-    crossing = stored(open_lists.join(mixed_tokens, "token"), "crossing")
-    a, b = (crossing.select("token", *(F.col(x).alias(f"{x}{side}") for x in ("g", "c", "n", "pos"))) for side in "ab")
+    bits = [f"bits{i}" for i in range(SKETCH_LONGS)]
+    sketched = groups.select("g", *(F.col("sketch")[i].alias(x) for i, x in enumerate(bits)))  # of groups of one set
+    crossing = stored(stored(open_lists.join(mixed_tokens, "token"), "mixed_lists").join(sketched, "g"), "crossing")
+    a, b = (crossing.select("token", *(F.col(x).alias(f"{x}{side}") for x in ("g", "c", "n", "pos", *bits))) for side in "ab")
     near = _may_link(F.col("na"), F.col("posa"), F.col("nb"), F.col("posb"), percent)
     # common prefix shingles all come before the last one, so what is left after it bounds the intersection
-    met = a.join(b, "token").where((F.col("ca") < F.col("cb")) & near).groupBy("ga", "ca", "gb", "cb")
+    met = a.join(b, "token").where((F.col("ca") < F.col("cb")) & near & _sketches_allow(percent)).groupBy("ga", "ca", "gb", "cb")
     met = met.agg(F.count("token").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("posa").alias("posa"), F.max("posb").alias("posb"))
     most = F.col("common") + F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) - 1
     needed = F.ceil((F.col("na") + F.col("nb")) * F.lit(percent) / F.lit(100 + percent))
