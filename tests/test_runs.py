@@ -78,6 +78,30 @@ def test_overall_health_and_status(runs, histories):
         assert r.current_version == ("1.0.0" if recent else None)
 
 
+def test_packages_outside_the_environments_are_unknown(spark):
+    runs = frame(spark, history("p", "sandbox", ["failure"] * 3) + history("q", None, ["success"]) + history("r", "dev", ["success"]))
+    expected = {"p": "unknown", "q": "unknown", "r": "healthy"}
+    assert {r.package: r.overall_health for r in R.overall_health(runs).collect()} == expected
+    status = R.packages_status(runs).collect()
+    assert {r.package: r.overall_health for r in status} == expected and len(status) == 9
+    assert all(r.health == "unknown" for r in status if r.package != "r")
+
+
+def test_completion_keeps_columns_and_counts_once(spark):
+    opened = frame(spark, history("p", "dev", ["running", "running"])).drop("records_processed")
+    done = spark.createDataFrame(
+        [("p-dev-00", "failure", START, 5, 50), ("p-dev-00", "success", START + timedelta(seconds=2), 7, 70), ("gone", "success", START, 1, 1)],
+        "id string, status string, end_time timestamp_ntz, records_processed bigint, bytes_processed bigint",
+    )
+    got = {r.id: r for r in R.complete_runs(opened, done).collect()}
+    assert len(got) == 2 and got["p-dev-01"].status == "running" and got["p-dev-01"].bytes_processed is None
+    first = got["p-dev-00"]
+    assert (first.status, first.duration_ms, first.records_processed, first.bytes_processed, first.version) == ("success", 2000, 7, 70, "1.0.0")
+    rates = {r.id: r for r in R.throughput(R.complete_runs(opened, done)).collect()}
+    assert (rates["p-dev-00"].bytes_per_second, rates["p-dev-01"].bytes_per_second) == (35.0, None)
+    assert R.package_throughput(R.complete_runs(opened, done)).first().bytes_per_second == 35.0
+
+
 def test_statistics_divide_by_all_runs(spark):
     runs = frame(spark, history("p", "dev", ["running", "success", "failure", "success"]))
     row = R.run_statistics(runs).first()

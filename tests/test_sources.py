@@ -9,7 +9,7 @@ from weirgate.sources.custom import read_resolved
 
 TABLE = Contract.from_dict(
     {
-        "name": "example_table", "format": "csv",
+        "name": "gauge_posts", "format": "csv",
         "schema": [{"name": "id", "type": "integer"}, {"name": "name"}, {"name": "created_at", "type": "timestamp"}],
     }
 )
@@ -22,8 +22,8 @@ def write(folder, name, text):
 
 
 def test_csv(spark, folder, rows):
-    path = write(folder, "t.csv", 'name,id\n"O\'Reilly",1\n"say ""hi"", ok",2\n,3\n')
-    assert rows(S.read_csv(spark, path, TABLE).select("id", "name")) == [(1, "O'Reilly"), (2, 'say "hi", ok'), (3, None)]
+    path = write(folder, "t.csv", 'name,id\n"Pont d\'Arc",1\n"say ""hi"", ok",2\n,3\n')
+    assert rows(S.read_csv(spark, path, TABLE).select("id", "name")) == [(1, "Pont d'Arc"), (2, 'say "hi", ok'), (3, None)]
 
 
 def test_ragged_csv_fails(spark, folder):
@@ -48,8 +48,8 @@ def test_csv_values_are_text_without_a_contract(spark, folder):
 
 
 def test_json_array(spark, folder, rows):
-    path = write(folder, "t.json", json.dumps([{"id": 1, "name": "alice"}, {"name": "bob", "other": 2}], indent=1))
-    assert rows(S.read_seed_file(spark, path, TABLE).select("id", "name")) == [(1, "alice"), (None, "bob")]
+    path = write(folder, "t.json", json.dumps([{"id": 1, "name": "mill race"}, {"name": "lower sluice", "other": 2}], indent=1))
+    assert rows(S.read_seed_file(spark, path, TABLE).select("id", "name")) == [(1, "mill race"), (None, "lower sluice")]
 
 
 def test_unknown_seed_extension(spark):
@@ -58,10 +58,10 @@ def test_unknown_seed_extension(spark):
 
 
 def test_inline_rows(spark):
-    given = [{"id": 1, "name": "alice", "created_at": "2024-01-01T00:00:00Z"}, {"id": -1, "name": ""}]
+    given = [{"id": 1, "name": "mill race", "created_at": "2024-01-01T00:00:00Z"}, {"id": -1, "name": ""}]
     got = S.inline_rows(spark, given, TABLE).orderBy("id").collect()
     assert (got[0].id, got[0].name, got[0].created_at) == (-1, "", None)
-    assert got[1].name == "alice" and got[1].created_at is not None
+    assert got[1].name == "mill race" and got[1].created_at is not None
 
 
 def test_missing_modules_are_named(spark, folder):

@@ -188,7 +188,7 @@ def test_state_partitions_follow_the_input(spark, folder):
 
 def test_shuffles_are_sized_for_the_input(spark):
     name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-    assert shuffle_partitions(10**14) == 100_000 and shuffle_partitions(10**12) == 7451
+    assert shuffle_partitions(10**14) == 745_059 and shuffle_partitions(10**12) == 7451
     size_shuffles(spark, 1000)
     assert spark.conf.get(name, None) is None
     size_shuffles(spark, 10**12)

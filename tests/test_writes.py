@@ -11,10 +11,10 @@ from weirgate.sources import keyed
 from weirgate.sources import refresh as D
 from weirgate.sources import writers as K
 
-TABLE = Contract.from_dict({"name": "example_table", "schema": [{"name": "id", "type": "integer"}, {"name": "name"}]})
+TABLE = Contract.from_dict({"name": "gauge_posts", "schema": [{"name": "id", "type": "integer"}, {"name": "name"}]})
 
 
-def people(spark, *pairs):
+def posts(spark, *pairs):
     return spark.createDataFrame(list(pairs), "id int, name string")
 
 
@@ -26,18 +26,18 @@ def test_create_if_absent(spark, folder):
 
 def test_append_keeps_earlier_files(spark, folder, rows):
     for i in range(2):
-        path = K.append_files(people(spark, (i, "x")), folder, "t")
+        path = K.append_files(posts(spark, (i, "x")), folder, "t")
     assert rows(spark.read.parquet(path)) == [(0, "x"), (1, "x")]
 
 
 def test_single_file(spark, folder):
-    path = K.write_single_file(people(spark, *[(i, "x") for i in range(50)]).repartition(5), folder, "t")
+    path = K.write_single_file(posts(spark, *[(i, "x") for i in range(50)]).repartition(5), folder, "t")
     assert len(list(Path(path).glob("part-*"))) == 1
 
 
 def test_refresh_may_read_what_it_replaces(spark, folder, rows):
     path = f"{folder}/t"
-    people(spark, (1, "a"), (2, "b")).write.parquet(path)
+    posts(spark, (1, "a"), (2, "b")).write.parquet(path)
     assert K.refresh_table(spark.read.parquet(path).filter("id > 1"), path) == 1
     assert rows(spark.read.parquet(path)) == [(2, "b")]
     assert [p.name for p in Path(folder).iterdir()] == ["t"]
@@ -45,7 +45,7 @@ def test_refresh_may_read_what_it_replaces(spark, folder, rows):
 
 def test_failed_refresh_leaves_the_table(spark, folder, rows):
     path = f"{folder}/t"
-    people(spark, (1, "a")).write.parquet(path)
+    posts(spark, (1, "a")).write.parquet(path)
     bad = spark.read.parquet(path).withColumn("id", F.raise_error(F.lit("no")).cast("int"))
     with pytest.raises(Exception):
         K.refresh_table(bad, path)
@@ -66,7 +66,7 @@ def test_fan_out_counts_failures(spark, folder):
     def broken(name, df):
         raise OSError("disk")
 
-    df = people(spark, (1, "a"), (2, "b"))
+    df = posts(spark, (1, "a"), (2, "b"))
     summary = K.fan_out({"t": df, "u": df}, {"lake": lambda n, x: K.append_files(x, folder, n), "bad": broken})
     got = {(r.table_name, r.destination): (r.rows_written, r.errors) for r in summary.collect()}
     assert got == {(t, d): v for t in "tu" for d, v in (("lake", (2, 0)), ("bad", (0, 1)))}
@@ -82,27 +82,43 @@ def test_event_logs_are_independent(spark, folder):
 
 
 def test_upsert(spark, rows):
-    current = people(spark, (1, "a"), (2, "b"))
+    current = posts(spark, (1, "a"), (2, "b"))
     changes = spark.createDataFrame([(2, "new", 5), (2, "newer", 6), (3, "c", 1)], "id int, name string, at int")
     assert rows(keyed.upsert(current, changes, ["id"], [F.col("at").desc()])) == [(1, "a"), (2, "newer"), (3, "c")]
 
 
 def test_change_log(spark, rows):
-    current = people(spark, (1, "a"), (2, "b"))
+    current = posts(spark, (1, "a"), (2, "b"))
     log = [(1, "x", 1, "update"), (1, "y", 3, "delete"), (1, "z", 2, "update"), (4, "d", 4, "insert"), (2, "q", 9, "update")]
     changes = spark.createDataFrame(log, "id int, name string, position int, op string")
     assert rows(keyed.apply_change_log(current, changes, ["id"])) == [(2, "q"), (4, "d")]
 
 
+@pytest.mark.parametrize("op", [None, "bogus"])
+def test_change_log_rejects_unknown_operations(spark, op):
+    changes = spark.createDataFrame([(1, "x", 1, op), (1, "y", 2, "update")], "id int, name string, position int, op string")
+    with pytest.raises(Exception, match="unknown operation"):
+        keyed.apply_change_log(posts(spark, (1, "a")), changes, ["id"])
+
+
+def test_null_keys_are_one_key(spark, rows):
+    current = posts(spark, (1, "a"), (None, "old"))
+    changes = spark.createDataFrame([(None, "new", 5)], "id int, name string, at int")
+    assert rows(keyed.upsert(current, changes, ["id"], [F.col("at").desc()])) == [(1, "a"), (None, "new")]
+    gone = spark.createDataFrame([(None, None, "delete")], "id int, name string, op string")
+    assert rows(keyed.apply_changes(current, gone, ["id"])) == [(1, "a")]
+
+
 def test_keyed_changes(spark, rows):
-    current = people(spark, (1, "a"), (2, "b"))
+    current = posts(spark, (1, "a"), (2, "b"))
 
     def changes(*given):
         return spark.createDataFrame(list(given), "id int, name string, op string")
 
     good = changes((1, "x", "update"), (2, None, "delete"), (3, "c", "create"))
     assert rows(keyed.apply_changes(current, good, ["id"])) == [(1, "x"), (3, "c")]
-    for bad, reason in (((1, "x", "create"), "already exists"), ((9, "x", "update"), "not found"), ((9, None, "delete"), "not found")):
+    for bad, reason in (((1, "x", "create"), "already exists"), ((9, "x", "update"), "not found"), ((9, None, "delete"), "not found"),
+                        ((2, None, None), "unknown operation"), ((7, "x", "bogus"), "unknown operation")):
         with pytest.raises(ValueError, match=reason):
             keyed.apply_changes(current, changes(bad), ["id"])
     with pytest.raises(ValueError, match="more than one"):
@@ -122,10 +138,20 @@ def test_upsert_partitions_moves_keys_and_empties_partitions(spark, folder, rows
     assert rows(spark.read.parquet(path)) == [(1, "A", "s2"), (2, "B", "s2"), (3, "c", "s2"), (4, "d", "s3")]
 
 
+def test_upsert_partitions_with_null_and_spaced_values(spark, folder, rows):
+    path = f"{folder}/t"
+    schema = "id int, name string, seg string"
+    K.write_partitioned(spark.createDataFrame([(1, "a", None), (2, "b", "s 1:x"), (3, "c", "s2")], schema), path, "seg")
+    changes = spark.createDataFrame([(1, "A", "s2"), (2, "B", "s2")], schema)
+    keyed.upsert_partitions(path, changes, ["id"], [F.col("name")], "seg")
+    assert rows(spark.read.parquet(path)) == [(1, "A", "s2"), (2, "B", "s2"), (3, "c", "s2")]
+    assert [p.name for p in Path(path).iterdir() if p.is_dir()] == ["seg=s2"]
+
+
 def test_fingerprint_ignores_order_and_counts_copies(spark):
     rng = random.Random(1)
     raw = [(rng.randint(0, 5), rng.choice(["a", "b\nc=1:x", None, ""])) for _ in range(300)]
-    df = people(spark, *raw)
+    df = posts(spark, *raw)
 
     def of(frame, table="t", profile="default"):
         return P.table_fingerprint(frame, table, profile).first()
@@ -137,7 +163,7 @@ def test_fingerprint_ignores_order_and_counts_copies(spark):
     assert of(df.union(df.limit(1)))["fingerprint"] != base["fingerprint"]
     assert of(df.union(df))["fingerprint"] != base["fingerprint"]
     assert of(df, profile="large")["fingerprint"] != base["fingerprint"]
-    assert of(people(spark, (1, None)))["fingerprint"] != of(people(spark, (1, "")))["fingerprint"]
+    assert of(posts(spark, (1, None)))["fingerprint"] != of(posts(spark, (1, "")))["fingerprint"]
     assert of(df.filter("id > 99"))["row_count"] == 0
 
 
@@ -149,7 +175,7 @@ def test_verify(spark):
 
 def test_refresh_only_on_change(spark, folder, rows):
     path, meta = f"{folder}/t", f"{folder}/meta"
-    default, edge = people(spark, (1, "alice"), (2, "bob")), people(spark, (-1, ""), (1, "O'Reilly"))
+    default, edge = posts(spark, (1, "mill race"), (2, "lower sluice")), posts(spark, (-1, ""), (1, "Pont d'Arc"))
 
     def load(df, **kw):
         r = D.refresh(spark, TABLE, df, path, meta, **kw)
@@ -159,9 +185,9 @@ def test_refresh_only_on_change(spark, folder, rows):
     assert load(default.repartition(3)) == (0, 0, 1)
     assert load(default, force=True) == (1, 2, 0)
     assert load(edge, profile="edge-cases") == (1, 2, 0)
-    assert rows(spark.read.parquet(path)) == [(-1, ""), (1, "O'Reilly")]
+    assert rows(spark.read.parquet(path)) == [(-1, ""), (1, "Pont d'Arc")]
     assert load(default) == (1, 2, 0)
-    assert rows(spark.read.parquet(path)) == [(1, "alice"), (2, "bob")]
+    assert rows(spark.read.parquet(path)) == [(1, "mill race"), (2, "lower sluice")]
     assert load(None, profile="empty") == (0, 0, 0)
     assert spark.read.parquet(path).count() == 2
     assert load(None, profile="empty", clean=True) == (1, 0, 0)
@@ -171,8 +197,8 @@ def test_refresh_only_on_change(spark, folder, rows):
 
 def test_seed_profiles(spark, folder):
     csv = Path(folder) / "large.csv"
-    csv.write_text("id,name\n" + "".join(f"{i},user{i}\n" for i in range(20)))
-    seed = D.Seed(inline=({"id": 1, "name": "alice"},), file="ignored.csv", profiles={
+    csv.write_text("id,name\n" + "".join(f"{i},gate {i}\n" for i in range(20)))
+    seed = D.Seed(inline=({"id": 1, "name": "mill race"},), file="ignored.csv", profiles={
         "large": D.Seed(file=str(csv)), "empty": D.Seed(),
     })
     assert D.seed_rows(spark, TABLE, seed).count() == 1
@@ -203,7 +229,7 @@ def test_partition_retention(spark, folder):
 
 
 def test_model_tables(spark, folder):
-    df = people(spark, (1, "a"), (2, "b"))
+    df = posts(spark, (1, "a"), (2, "b"))
     saved = K.save_model(df, "weirgate_model_test", cluster_by=["id"], buckets=2, path=f"{folder}/m")
     assert saved.count() == 2
     K.recreate_table(df.select("id"), "weirgate_model_test", f"{folder}/m2")

@@ -183,9 +183,10 @@ def packages_status(runs: DataFrame) -> DataFrame:
         .agg(*_statistics(), _health().alias("health"), newest_run.alias("last"))
     )
     entry = F.struct(*[c for c in per_env.columns if c != "package"])
-    grouped = per_env.filter(F.col("environment").isin(*ENVIRONMENTS)).groupBy("package").agg(
-        F.map_from_entries(F.collect_list(F.struct("environment", entry))).alias("known"),
-        *_overall_columns(),
+    counted = F.col("environment").isin(*ENVIRONMENTS)
+    grouped = per_env.groupBy("package").agg(
+        F.map_from_entries(F.collect_list(F.when(counted, F.struct("environment", entry)))).alias("known"),
+        *_overall_columns(counted),
     )
     every = grouped.select(
         "package", "overall_health", "known", F.explode(F.array(*[F.lit(e) for e in ENVIRONMENTS])).alias("environment")
@@ -208,11 +209,13 @@ def packages_status(runs: DataFrame) -> DataFrame:
     )
 
 
-def _overall_columns() -> list[Column]:
-    unhealthy = F.count_if(F.col("health") == "unhealthy")
-    healthy = F.count_if(F.col("health") == "healthy")
+def _overall_columns(counted: Column) -> list[Column]:
+    """Health over the counted rows; a package without any is unknown."""
+    unhealthy = F.count_if(counted & (F.col("health") == "unhealthy"))
+    healthy = F.count_if(counted & (F.col("health") == "healthy"))
+    total = F.count_if(counted)
     overall = (
-        F.when(unhealthy > 0, "unhealthy").when(healthy == F.count(F.lit(1)), "healthy").otherwise("degraded")
+        F.when(total == 0, "unknown").when(unhealthy > 0, "unhealthy").when(healthy == total, "healthy").otherwise("degraded")
     )
     return [overall.alias("overall_health")]
 
@@ -221,27 +224,27 @@ def packages(runs: DataFrame) -> DataFrame:
     return runs.select("package").distinct()
 
 
+def _amounts(runs: DataFrame) -> dict[str, str]:
+    """What throughput is given for: records, and bytes where the runs have them."""
+    both = {"records_processed": "records_per_second", "bytes_processed": "bytes_per_second"}
+    return {amount: rate for amount, rate in both.items() if amount in runs.columns}
+
+
 def throughput(runs: DataFrame) -> DataFrame:
-    """Records per second of each run; NULL when the duration is zero or unknown."""
+    """Records and bytes per second of each run; NULL when the duration is zero or unknown."""
     seconds = F.col("duration_ms") / F.lit(1000.0)
-    return runs.select(
-        "id",
-        "package",
-        "records_processed",
-        "duration_ms",
-        F.when(F.col("duration_ms") > 0, F.col("records_processed") / seconds).alias("records_per_second"),
-    )
+    amounts = _amounts(runs)
+    rates = [F.when(F.col("duration_ms") > 0, F.col(amount) / seconds).alias(rate) for amount, rate in amounts.items()]
+    return runs.select("id", "package", *amounts, "duration_ms", *rates)
 
 
 def package_throughput(runs: DataFrame) -> DataFrame:
-    """Records per second per package: total records over total time of runs that took any."""
+    """Records and bytes per second per package: the total over the total time of runs that took any."""
     timed = runs.filter(F.col("duration_ms") > 0)
-    records, millis = F.sum("records_processed"), F.sum("duration_ms")
-    return timed.groupBy("package").agg(
-        records.alias("records_processed"),
-        millis.alias("duration_ms"),
-        (records / (millis / F.lit(1000.0))).alias("records_per_second"),
-    )
+    amounts, millis = _amounts(runs), F.sum("duration_ms")
+    sums = [F.sum(amount).alias(amount) for amount in amounts]
+    rates = [(F.sum(amount) / (millis / F.lit(1000.0))).alias(rate) for amount, rate in amounts.items()]
+    return timed.groupBy("package").agg(*sums, millis.alias("duration_ms"), *rates)
 
 
 def last_errors(runs: DataFrame, n: int = 10) -> DataFrame:
@@ -268,22 +271,20 @@ def promotion_history(promotions: DataFrame, limit: int | None = None) -> DataFr
 
 
 def complete_runs(open_runs: DataFrame, completions: DataFrame) -> DataFrame:
-    """Open runs with the outcome of their completion: status, end, duration, records and error.
+    """Open runs, all their columns kept, with the outcome of their completion: status, end, duration and error, and
+    records and bytes where the completions have them.
 
+    Of several completions of a run the one that ended last counts, of equal ones that with the smaller status.
     Completions of unknown runs are left to :func:`weirgate.sources.keyed.rejected_changes`.
     """
-    outcome = completions.select(
-        "id", F.col("status").alias("new_status"), F.col("end_time").alias("new_end"),
-        F.col("records_processed").alias("new_records"), F.col("error_message").alias("new_error"),
-    )
-    return open_runs.join(outcome, "id", "left").select(
-        "id", "package", "environment", "start_time",
-        F.coalesce("new_status", "status").alias("status"),
-        F.col("new_end").alias("end_time"),
-        millis_between(F.col("start_time"), F.col("new_end")).alias("duration_ms"),
-        F.col("new_records").alias("records_processed"),
-        F.col("new_error").alias("error_message"),
-    )
+    given = [c for c in ("status", "end_time", "records_processed", "bytes_processed", "error_message") if c in completions.columns]
+    last = newest(completions.select("id", *given), ("id",), [F.col("end_time").desc_nulls_last(), F.col("status")])
+    outcome = last.select("id", *[F.col(c).alias(f"__{c}") for c in given])
+    values = {c: F.col(f"__{c}") for c in given}
+    values["status"] = F.coalesce("__status", "status")
+    values["duration_ms"] = millis_between(F.col("start_time"), F.col("__end_time"))
+    kept = [F.col(c) for c in open_runs.columns if c not in values]
+    return open_runs.join(outcome, "id", "left").select(*kept, *[v.alias(c) for c, v in values.items()])
 
 
 def audit_trail(*events: DataFrame) -> DataFrame:

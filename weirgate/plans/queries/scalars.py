@@ -65,7 +65,7 @@ def version_order(t):
         "name",
         "version",
         V.is_semver(F.col("version")).alias("is_version"),
-        V.is_semver(F.substring("version", 3, 100)).alias("tail_is_version"),
+        V.is_semver(F.substr(F.col("version"), F.lit(3))).alias("tail_is_version"),
         F.coalesce("highest", F.lit(False)).alias("highest"),
     )
 

@@ -139,7 +139,8 @@ def stream_heartbeats(t):
     try:
         stream = event_stream(t).select("event_id", "event_type", "value")
         query = ingest.run_available(ingest.fan_out_stream(stream, {"lake": out}, checkpoint))
-        listener.wait_for_end(str(query.runId), seconds=30)
+        if not listener.wait_for_end(str(query.runId), seconds=300):
+            raise RuntimeError("the stream's last heartbeat did not arrive")
     finally:
         t.spark.streams.removeListener(listener)
     reported = t.spark.createDataFrame(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weirgate.contracts import Contract
 from weirgate.operators import runs as R
 from weirgate.operators.events import date_range, name_summary
-from weirgate.plans.queries.events import example_table
+from weirgate.plans.queries.events import named_events
 from weirgate.plans.registry import query
 from weirgate.session import scratch_path
 from weirgate.sources import keyed, refresh, writers
@@ -158,7 +158,7 @@ def backfilled_partitions(t):
 )
 def materialised_model(t):
     table = f"summary_{uuid.uuid4().hex}"
-    return writers.save_model(name_summary(example_table(t)), table, path=scratch_path(t.spark, "model"))
+    return writers.save_model(name_summary(named_events(t)), table, path=scratch_path(t.spark, "model"))
 
 
 @query("K12", "SELECT run_id, event_type, event_time, job_name FROM lineage_events")

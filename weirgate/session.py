@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 INITIAL_PARTITIONS_CONF = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 SHUFFLE_PARTITION_BYTES = 128 * 1024 * 1024
-MAX_SHUFFLE_PARTITIONS = 100_000
 
 
 def with_defaults(builder: SparkSession.Builder) -> SparkSession.Builder:
@@ -41,7 +40,7 @@ def path_bytes(spark: SparkSession, path: str) -> int:
 
 def shuffle_partitions(input_bytes: int) -> int:
     """Partitions that keep a shuffle of the whole input at about 128 MB each."""
-    return min(-(-input_bytes // SHUFFLE_PARTITION_BYTES), MAX_SHUFFLE_PARTITIONS)
+    return -(-input_bytes // SHUFFLE_PARTITION_BYTES)
 
 
 def size_shuffles(spark: SparkSession, input_bytes: int) -> None:

@@ -137,7 +137,8 @@ def apply_partition_retention(
     table = spark.read.parquet(path)
     name = F.col(partition).cast("string")
     first_kept = (as_of - timedelta(days=days)).isoformat()
-    gone = sorted(r[0] for r in table.select(name).distinct().collect() if r[0] < first_kept)
+    days_held = table.where(name < first_kept).select(name).distinct()
+    gone = sorted(r[0] for r in days_held.collect())  # one per folder; rows without a day never expire
     if policy == "notify" or not gone:
         return gone
     if policy == "archive":

@@ -145,7 +145,7 @@ def fan_out(
     A table that goes to several destinations is staged once, so its source is read once. A failed write
     is counted for its table and the others go on. Up to ``parallel`` tables are written side by side.
     """
-    spark = next(iter(tables.values())).sparkSession
+    spark = SparkSession.active()
 
     def sync(item: tuple[str, DataFrame]) -> list[tuple]:
         name, df = item
@@ -155,13 +155,13 @@ def fan_out(
             if len(destinations) > 1:
                 source = written(source, "fanout")
         except Exception as error:
-            return [(name, d, 0, 1, str(error)[:500]) for d in destinations]
+            return [(name, d, 0, 1, str(error)) for d in destinations]
         for destination, write in destinations.items():
             try:
                 write(name, source)
                 rows.append((name, destination, observed.get["rows"], 0, None))
             except Exception as error:
-                rows.append((name, destination, 0, 1, str(error)[:500]))
+                rows.append((name, destination, 0, 1, str(error)))
         return rows
 
     with ThreadPoolExecutor(max_workers=parallel) as pool:
