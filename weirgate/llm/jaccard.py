@@ -16,8 +16,8 @@ A document's set holds the hashes of its distinct shingles. Two sets link when
    of shingles that fall on it; two sketches differ in no more bits than their sets in shingles. Pairs inside one class can't change the classes, so nothing is
    lost, and a large group of near copies is never expanded into all pairs.
 
-Verification computes the sets of the documents involved from their texts and compares exact intersections in
-cells: one set and a bounded number of its partners.
+Verification drops pairs that their sketches rule out, computes the sets of the documents left from their texts and
+compares exact intersections in cells: one set and a bounded number of its partners.
 """
 
 from __future__ import annotations
@@ -186,20 +186,25 @@ def _sketches_allow(percent: int) -> Column:
 
 
 def _links(rows: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (center, member: sets) that link, as ``(a, b)``."""
-    sized = sets.select(F.col("s").alias("member"), "n")
-    pairs = stored(pairs.where("center <> member").distinct(), "pairs")
-    load = pairs.join(sized, "member").groupBy("center").agg(F.count("member").alias("m"), F.sum("n").alias("n"))
+    """Those of ``pairs`` (center, member: sets) that link, as ``(a, b)``. Sets are only shipped for pairs that their
+    sketches allow."""
+    centers, partners = (
+        sets.select(F.col("s").alias(name), F.col("n").alias(f"n{end}"), *(F.col("sketch")[i].alias(f"bits{i}{end}") for i in range(SKETCH_LONGS)))
+        for name, end in (("center", "a"), ("member", "b"))
+    )
+    met = stored(pairs.where("center <> member").distinct(), "met").join(centers, "center").join(partners, "member")
+    pairs = stored(met.where(_sketches_allow(percent)).select("center", "member", F.col("nb").alias("n")), "pairs")
+    load = pairs.groupBy("center").agg(F.count("member").alias("m"), F.sum("n").alias("n"))
     blocks = stored(
         load.select("center", F.greatest(F.ceil(F.col("m") / CELL_SETS), F.ceil(F.col("n") / CELL_SHINGLES)).alias("blocks")), "blocks"
     )
     members = pairs.join(blocks, "center").select(
         F.col("member").alias("s"), "center", F.expr("pmod(hash(member), blocks)").alias("block"), "member"
     )
-    centers = blocks.select(
+    heads = blocks.select(
         F.col("center").alias("s"), "center", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("member")
     )
-    cells = members.unionByName(centers).groupBy("s").agg(F.collect_list(F.struct("center", "block", "member")).alias("cells"))
+    cells = members.unionByName(heads).groupBy("s").agg(F.collect_list(F.struct("center", "block", "member")).alias("cells"))
     placed = stored(stored(cells, "cells").join(sets.select("s", "id"), "s").select("id", "s", "cells"), "placed")
     whole = rows.join(placed, "id").select("s", "cells", "text")
     celled = whole.mapInArrow(_celled(size), "center long, block long, member long, shingles array<long>")
