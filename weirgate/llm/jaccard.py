@@ -13,7 +13,8 @@ A document's set holds the hashes of its distinct shingles. Two sets link when
    where it is there. A group is compared with two centers at most. Verified links are made into classes.
 4. Cross round: groups that share a shingle are paired where their classes still differ, filtered by size,
    position and sketch, expanded to members and verified. A sketch has 1,024 bits, each the parity of the number
-   of shingles that fall on it; two sketches differ in no more bits than their sets in shingles. Pairs inside one class can't change the classes, so nothing is
+   of shingles that fall on it; two sketches differ in no more bits than their sets in shingles. Lists carry it folded to
+   256 bits, verification uses all of it. Pairs inside one class can't change the classes, so nothing is
    lost, and a large group of near copies is never expanded into all pairs.
 
 Verification drops pairs that their sketches rule out, computes the sets of the documents left from their texts and
@@ -23,6 +24,7 @@ compares exact intersections in cells: one set and a bounded number of its partn
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,7 @@ CELL_SETS = 48
 CELL_SHINGLES = 1 << 17
 MOST_SHINGLES = 1 << 20
 SKETCH_LONGS = 16
+FOLDED_LONGS = 4
 
 
 def _sets(words: Words, size: int) -> list[np.ndarray]:
@@ -178,9 +181,15 @@ def _may_link(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) ->
     return (F.lit(100) * F.least(na, nb) >= F.lit(percent) * F.greatest(na, nb)) & (most >= needed)
 
 
-def _sketches_allow(percent: int) -> Column:
+def _bits(longs: int) -> list[Column]:
+    """The sketch in ``longs`` longs: folded by exclusive or, it is the sketch of the set on so many bits."""
+    parts = [[F.col("sketch")[k] for k in range(i, SKETCH_LONGS, longs)] for i in range(longs)]
+    return [reduce(Column.bitwiseXOR, part).alias(f"bits{i}") for i, part in enumerate(parts)]
+
+
+def _sketches_allow(percent: int, longs: int) -> Column:
     """Whether sets ``a`` and ``b`` with these sketches can link; true where a sketch is not known."""
-    differing = sum((F.bit_count(F.col(f"bits{i}a").bitwiseXOR(F.col(f"bits{i}b"))) for i in range(SKETCH_LONGS)), F.lit(0))
+    differing = sum((F.bit_count(F.col(f"bits{i}a").bitwiseXOR(F.col(f"bits{i}b"))) for i in range(longs)), F.lit(0))
     size = F.col("na") + F.col("nb")
     return F.coalesce(differing <= size - 2 * F.ceil(size * F.lit(percent) / F.lit(100 + percent)), F.lit(True))
 
@@ -189,11 +198,11 @@ def _links(rows: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, percen
     """Those of ``pairs`` (center, member: sets) that link, as ``(a, b)``. Sets are only shipped for pairs that their
     sketches allow."""
     centers, partners = (
-        sets.select(F.col("s").alias(name), F.col("n").alias(f"n{end}"), *(F.col("sketch")[i].alias(f"bits{i}{end}") for i in range(SKETCH_LONGS)))
+        sets.select("s", "n", *_bits(SKETCH_LONGS)).toDF(name, f"n{end}", *(f"bits{i}{end}" for i in range(SKETCH_LONGS)))
         for name, end in (("center", "a"), ("member", "b"))
     )
     met = stored(pairs.where("center <> member").distinct(), "met").join(centers, "center").join(partners, "member")
-    pairs = stored(met.where(_sketches_allow(percent)).select("center", "member", F.col("nb").alias("n")), "pairs")
+    pairs = stored(met.where(_sketches_allow(percent, SKETCH_LONGS)).select("center", "member", F.col("nb").alias("n")), "pairs")
     load = pairs.groupBy("center").agg(F.count("member").alias("m"), F.sum("n").alias("n"))
     blocks = stored(
         load.select("center", F.greatest(F.ceil(F.col("m") / CELL_SETS), F.ceil(F.col("n") / CELL_SHINGLES)).alias("blocks")), "blocks"
@@ -237,7 +246,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         .where("id = least")
         .select("g", "n", F.posexplode("prefix").alias("pos", "token"))
     )
-    shared = stored(postings.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x < y").select("token"), "tokens")
+    shared = stored(postings.groupBy("token").agg(F.count("g").alias("lists")).where("lists > 1").select("token"), "tokens")
     lists = stored(postings.join(shared, "token").select("token", "g", "n", "pos"), "lists")
 
     stars = None
@@ -262,13 +271,13 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     )
     open_lists = stored(lists.join(units.select("g", "c").distinct(), "g"), "open")
     mixed_tokens = stored(open_lists.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("token"), "mixed")
-    bits = [f"bits{i}" for i in range(SKETCH_LONGS)]
-    sketched = groups.select("g", *(F.col("sketch")[i].alias(x) for i, x in enumerate(bits)))  # of groups of one set
+    bits = [f"bits{i}" for i in range(FOLDED_LONGS)]
+    sketched = groups.select("g", *_bits(FOLDED_LONGS))  # of groups of one set
     crossing = stored(stored(open_lists.join(mixed_tokens, "token"), "mixed_lists").join(sketched, "g"), "crossing")
     a, b = (crossing.select("token", *(F.col(x).alias(f"{x}{side}") for x in ("g", "c", "n", "pos", *bits))) for side in "ab")
     near = _may_link(F.col("na"), F.col("posa"), F.col("nb"), F.col("posb"), percent)
     # common prefix shingles all come before the last one, so what is left after it bounds the intersection
-    met = a.join(b, "token").where((F.col("ca") < F.col("cb")) & near & _sketches_allow(percent)).groupBy("ga", "ca", "gb", "cb")
+    met = a.join(b, "token").where((F.col("ca") < F.col("cb")) & near & _sketches_allow(percent, FOLDED_LONGS)).groupBy("ga", "ca", "gb", "cb")
     met = met.agg(F.count("token").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("posa").alias("posa"), F.max("posb").alias("posb"))
     most = F.col("common") + F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) - 1
     needed = F.ceil((F.col("na") + F.col("nb")) * F.lit(percent) / F.lit(100 + percent))
