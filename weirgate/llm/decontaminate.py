@@ -4,13 +4,15 @@ Texts and items are words in lower case, compared by edit distance over words. A
 text if a window of the text is within ``floor(share * n)`` edits of it.
 
 1. A window of an item's size is a candidate only if enough of its words and word pairs occur in items at all,
-   and then in items of that size: each edit spoils one word and two pairs at most, so nothing within the
+   and then in items of that size. Of the n words that follow the first of a leak, each edit spoils one word and
+   two pairs at most, a word pushed out of their end by an inserted one included, so nothing within the
    distance is lost.
 2. Candidates and items of one size are embedded by the same random walks: at each step the current word is put
    out, and a random bit of (step, word) says whether to move on. The walk turns a small edit distance into a
    small Hamming distance, since walks that part on an edit soon fall into step again.
 3. Bit-sampling LSH: each of ``TABLES`` tables of each of ``WALKS`` walks looks at ``SAMPLED`` places of the
-   embedding. A window that agrees with an item in any table is verified by its exact edit distance.
+   embedding. Where a window agrees with an item in any table, the item is compared with all windows, of
+   whatever size, that begin and end up to its edits outside that window: an inserted or dropped word is one edit.
 
 An exact copy agrees everywhere and is always found; recall within the distance is measured in the tests.
 Items are taken in blocks of ``BLOCK_ITEMS``, each block one pass over the texts, so what is broadcast is bounded.
@@ -133,10 +135,8 @@ class Index:
 
     def _verify(self, words: Words, text: np.ndarray, first: np.ndarray, end: np.ndarray, n: int, size: _Size) -> Iterator[tuple[int, int, int, int, int]]:
         lengths = end - first
-        place = np.minimum(first[:, None] + np.arange(n), len(words.hashes) - 1)
-        rows = np.where(np.arange(n) < lengths[:, None], words.hashes[place], np.uint64(0))
         found: set[tuple[int, int]] = set()
-        for walk, embedded in enumerate(walked(rows, lengths)):
+        for walk, embedded in enumerate(walked(_spans(words.hashes, first, lengths, n), lengths)):
             for key, (ordered, item) in zip(_keys(embedded, walk), size.tables[walk]):
                 low, high = np.searchsorted(ordered, key, "left"), np.searchsorted(ordered, key, "right")
                 for w in np.flatnonzero(high > low):
@@ -145,10 +145,29 @@ class Index:
             pairs = np.array(sorted(found))
             for at in range(0, len(pairs), 8192):
                 w, i = pairs[at : at + 8192].T
-                distance = edit_distances(rows[w], lengths[w], size.words[i])
+                own = text[first[w]]
+                low = np.maximum(first[w] - size.edits, words.bounds[own])
+                room = np.minimum(first[w] + n + size.edits, words.bounds[own + 1]) - low
+                spans = _spans(words.hashes, low, room, n + 2 * size.edits)
+                near = np.flatnonzero(_words_within(spans, size.words[i]) >= n - size.edits)
+                i, own, low = i[near], own[near], low[near]
+                distance, begin, count = closest_windows(spans[near], room[near], size.words[i])
                 for k in np.flatnonzero(distance <= size.edits):
-                    t = int(text[first[w[k]]])
-                    yield t, int(size.ids[i[k]]), int(distance[k]), int(first[w[k]] - words.bounds[t]), int(lengths[w[k]])
+                    t = int(own[k])
+                    yield t, int(size.ids[i[k]]), int(distance[k]), int(low[k] + begin[k] - words.bounds[t]), int(count[k])
+
+
+def _spans(hashes: np.ndarray, first: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray:
+    """``lengths`` words from each of ``first``, filled up with zeros."""
+    place = np.minimum(first[:, None] + np.arange(width), len(hashes) - 1)
+    return np.where(np.arange(width) < lengths[:, None], hashes[place], np.uint64(0))
+
+
+def _words_within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """At least as many as there are words in each row of ``b`` that are in the row of ``a``: words are told apart by ten bits."""
+    seen, rows = np.zeros((len(a), 1024), dtype=bool), np.arange(len(a))[:, None]
+    seen[rows, a >> np.uint64(54)] = True
+    return seen[rows, b >> np.uint64(54)].sum(axis=1)
 
 
 def _pairs_within(pairs: np.ndarray, first: np.ndarray, end: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -168,19 +187,25 @@ def _joined(first: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int]]:
         yield int(first[a]), int(end[b - 1])
 
 
-def edit_distances(a: np.ndarray, lengths: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The edit distance of the first ``lengths`` words of each row of ``a`` and the whole row of ``b``."""
+def closest_windows(a: np.ndarray, lengths: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the windows of the first ``lengths`` words of each row of ``a``, the one closest to the whole row of ``b``.
+
+    Returns its edit distance, its first word and its words; of several the first one, and then the shortest.
+    """
     n = b.shape[1]
-    ramp = np.arange(n + 1)
+    edit = a.shape[1] + 1  # a cost is edits * edit + the first word, so the least one has the first window
+    ramp = np.arange(n + 1) * edit
     row = np.tile(ramp, (len(a), 1))
-    out = row[:, n].copy()
-    for i in range(int(lengths.max(initial=0))):
+    best, stop = row[:, n].copy(), np.zeros(len(a), dtype=np.int64)
+    for j in range(a.shape[1]):
         new = np.empty_like(row)
-        new[:, 0] = i + 1
-        new[:, 1:] = np.minimum(row[:, :-1] + (a[:, i : i + 1] != b), row[:, 1:] + 1)
+        new[:, 0] = j + 1
+        new[:, 1:] = np.minimum(row[:, :-1] + (a[:, j : j + 1] != b) * edit, row[:, 1:] + edit)
         row = np.minimum.accumulate(new - ramp, axis=1) + ramp
-        out = np.where(lengths == i + 1, row[:, n], out)
-    return np.where(lengths == 0, n, out)
+        closer = (row[:, n] < best) & (j < lengths)
+        best[closer], stop[closer] = row[closer, n], j + 1
+    begin = best % edit
+    return best // edit, begin, np.maximum(stop - begin, 0)
 
 
 def _search(shared):
