@@ -42,6 +42,13 @@ def test_an_inserted_or_dropped_word_is_one_edit(spark):
     check_found(spark, (one + two + more) * 3, 5)
 
 
+def test_up_to_15_percent_edits(spark):
+    short = [(n, *e) for n in (7, 8, 9) for e in ((1, 0, 0), (0, 1, 0), (0, 0, 1))]
+    middle = [(n, *e) for n in (14, 15, 17, 19) for e in ((2, 0, 0), (0, 2, 0), (0, 0, 2), (1, 1, 0))]
+    long = [(n, *e) for n in (30, 33) for e in ((4, 0, 0), (0, 4, 0), (2, 1, 1))] + [(47, 7, 0, 0), (54, 2, 3, 3)]
+    check_found(spark, (short + middle + long) * 2, 6)
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 9])
 def test_closest_windows_against_all_windows(n):
     r = np.random.default_rng(n)

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from weirgate.llm.words import Words, mixed, run_of, word_slices
 
-SHARE = 0.1
-WALKS, TABLES, SAMPLED = 5, 6, 2
+SHARE = 0.15
+WALKS, TABLES, SAMPLED = 6, 8, 2
 BLOCK_ITEMS = 20_000
 MATCHES = "array<struct<item:bigint,distance:int,first_word:bigint,words:int>>"
 _TYPE = pa.list_(pa.struct([("item", pa.int64()), ("distance", pa.int32()), ("first_word", pa.int64()), ("words", pa.int32())]))
