@@ -156,3 +156,19 @@ def test_near_duplicates_of_nothing(spark):
     assert near_duplicates(vectors(spark, [])).collect() == []
     one = near_duplicates(vectors(spark, [(4, None)])).collect()
     assert [tuple(r) for r in one] == [(4, 0, 4, True)]
+
+
+def test_near_duplicates_of_a_repeated_key_with_other_vectors(spark):
+    a, b, c = np.eye(8)[:3]
+    rows = [(1, a), (1, b), (2, a + 0.1 * c), (3, b), (4, c), (4, -c), (1, a)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in near_duplicates(vectors(spark, rows)).collect())
+    assert got == [(1, 1, 3, False), (1, 2, 2, False), (1, 2, 2, False), (2, 2, 2, True), (3, 1, 3, True), (4, 0, 4, True), (4, 0, 4, True)]
+
+
+def test_near_duplicates_of_every_length(spark):
+    r = np.random.default_rng(5)
+    long, short = r.normal(size=(40, 64)), r.normal(size=(3, 16))
+    rows = [*enumerate(long), (50, short[0]), (51, short[0]), (52, 3 * short[0] + 0.01), (53, short[1]), (54, [2.0]), (55, [3.0]), (56, [-1.0])]
+    got = {q["vec_id"]: (q["n_links"], q["component_id"]) for q in near_duplicates(vectors(spark, rows)).collect()}
+    assert [got[i] for i in range(50, 57)] == [(2, 50), (2, 50), (2, 50), (0, 53), (1, 54), (1, 54), (0, 56)]
+    assert all(got[i] == (0, i) for i in range(40))
