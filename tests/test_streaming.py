@@ -64,6 +64,30 @@ def test_counts_drop_and_count_late_rows(spark, folder):
     assert late == 1
 
 
+def test_late_rows_of_all_batches_are_counted(spark, folder):
+    schema = schema_of(spark, EVENTS)
+    land(spark, folder, "in", [event(1, 1, 60)], EVENTS)
+    land(spark, folder, "in", [event(4, 1, 60)], EVENTS)
+    land(spark, folder, "in", [event(2, 1, 0), event(3, 2, 1)], EVENTS)
+    rows = spark.sparkContext.parallelize([event(10 + i, 1, 60) for i in range(103)], 103)
+    spark.createDataFrame(rows, EVENTS).write.mode("append").parquet(f"{folder}/in")
+    session = stateful_session(spark)
+    session.conf.set("spark.sql.shuffle.partitions", "1")
+    counts = windows.user_counts(ingest.file_stream(session, f"{folder}/in", schema, max_files=1), "10 minutes")
+    query = ingest.run_available(windows.save_updates(counts, f"{folder}/out", f"{folder}/cp"))
+    assert query.lastProgress["batchId"] > 100 >= len(query.recentProgress)
+    assert windows.late_rows(query) == 2
+
+
+def test_late_rows_of_an_unwatched_query_are_not_guessed(spark, folder):
+    land(spark, folder, "in", [event(1, 1, 0)], EVENTS)
+    session = spark.newSession()
+    stream = ingest.file_stream(session, f"{folder}/in", schema_of(spark, EVENTS))
+    writer = stream.writeStream.format("noop").option("checkpointLocation", f"{folder}/cp")
+    with pytest.raises(LookupError):
+        windows.late_rows(ingest.run_available(writer))
+
+
 def test_on_change_runs_only_for_new_files(spark, folder):
     schema, seen = schema_of(spark, EVENTS), []
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Sequence
+from weakref import WeakSet
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 
 def _event_time(events: DataFrame, delay: str) -> DataFrame:
@@ -47,6 +49,7 @@ def save_updates(result: DataFrame, path: str, checkpoint: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
+    count_late_rows(result.sparkSession)
     return (
         result.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     )
@@ -60,10 +63,60 @@ def latest_updates(spark: SparkSession, path: str, keys: Sequence[str]) -> DataF
     return updates.groupBy(*keys).agg(newest).select(*keys, *[F.col("__v")[c].alias(c) for c in values])
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows a finished or running query has dropped for being later than its watermark."""
-    return sum(
-        int(operator["numRowsDroppedByWatermark"])
-        for progress in query.recentProgress
-        for operator in progress["stateOperators"]
-    )
+class _LateRows(StreamingQueryListener):
+    """Adds up, from the start of each query, the rows it drops for being later than its watermark."""
+
+    def __init__(self):
+        self._sessions: WeakSet[SparkSession] = WeakSet()
+        self._dropped: dict[str, tuple[int, int]] = {}  # by run, the newest batch and the rows dropped up to it
+        self._changed = threading.Condition()
+
+    def watch(self, spark: SparkSession) -> None:
+        if spark not in self._sessions:
+            spark.streams.addListener(self)
+            self._sessions.add(spark)
+
+    def total(self, query: StreamingQuery, seconds: float) -> int:
+        run = str(query.runId)
+        if run not in self._dropped:
+            raise LookupError("late rows of this query were not counted from its start: call count_late_rows first")
+        last = query.lastProgress
+        batch = -1 if last is None else int(last["batchId"])
+        with self._changed:
+            if not self._changed.wait_for(lambda: self._dropped[run][0] >= batch, timeout=seconds):
+                raise TimeoutError(f"batch {batch} was not reported within {seconds} seconds")
+            return self._dropped[run][1]
+
+    def onQueryStarted(self, event) -> None:
+        self._dropped[str(event.runId)] = (-1, 0)
+
+    def onQueryProgress(self, event) -> None:
+        run, batch = str(event.progress.runId), int(event.progress.batchId)
+        with self._changed:
+            newest, dropped = self._dropped.get(run, (batch, 0))
+            if batch > newest:  # one session may have been added twice
+                late = sum(int(operator.numRowsDroppedByWatermark) for operator in event.progress.stateOperators)
+                self._dropped[run] = (batch, dropped + late)
+                self._changed.notify_all()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+_LATE = _LateRows()
+
+
+def count_late_rows(spark: SparkSession) -> None:
+    """Count the late rows of every query that is started in this session from now on."""
+    _LATE.watch(spark)
+
+
+def late_rows(query: StreamingQuery, seconds: float = 60.0) -> int:
+    """Rows a finished or running query has dropped, in all its batches, for being later than its watermark.
+
+    The query has to be started by ``save_updates`` or after ``count_late_rows``; a LookupError says it was not.
+    """
+    return _LATE.total(query, seconds)
