@@ -156,6 +156,18 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query()
+def op13_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from weirgate.llm.packing import pack
+
+    pieces = pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 #: Seconds of 2024-01-01, the first day of the captures and list changes that are derived from the pages.
 YEAR_START = 1_704_067_200
 
