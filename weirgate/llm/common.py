@@ -8,10 +8,10 @@ import shutil
 import tempfile
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from weirgate.session import written
+from weirgate.session import scratch_path, verify_rows, written
 
 CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -56,6 +56,31 @@ def stored(df: DataFrame, label: str) -> DataFrame:
         return written(df, label)
 
 
+class Newest:
+    """Tables of a job that goes in rounds: each is written and verified, then the one before it is deleted."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.label, self.path = spark, label, None
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = scratch_path(self.spark, self.label)
+        seen = Observation()
+        with _shuffles_dropped(self.spark):
+            df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        verify_rows(back, seen.get["rows"], path)
+        self.drop()
+        self.path = path
+        return back
+
+    def drop(self) -> None:
+        """Delete the newest table as well, once nothing reads it any more."""
+        if self.path:
+            target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+            target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            self.path = None
+
+
 def label_split(doc_id: Column) -> Column:
     """0, 1 or 2 by the CRC-32 of the id as text; documents in part 1 are held out of every fit."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3

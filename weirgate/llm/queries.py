@@ -156,6 +156,67 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query()
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from weirgate.llm.alignment import align_documents, count_links
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    aligned = align_documents(table(spark, folder, "documents"), *paths)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256)).alias("groups_sha256")
+    n_links = F.aggregate("pair_links", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_links")
+    kept = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
+    return count_links(aligned.select(*kept[:4], n_links, digest, "pairs", "pair_links"), kept)
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """The rounds of :func:`op12_vector_codes` one after the other."""
+    distance = "list_sum(list_transform(list_zip(s.x, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(
+            f"""a{i} AS MATERIALIZED (
+              SELECT s.vec_id, s.p, any_value(s.x) AS x, min((CAST({distance} AS BIGINT), c.e)) AS best
+              FROM cut s JOIN c{i} c ON s.p = c.p GROUP BY s.vec_id, s.p)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""c{i + 1} AS MATERIALIZED (
+                  SELECT c.p, c.e, coalesce(m.c, c.c) AS c FROM c{i} c LEFT JOIN (
+                    SELECT p, e, list(v ORDER BY j) AS c FROM (
+                      SELECT p, best[2] AS e, j, CAST(floor(sum(x[j]) / count(*)) AS BIGINT) AS v
+                      FROM a{i}, (SELECT unnest(generate_series(1, (SELECT max(len(x)) FROM cut))) AS j) GROUP BY ALL) GROUP BY p, e) m
+                  ON m.p = c.p AND m.e = c.e)"""
+            )
+    return f"""
+    WITH kept AS (
+      SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+    cut AS MATERIALIZED (
+      SELECT vec_id, p, v[1 + p * (len(v) // {parts}) : (p + 1) * (len(v) // {parts})] AS x
+      FROM kept, (SELECT unnest(range({parts})) AS p)),
+    c0 AS MATERIALIZED (
+      SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM cut
+      WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries})),
+    {", ".join(steps)},
+    coded AS (
+      SELECT vec_id, string_agg(lower(printf('%02x', best[2])), '' ORDER BY p) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+    digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS h FROM c{rounds})
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+    FROM coded JOIN kept USING (vec_id), digest
+    """
+
+
+@query(_codes_sql())
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    from weirgate.llm.vectorcodes import codebooks_digest, compress, with_label_error
+
+    coded, books = compress(table(spark, folder, "embeddings"), carry=("label",))
+    digest = F.lit(codebooks_digest(books)).alias("codebooks_sha256")
+    return with_label_error(coded).select("vec_id", "code", "error", "label_error", digest)
+
+
 @query()
 def op13_packing(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
