@@ -7,13 +7,14 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tests.llm.helpers import DOCS, docs, prose
-from weirgate.llm.packing import Places, closest_filling, pack, plan_windows
+from weirgate.llm.packing import Known, Places, WordIds, closest_filling, pack, plan_windows
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -99,6 +100,31 @@ def test_pieces_are_the_library_s_ids(spark):
     sound(windows, 2048)
 
 
+def test_units_against_the_library():
+    r = random.Random(0)
+    letters = "aBcé ÉßÀ×÷'’stSTİΣσςKḴ́hH≠<>|.,!?0123 \t\n\r\x0b\x0c\x1c\x85\xa0你　\x00\x7fªºµÿŸŒ"
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(40))) for _ in range(3000)]
+    texts += ["<|endoftext|>x a<|startoftext|>", "H̱ İ", "", "z" * 1000 + " a", "É" * 200]
+    words, library = WordIds(PATH), Tokenizer.from_file(PATH)
+    for most in (10**6, 200):  # with few places the table is emptied again and again
+        words.known = Known(most)
+        for at in range(0, len(texts), 100):
+            own = texts[at : at + 100]
+            ids, bounds = words.encoded(pa.array(own), 1)
+            wanted = [library.encode(t, add_special_tokens=False).ids + [1] for t in own]
+            assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == wanted
+
+
+def test_other_tokenizer_files(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")  # keeps white space, so texts go to the library whole
+    texts = ["Hello  world", None, "", "It's\n\n two"]
+    library = Tokenizer.from_file(path)
+    found = defaultdict(bytes)
+    for r in sorted(pack(docs(spark, texts), path).collect(), key=lambda r: r["start"]):
+        found[r["doc_id"]] += bytes(r["ids"])
+    assert found == {i: np.array(library.encode(t or "").ids + [1], "<u4").tobytes() for i, t in enumerate(texts)}
+
+
 def test_no_rows_and_clashing_names(spark):
     assert pack(docs(spark, []), PATH).count() == 0
     clashing = docs(spark, ["a b", None]).selectExpr("doc_id", "text", "'r' AS row", "1 AS chunk", "2 AS rest", "3 AS pieces", "4 AS packed")

@@ -15,9 +15,9 @@ tasks' counts gives where each task starts. The plan says which numbers go to wh
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import struct
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirgate.llm.common import stored
+from weirgate.llm.words import BYTE_VALUE, SLICE_BYTES, run_hashes
+from weirgate.llm.words import _buffers as buffers
 
 CAPACITY = 2048
-SLICE_CHARS = 1 << 18
-SLICE_ROWS = 64
-MAX_WORDS = 400_000
-LONG_WORD = 64
-WORD = re.compile(r"[^ \t\n\r]+")
+SLICE_ROWS = 256
+MAX_UNITS = 1_000_000
+LONG_UNIT = 64
 PIECE = "array<struct<start:bigint,length:bigint,sequence_id:bigint,offset:bigint,ids:binary>>"
 
 
@@ -223,12 +223,86 @@ class Places:
 # ---- token ids ----
 
 
+class Known:
+    """Ids of units by their 64-bit hash, in an open-addressed table of arrays; emptied when it is full."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.n = 0
+        self.keys, self.entry = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int64)
+        self.starts, self.sizes = np.zeros(1 << 11, np.int64), np.zeros(1 << 11, np.int64)
+        self.flat, self.used = np.zeros(1 << 13, np.uint32), 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The entry of each hash, -1 where there is none."""
+        mask = len(self.keys) - 1
+        out = np.full(len(hashes), -1, np.int64)
+        place, left = (hashes & np.uint64(mask)).astype(np.int64), np.arange(len(hashes))
+        while len(left):
+            found = self.keys[place]
+            hit = found == hashes[left]
+            out[left[hit]] = self.entry[place[hit]]
+            on = ~hit & (found != 0)
+            left, place = left[on], (place[on] + 1) & mask
+        return out
+
+    def _put(self, hashes: np.ndarray, entries: np.ndarray) -> None:
+        mask = len(self.keys) - 1
+        place = (hashes & np.uint64(mask)).astype(np.int64)
+        while len(hashes):
+            free = self.keys[place] == 0
+            self.keys[place[free]] = hashes[free]  # of several at one place the last one has it
+            won = free & (self.keys[place] == hashes)
+            self.entry[place[won]] = entries[won]
+            hashes, entries, place = hashes[~won], entries[~won], (place[~won] + 1) & mask
+
+    def add(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+        """New different hashes with their ids."""
+        n, sizes = len(hashes), np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter((i for each in ids for i in each), np.uint32, int(sizes.sum()))
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while self.n + n > len(self.starts):
+            self.starts, self.sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.sizes))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.starts[self.n : self.n + n] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.n : self.n + n] = sizes
+        if 2 * (self.n + n) > len(self.keys):
+            old, old_entries = self.keys, self.entry
+            size = 1 << int(4 * (self.n + n)).bit_length()
+            self.keys, self.entry = np.zeros(size, np.uint64), np.zeros(size, np.int64)
+            self._put(old[old != 0], old_entries[old != 0])
+        self._put(hashes, np.arange(self.n, self.n + n))
+        self.n += n
+        self.used += len(flat)
+
+
+SPACE, LETTER, DIGIT, MARK, OTHER = range(5)
+CLASSES = np.full(256, OTHER, np.uint8)
+CLASSES[[0x20, 0x09, 0x0A, 0x0D]] = SPACE
+CLASSES[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+CLASSES[0x30:0x3A] = DIGIT
+CLASSES[[b for b in range(0x21, 0x7F) if CLASSES[b] == OTHER and b != 0x27]] = MARK  # all but the apostrophe
+
+#: The normalizer and split under which runs of letters, digits and runs of marks are encoded apart.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
 class WordIds:
-    """Ids of texts by a tokenizer file that splits at white space and drops it; words are encoded once a worker."""
+    """Ids of texts by a tokenizer file that splits at white space and drops it.
 
-    def __init__(self, path: str):
-        import json
+    Where the file has the expected normalizer and split, a word of the letters of Latin-1, digits and ASCII marks
+    is cut into lower-case units: runs of letters, digits, runs of marks. Other words, with an apostrophe or other
+    characters in them, are units as they are, and so are all words with other files. A unit is looked up by its
+    hash and goes to the library once a worker, up to a bound; unequal units are taken to be equal with
+    probability about 2^-64 a pair. Units of more than ``LONG_UNIT`` bytes are not kept.
+    """
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -238,49 +312,139 @@ class WordIds:
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        #: Words apart from each other only where white space is dropped and no special token holds any.
+        special = [t["content"] for t in spec.get("added_tokens", ())]
+        #: Words are apart from each other only where white space is dropped and no special token holds any.
         self.splits = spec["model"].get("end_of_word_suffix") is not None and not any(
             re.search(r"\s", t["content"]) or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", ())
         )
-        self.known: dict[str, bytes] = {}
-
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype=self.kind).tobytes() for x in found]
-
-    def packed(self, text: str) -> bytes:
-        """Ids of a whole text, side by side as little-endian integers of ``kind``."""
-        if not self.splits:
-            return self.encoded([text])[0] if text else b""
-        out, at = [], 0
-        while at < len(text):
-            stop = len(text)
-            if stop - at > SLICE_CHARS:  # back to white space, or on to it within a very long word
-                last = max(text.rfind(c, at, at + SLICE_CHARS) for c in " \t\n\r")
-                if last <= at:
-                    after = re.compile(r"[ \t\n\r]").search(text, at + SLICE_CHARS)
-                    last = after.start() if after else stop
-                stop = last
-            out.append(self._words(WORD.findall(text, at, stop)))
+        before = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.fine = (
+            (spec.get("normalizer") or {}).get("normalizers") == NORMALIZERS
+            and len(before) == 2
+            and before[0].get("pattern", {}).get("Regex") == SPLIT
+            and before[0].get("invert")
+            and before[1].get("type") == "ByteLevel"
+            and not before[1].get("use_regex", True)
+            and not before[1].get("add_prefix_space")
+        )
+        self.classes = CLASSES.copy()
+        self.classes[[t.encode()[0] for t in special if t]] = OTHER
+        if not self.fine:
+            self.classes[CLASSES != SPACE] = OTHER
+        #: The merges alone, for units that need no more normalizing or splitting.
+        self.merges = Tokenizer(self.tokenizer.model)
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self.known = Known(MAX_UNITS)
+
+    def _encoded(self, units: list[bytes], simple: np.ndarray) -> list[list[int]]:
+        own = [u.decode("latin-1").translate(self.letters) for u, s in zip(units, simple) if s]
+        raw = [u.decode() for u, s in zip(units, simple) if not s]
+        by_merges = iter(self.merges.encode_batch_fast(own, add_special_tokens=False))
+        by_file = iter(self.tokenizer.encode_batch_fast(raw, add_special_tokens=False))
+        return [next(by_merges if s else by_file).ids for s in simple]
+
+    def units(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and simplicity of the units of some bytes, and the bytes in lower case where that is due."""
+        kinds = self.classes[data]
+        values = data.copy()
+        if self.fine:
+            # C3 and what follows it: the letters of Latin-1, but for the signs of multiplication and division
+            after = np.zeros(len(data), bool)
+            after[1:] = data[:-1] == 0xC3
+            letter = after & (data != 0x97) & (data != 0xB7)
+            kinds[letter] = LETTER
+            kinds[:-1][letter[1:]] = LETTER
+            upper = (letter & (data >= 0x80) & (data <= 0x9E)) | ((data >= 0x41) & (data <= 0x5A))
+            values[upper] += 0x20
+        full = kinds != SPACE
+        opens = full.copy()
+        opens[1:] &= ~full[:-1]
+        opens[cuts] = full[cuts]
+        words = np.flatnonzero(opens)
+        if not len(words):
+            return words, words, np.zeros(0, bool), values
+        plain = np.maximum.reduceat(kinds, words) != OTHER  # what lies between words is 0
+        sizes = np.diff(np.append(words, len(data)))
+        simple = np.zeros(len(data), bool)
+        simple[words[0] :] = np.repeat(plain, sizes)
+        values = np.where(simple, values, data)
+        opens[1:] |= full[1:] & simple[1:] & ((kinds[1:] != kinds[:-1]) | (kinds[1:] == DIGIT))
+        closes = full.copy()
+        closes[:-1] &= ~full[1:] | opens[1:]
+        starts = np.flatnonzero(opens)
+        return starts, np.flatnonzero(closes) + 1, simple[starts], values
+
+    def some(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts between ``offsets``, one after the other, and how many ids each text has."""
+        if not len(data):
+            return np.zeros(0, self.kind), np.zeros(len(offsets) - 1, np.int64)
+        starts, ends, simple, values = self.units(data, offsets[:-1][offsets[:-1] < len(data)])
+        hashes = run_hashes(BYTE_VALUE[values], starts, ends)
+        hashes[hashes == 0] = 1
+        known, long = self.known, np.flatnonzero(ends - starts > LONG_UNIT)
+        entries = known.find(hashes)
+        entries[long] = -2
+        new = np.flatnonzero(entries == -1)
+        if len(new):
+            fresh, at = np.unique(hashes[new], return_index=True)
+            if known.n + len(fresh) > known.most:
+                known.clear()
+                new = np.flatnonzero(entries != -2)
+                fresh, at = np.unique(hashes[new], return_index=True)
+            at = new[at]
+            raw = values.tobytes()
+            known.add(fresh, self._encoded([raw[s:e] for s, e in zip(starts[at], ends[at])], simple[at]))
+            entries[new] = known.find(hashes[new])
+        sizes, begin, flat = known.sizes[entries], known.starts[entries], known.flat
+        if len(long):
+            raw = values.tobytes()
+            ids = self._encoded([raw[s:e] for s, e in zip(starts[long], ends[long])], simple[long])
+            sizes[long] = [len(x) for x in ids]
+            begin[long] = known.used + np.cumsum(sizes[long]) - sizes[long]
+            flat = np.concatenate((known.flat[: known.used], *[np.array(x, np.uint32) for x in ids]))
+        bounds = np.concatenate(([0], np.cumsum(sizes)))
+        where = np.arange(bounds[-1]) + np.repeat(begin - bounds[:-1], sizes)
+        return flat[where].astype(self.kind), np.diff(bounds[np.searchsorted(starts, offsets)])
+
+    def encoded(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts, each followed by the end id, one after the other; and the offsets of the texts in them."""
+        raw, offsets = buffers(texts)
+        n, at, parts = len(offsets) - 1, 0, []
+        while at < n:
+            stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, side="right")) - 1)
+            data, own = raw[offsets[at] : offsets[stop]], offsets[at : stop + 1] - offsets[at]
+            if not self.splits:
+                found = self.tokenizer.encode_batch_fast([data[a:b].tobytes().decode() for a, b in zip(own, own[1:])], add_special_tokens=False)
+                parts.append((np.array([i for x in found for i in x.ids], self.kind), np.array([len(x.ids) for x in found], np.int64)))
+            elif len(data) <= SLICE_BYTES:
+                parts.append(self.some(data, own))
+            else:
+                slices = [self.some(data[a:b], np.array([0, b - a])) for a, b in _slices(data)]
+                parts.append((np.concatenate([ids for ids, _ in slices]), sum(sizes for _, sizes in slices)))
             at = stop
-        return b"".join(out)
-
-    def _words(self, words: list[str]) -> bytes:
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        new = sorted({w for w in words if w not in known})
-        if len(known) + len(new) > MAX_WORDS:
-            known.clear()
-            new = sorted(set(words))
-        known.update(zip(new, self.encoded(new)))
-        out = b"".join(map(known.__getitem__, words))
-        for w in new:
-            if len(w) > LONG_WORD:
-                del known[w]
-        return out
+        sizes = np.concatenate([s for _, s in parts]) if parts else np.zeros(0, np.int64)
+        bounds = np.concatenate(([0], np.cumsum(sizes + 1)))
+        ids = np.full(int(bounds[-1]), end_id, self.kind)
+        inside = np.ones(len(ids), bool)
+        inside[bounds[1:] - 1] = False
+        ids[inside] = np.concatenate([i for i, _ in parts]) if parts else []
+        return ids, bounds
+
+
+def _slices(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Parts of about ``SLICE_BYTES`` of one long text, cut at white space only."""
+    at = 0
+    while at < len(data):
+        stop = min(at + SLICE_BYTES, len(data))
+        while stop < len(data):  # back to the last white space, or on to the next
+            gaps = np.flatnonzero(CLASSES[data[at:stop]] == SPACE)
+            if len(gaps) and gaps[-1]:
+                stop = at + int(gaps[-1])
+                break
+            stop = min(stop + SLICE_BYTES, len(data))
+        yield at, stop
+        at = stop
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -292,62 +456,75 @@ def load(path: str) -> WordIds:
     return _LOADED[path]
 
 
+def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Runs of an array as binary values, without a copy."""
+    offsets = pa.py_buffer((bounds * values.dtype.itemsize).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def numbered(kinds: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """How many equal kinds came before each, ``seen`` included, which is brought up to date."""
+    order = np.argsort(kinds, kind="stable")
+    ordered = kinds[order]
+    first = np.searchsorted(ordered, ordered)
+    out = np.empty(len(kinds), np.int64)
+    out[order] = np.arange(len(kinds)) - first + seen[ordered]
+    seen += np.bincount(kinds, minlength=len(seen))
+    return out
+
+
 def _encode(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = load(path)
-        end = np.array([end_id], dtype=words.kind).tobytes()
-        chunk, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        chunk, whole_seen, rest_seen = TaskContext.get().partitionId(), 0, np.zeros(capacity, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
-                packed = [words.packed(t or "") + end for t in part.column(1).to_pylist()]
-                sizes = [len(p) // words.kind.itemsize for p in packed]
-                whole, rest = [n // capacity for n in sizes], [n % capacity for n in sizes]
-                whole_nth, rest_nth = [], []
-                for w, r in zip(whole, rest):
-                    whole_nth.append(int(seen[capacity]))
-                    rest_nth.append(int(seen[r]))
-                    seen[capacity] += w
-                    seen[r] += 1
-                columns = [pa.array([chunk] * len(sizes), pa.int32()), pa.array(packed, pa.binary())]
-                columns += [pa.array(x, pa.int64()) for x in (sizes, whole, whole_nth)] + [pa.array(rest, pa.int32()), pa.array(rest_nth, pa.int64())]
-                names = ["row", "chunk", "packed", "doc_tokens", "whole", "whole_nth", "rest", "rest_nth"]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=names)
+                ids, bounds = words.encoded(part.column(1), end_id)
+                sizes = np.diff(bounds)
+                whole, rest = sizes // capacity, sizes % capacity
+                before = np.cumsum(whole) - whole + whole_seen
+                whole_seen += int(whole.sum())
+                numbers = (np.full(len(sizes), chunk, np.int32), sizes, whole, before, rest.astype(np.int32), numbered(rest, rest_seen))
+                columns = [pa.array(x) for x in numbers]
+                names = ["row", "packed", "chunk", "doc_tokens", "whole", "whole_nth", "rest", "rest_nth"]
+                yield pa.RecordBatch.from_arrays([part.column(0), _binary(ids, bounds), *columns], names=names)
 
     return run
 
 
 def _place(path: str, capacity: int, moves):
-    """Rows (row, chunk, packed, doc_tokens, whole, whole_nth, rest, rest_nth, starts) to (row, doc_tokens, pieces)."""
+    """Rows (row, packed, chunk, whole, whole_nth, rest, rest_nth, starts) to (row, doc_tokens, pieces)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, places = load(path).kind, Places(moves.value)
         starts: dict[int, dict[int, int]] = {}
-        piece = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE_ROWS):
-                part, out = batch.slice(lo, SLICE_ROWS), []
-                chunks, packed, _, whole, whole_nth, rest, rest_nth = (part.column(i).to_pylist() for i in range(1, 8))
+                part = batch.slice(lo, SLICE_ROWS)
+                ids = np.frombuffer(b"".join(part.column(1).to_pylist()), kind).astype("<u4")
+                chunks, whole, whole_nth, rest, rest_nth = (part.column(i).to_pylist() for i in range(2, 7))
+                found: list[tuple[int, int, int, int]] = []
+                bounds = [0]
                 for i, chunk in enumerate(chunks):
                     if chunk not in starts:
                         starts.clear()
-                        starts[chunk] = {x["length"]: x["first"] for x in part.column(8)[i].as_py()}
-                    first = starts[chunk]
-                    ids = np.frombuffer(packed[i], dtype=kind).astype("<u4")
-                    pieces = []
+                        starts[chunk] = {x["length"]: x["first"] for x in part.column(7)[i].as_py()}
+                    first, end = starts[chunk], whole[i] * capacity
                     for k in range(whole[i]):
-                        for _, n, sequence, offset in places.of(capacity, first[capacity] + whole_nth[i] + k):
-                            pieces.append((k * capacity, n, sequence, offset))
+                        found += [(k * capacity, *p[1:]) for p in places.of(capacity, first[capacity] + whole_nth[i] + k)]
                     if rest[i]:
-                        for start, n, sequence, offset in places.of(rest[i], first[rest[i]] + rest_nth[i]):
-                            pieces.append((whole[i] * capacity + start, n, sequence, offset))
-                    out.append(
-                        [
-                            {"start": s, "length": n, "sequence_id": q, "offset": o, "ids": ids[s : s + n].tobytes()}
-                            for s, n, q, o in pieces
-                        ]
-                    )
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array(out, pa.list_(piece))], names=["row", "doc_tokens", "pieces"])
+                        found += [(end + p[0], *p[1:]) for p in places.of(rest[i], first[rest[i]] + rest_nth[i])]
+                    bounds.append(len(found))
+                # the pieces of a document follow each other, so their ids are the document's, cut
+                numbers = np.array(found, np.int64).reshape(-1, 4).T
+                cuts = np.concatenate(([0], np.cumsum(numbers[1])))
+                pieces = pa.StructArray.from_arrays(
+                    [*(pa.array(x) for x in numbers), _binary(ids, cuts)], names=["start", "length", "sequence_id", "offset", "ids"]
+                )
+                tokens = np.diff(cuts[bounds])
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pieces)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens), lists], names=["row", "doc_tokens", "pieces"])
 
     return run
 
@@ -369,8 +546,8 @@ def pack(
     spark = docs.sparkSession
     rows = docs.select(F.struct(*carry).alias("row"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    numbers = "doc_tokens long, whole long, whole_nth long, rest int, rest_nth long"
-    encoded = stored(rows.mapInArrow(_encode(path, capacity, end_id), f"row {kind}, chunk int, packed binary, {numbers}"), "packed")
+    numbers = "chunk int, doc_tokens long, whole long, whole_nth long, rest int, rest_nth long"
+    encoded = stored(rows.mapInArrow(_encode(path, capacity, end_id), f"row {kind}, packed binary, {numbers}"), "packed")
     rests = encoded.where("rest > 0").groupBy("chunk", F.col("rest").alias("length")).agg(F.count(F.lit(1)).alias("n"))
     wholes = encoded.groupBy("chunk").agg(F.sum("whole").alias("n")).select("chunk", F.lit(capacity).alias("length"), "n")
     tallies = stored(rests.unionByName(wholes), "tallies")
@@ -379,9 +556,7 @@ def pack(
     earlier = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     first = tallies.select("chunk", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
     starts = stored(first.groupBy("chunk").agg(F.collect_list(F.struct("length", "first")).alias("starts")), "starts")
-    placed = encoded.join(starts, "chunk").select(
-        "row", "chunk", "packed", "doc_tokens", "whole", "whole_nth", "rest", "rest_nth", "starts"
-    )
+    placed = encoded.join(starts, "chunk").select("row", "packed", "chunk", "whole", "whole_nth", "rest", "rest_nth", "starts")
     pieces = placed.mapInArrow(_place(path, capacity, moves), f"row {kind}, doc_tokens long, pieces {PIECE}")
     return pieces.select("row.*", "doc_tokens", F.inline("pieces")).select(
         *carry, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"
