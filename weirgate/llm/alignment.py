@@ -8,7 +8,7 @@ of a very long document are made by different tasks and composed in a tree. Its
 wherever they fall; only encoding needs places where both tokenizers always split, before white space.
 
 Shorter documents are cut at those places within a task, and each different part is encoded and aligned once a
-worker, up to a bound. The corpus-wide count of a pair of ids is summed over blocks of documents, each with a list
+worker, up to a bound; parts are told apart by 64-bit hashes. The corpus-wide count of a pair of ids is summed over blocks of documents, each with a list
 of its different pairs, so that what is shuffled are pairs of blocks and not links of documents.
 """
 
@@ -19,6 +19,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,15 @@ from pyspark.sql import functions as F
 
 from weirgate.llm.common import stored
 from weirgate.llm.tokencount import AFTER_LETTERS, safe_parts
+from weirgate.llm.words import BYTE_VALUE, SLICE_BYTES, HashIndex, Runs, run_hashes
 
 CHUNK_BYTES = 1 << 16
 FAN = 8
 SLICE_ROWS = 64
-MAX_PARTS = 200_000
-LONG_PART = 64
+MAX_PARTS = 400_000
+MAX_BYTES = 1 << 25
 BLOCK_PAIRS = 1 << 19
+WORD = re.compile(r" [A-Za-z]+")
 SAFE_CUT = re.compile(r"(?<=[^\W_])(?=[ \n])")
 
 
@@ -148,6 +151,64 @@ def _byte_level() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class Entries:
+    """The bytes of a vocabulary's entries, side by side by id; an id without any stands for no bytes."""
+
+    def __init__(self, texts: dict[int, bytes]):
+        n = max(texts) + 1
+        self.sizes = np.zeros(n, np.int64)
+        for i, t in texts.items():
+            self.sizes[i] = len(t)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(texts.get(i, b"") for i in range(n)), np.uint8)
+        # each id as decimal digits with room for a separator
+        numbers = [b"%d," % i for i in range(n)]
+        self.digit_sizes = np.array([len(t) for t in numbers])
+        self.digit_starts = np.cumsum(self.digit_sizes) - self.digit_sizes
+        self.digits = np.frombuffer(b"".join(numbers), np.uint8)
+
+    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
+        return _gathered(self.flat, self.starts[ids], self.sizes[ids])
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(sizes)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)]
+
+
+WHITE = np.zeros(256, bool)
+WHITE[[0x20, 0x09, 0x0A]] = True
+#: Bytes that may belong to other white space, by the byte before them (0 for any).
+ODD = np.zeros(256, bool)
+ODD[[0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F]] = True
+ODD_PAIRS = ((0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80))
+ALNUM = np.zeros(256, bool)
+ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+
+
+def part_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Starts of parts of the texts between ``bounds``, as :func:`parts_of` has them or fewer.
+
+    A text with other white space than spaces, tabs and line ends is cut after ASCII letters and digits only.
+    """
+    white = WHITE[data]
+    cut = white.copy()
+    cut[1:] &= ~white[:-1]
+    odd = ODD[data]
+    for first, second in ODD_PAIRS:
+        odd[1:] |= (data[:-1] == first) & (data[1:] == second)
+    if odd.any():
+        texts = np.unique(np.searchsorted(bounds, np.flatnonzero(odd), side="right") - 1)
+        for i in texts:
+            own = slice(bounds[i], bounds[i + 1])
+            part = data[own]
+            after = np.zeros(len(part), bool)
+            after[1:] = ALNUM[part[:-1]] & ((part[1:] == 0x20) | (part[1:] == 0x0A))
+            cut[own] = after
+    cut[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+    return np.flatnonzero(cut)
+
+
 class Pair:
     """Two tokenizer files: byte-level ``.json`` (A) and sentencepiece ``.model`` (B)."""
 
@@ -165,76 +226,166 @@ class Pair:
         before = spec.get("pre_tokenizer") or {}
         if before.get("type") != "ByteLevel" or not before.get("use_regex", True) or before.get("add_prefix_space") or spec.get("normalizer"):
             raise ValueError("tokenizer A has to be byte-level, with its usual split and without a normalizer")
+        #: The merges alone, for a space and ASCII letters, which the split leaves whole.
+        self.merges = Tokenizer(self.a.model)
         letters = _byte_level()
-        self.bytes_a = {i: bytes(letters[c] for c in t) for t, i in spec["model"]["vocab"].items() if all(c in letters for c in t)}
+        self.entries_a = Entries({i: bytes(letters[c] for c in t) for t, i in spec["model"]["vocab"].items() if all(c in letters for c in t)})
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         n = self.b.get_piece_size()
         names = [self.b.id_to_piece(i) for i in range(n)]
-        self.bytes_b = {
+        texts = {
             i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
             for i, p in enumerate(names)
             if not self.b.is_control(i) and not self.b.is_unknown(i)
         }
-        usual = [p for i, p in enumerate(names) if i in self.bytes_b and not self.b.is_byte(i)]
+        self.entries_b = Entries(texts)
+        usual = [p for i, p in enumerate(names) if i in texts and not self.b.is_byte(i)]
         #: What is put before a part: B's space goes before it, and nothing joins over a line end.
         self.lead = self.b.encode("\n")
         if any("▁" in p.lstrip("▁") or set(p) & set("\t\n") for p in usual) or len(self.lead) != 2:
             raise ValueError("tokenizer B needs spaces at the start of pieces only and single bytes for tabs and line ends")
-        self.known: dict[str, tuple[str, int, int, int, bytes] | None] = {}
-
-    def tokens(self, parts: list[str]) -> Iterator[tuple[list[tuple[int, int]], list[tuple[int, int]]] | None]:
-        """Tokens of A and B of each part as (id, bytes), or None where their bytes are not those of the part."""
-        found_a = self.a.encode_batch_fast(parts, add_special_tokens=False)
+        self.clear()
+
+    def clear(self) -> None:
+        self.index, self.texts, self.links = HashIndex(), Runs(np.uint8), Runs(np.int64)
+        self.counts = np.zeros((MAX_PARTS, 3), np.int32)  # tokens of A and B and groups; -1 where bytes differ
+        self.hashes, self.uses = np.zeros(MAX_PARTS, np.uint64), np.zeros(MAX_PARTS, np.int32)
+
+    def shrink(self, room: int) -> None:
+        """Keep the parts that were used most, up to half of the bounds, so that ``room`` more fit."""
+        n, least = self.index.n, 2
+        while True:
+            kept = np.flatnonzero(self.uses[:n] >= least)
+            if 2 * len(kept) <= MAX_PARTS and 2 * int(self.texts.sizes[kept].sum()) <= MAX_BYTES and len(kept) + room <= MAX_PARTS:
+                break
+            least *= 2
+        texts, links, counts, hashes = self.texts, self.links, self.counts[kept], self.hashes[kept]
+        self.clear()
+        for runs, old in ((self.texts, texts), (self.links, links)):
+            runs.add(old.of(kept)[0], old.sizes[kept])
+        self.counts[: len(kept)], self.hashes[: len(kept)] = counts, hashes
+        self.index.number(hashes)
+
+    def tokens(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A and of B of parts, one after the other, how many each part has, and whether its bytes are the part's."""
+        words = [WORD.fullmatch(p) is not None for p in parts]
+        by_merges = iter(self.merges.encode_batch_fast(["Ġ" + p[1:] for p, w in zip(parts, words) if w], add_special_tokens=False))
+        by_file = iter(self.a.encode_batch_fast([p for p, w in zip(parts, words) if not w], add_special_tokens=False))
+        found_a = [next(by_merges if w else by_file).ids for w in words]
         found_b = self.b.encode(["\n" + p for p in parts], num_threads=1)
-        bytes_a, bytes_b, lead = self.bytes_a, self.bytes_b, len(self.lead)
-        for part, a, b in zip(parts, found_a, found_b):
-            ids_a, ids_b, raw = a.ids, b[lead:], part.encode()
-            try:
-                texts_a, texts_b = [bytes_a[i] for i in ids_a], [bytes_b[i] for i in ids_b]
-            except KeyError:
-                yield None
-                continue
-            if b"".join(texts_a) != raw or b"".join(texts_b) != raw:
-                yield None
-            else:
-                yield list(zip(ids_a, map(len, texts_a))), list(zip(ids_b, map(len, texts_b)))
-
-    def learn(self, parts: set[str]) -> set[str]:
-        """Align parts not seen before; returns those too long to be kept."""
-        new = sorted(parts)
-        for part, found in zip(new, self.tokens(new)):
-            if found is None:
-                self.known[part] = None
-                continue
-            c = align(*found)
-            links = np.repeat(np.fromiter(c.links, np.int64, len(c.links)), np.fromiter(c.links.values(), np.int64, len(c.links)))
-            self.known[part] = ";".join(c.groups), c.n_a, c.n_b, c.n_groups, links.tobytes()
-        return {p for p in new if len(p) > LONG_PART}
-
-    def documents(self, texts: list[str]) -> list[tuple[str, int, int, int, np.ndarray, np.ndarray]]:
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (found_a, found_b))
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (found_a, found_b))
+        led = np.ones(len(b), bool)
+        heads = np.cumsum(n_b) - n_b
+        for k in range(len(self.lead)):
+            led[heads + k] = False
+        b, n_b = b[led], n_b - len(self.lead)
+        raw = [p.encode() for p in parts]
+        sizes, joined = np.fromiter(map(len, raw), np.int64, len(raw)), np.frombuffer(b"".join(raw), np.uint8)
+        same = np.ones(len(parts), bool)
+        for ids, n, entries in ((a, n_a, self.entries_a), (b, n_b, self.entries_b)):
+            owner = np.repeat(np.arange(len(parts)), n)
+            same &= np.bincount(owner, weights=entries.sizes[ids], minlength=len(parts)).astype(np.int64) == sizes
+            kept = same[owner]
+            differ = entries.bytes_of(ids[kept]) != joined[np.repeat(same, sizes)]
+            wrong = np.repeat(np.arange(len(parts)), sizes)[np.repeat(same, sizes)][differ]
+            same[wrong] = False
+        return a, b, n_a, n_b, same
+
+    def learn(self, hashes: np.ndarray, parts: list[str]) -> None:
+        """Align new parts, all at once: the bytes of one follow those of the other."""
+        a, b, n_a, n_b, same = self.tokens(parts)
+        a, b = a[np.repeat(same, n_a)], b[np.repeat(same, n_b)]
+        n_a, n_b = np.where(same, n_a, 0), np.where(same, n_b, 0)
+        ends_a, ends_b = np.cumsum(self.entries_a.sizes[a]), np.cumsum(self.entries_b.sizes[b])
+        # two tokens overlap in one stretch between neighbouring ends of either side
+        both = np.concatenate((ends_a, ends_b))
+        both.sort(kind="stable")
+        again = both[1:] == both[:-1]
+        stretches, common = both[np.append(True, ~again)] if len(both) else both, both[1:][again]
+        pairs = a[np.searchsorted(ends_a, stretches)] << 32 | b[np.searchsorted(ends_b, stretches)]
+        last = np.concatenate(([0], ends_a))[np.cumsum(n_a)]  # where each part ends
+        text, sizes = self._written(a, b, np.searchsorted(common, ends_a), np.searchsorted(common, ends_b), len(common))
+        group_ends = np.cumsum(sizes)
+        n_groups = np.diff(np.searchsorted(common, last, side="right"), prepend=0)
+        self.texts.add(text, np.diff(np.concatenate(([0], group_ends))[np.cumsum(n_groups)], prepend=0))
+        self.links.add(pairs, np.diff(np.searchsorted(stretches, last, side="right"), prepend=0))
+        counts = np.stack((n_a, n_b, n_groups), axis=1)
+        counts[~same] = -1
+        own = slice(self.index.n, self.index.n + len(parts))
+        self.counts[own], self.hashes[own] = counts, hashes
+        self.index.number(hashes)
+
+    def _written(self, a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Groups as text, a semicolon after each, and the bytes of each; tokens are given with their groups."""
+        of_a, of_b = np.bincount(in_a, minlength=n), np.bincount(in_b, minlength=n)
+        base = np.cumsum(of_a + of_b) - of_a - of_b
+        place_a = base[in_a] + np.arange(len(a)) - (np.cumsum(of_a) - of_a)[in_a]
+        place_b = (base + of_a)[in_b] + np.arange(len(b)) - (np.cumsum(of_b) - of_b)[in_b]
+        total = len(a) + len(b)
+        starts, sizes, separators = np.zeros(total, np.int64), np.zeros(total, np.int64), np.full(total, ord(","), np.uint8)
+        offset = len(self.entries_a.digits)
+        starts[place_a], sizes[place_a] = self.entries_a.digit_starts[a], self.entries_a.digit_sizes[a]
+        starts[place_b], sizes[place_b] = offset + self.entries_b.digit_starts[b], self.entries_b.digit_sizes[b]
+        separators[base + of_a - 1], separators[base + of_a + of_b - 1] = ord("|"), ord(";")
+        text = _gathered(np.concatenate((self.entries_a.digits, self.entries_b.digits)), starts, sizes)
+        ends = np.cumsum(sizes)
+        text[ends - 1] = separators
+        return text, np.diff(np.concatenate(([0], ends))[np.cumsum(of_a + of_b)], prepend=0)
+
+    def documents(self, texts: list[str]) -> list[tuple[bytes, int, int, int, np.ndarray, np.ndarray]]:
         """Groups, counts, pairs of ids and their links of whole texts."""
-        parts = [parts_of(" " + t) if t else [] for t in texts]
-        known = self.known
-        new = {p for own in parts for p in own if p not in known}
-        if len(known) + len(new) > MAX_PARTS:
-            known.clear()
-            new = {p for own in parts for p in own}
-        long = self.learn(new) if new else set()
-        out = []
-        for own in parts:
-            found = [known[p] for p in own]
-            if not found or None in found:
+        raw = [(" " + t).encode() if t else b"" for t in texts]
+        out, at = [], 0
+        while at < len(raw):
+            stop, size = at + 1, len(raw[at])
+            while stop < len(raw) and size + len(raw[stop]) <= SLICE_BYTES:
+                size += len(raw[stop])
+                stop += 1
+            out += self._documents(raw[at:stop])
+            at = stop
+        return out
+
+    def _documents(self, raw: list[bytes]) -> list[tuple[bytes, int, int, int, np.ndarray, np.ndarray]]:
+        joined = b"".join(raw)
+        if not joined:
+            return [NOTHING] * len(raw)
+        data, bounds = np.frombuffer(joined, np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+        starts = part_starts(data, bounds)
+        ends = np.append(starts[1:], len(data))
+        hashes = run_hashes(BYTE_VALUE[data], starts, ends)
+        hashes[hashes == 0] = 1
+        entries = self.index.find(hashes)
+        new = np.flatnonzero(entries < 0)
+        if len(new):
+            fresh, at = np.unique(hashes[new], return_index=True)
+            if self.index.n + len(fresh) > MAX_PARTS or self.texts.used > MAX_BYTES:
+                self.shrink(len(np.unique(hashes)))
+                entries = self.index.find(hashes)
+                new = np.flatnonzero(entries < 0)
+                fresh, at = np.unique(hashes[new], return_index=True)
+            at = new[at]
+            self.learn(fresh, [joined[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist())])
+            entries[new] = self.index.find(hashes[new])
+        used, times = np.unique(entries, return_counts=True)
+        self.uses[used] += times.astype(np.int32)
+        text, text_ends = self.texts.of(entries)
+        links, link_ends = self.links.of(entries)
+        counts = np.concatenate((np.zeros((1, 3), np.int64), np.cumsum(self.counts[entries], axis=0)))
+        broken = np.concatenate(([0], np.cumsum(self.counts[entries, 0] < 0)))
+        cuts = np.searchsorted(starts, bounds)
+        text_cuts, link_cuts = (np.concatenate(([0], x))[cuts] for x in (text_ends, link_ends))
+        text, out = text.tobytes(), []
+        for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+            if lo == hi or broken[hi] > broken[lo]:
                 out.append(NOTHING)
                 continue
-            groups, n_a, n_b, n_groups, links = zip(*found)
-            pairs, n = np.unique(np.frombuffer(b"".join(links), np.int64), return_counts=True)
-            out.append((";".join(groups), sum(n_a), sum(n_b), sum(n_groups), pairs, n))
-        for p in long:
-            del known[p]
+            pairs, n = np.unique(links[link_cuts[i] : link_cuts[i + 1]], return_counts=True)
+            out.append((text[text_cuts[i] : text_cuts[i + 1] - 1], *(counts[hi] - counts[lo]).tolist(), pairs, n))
         return out
 
 
-NOTHING = ("", 0, 0, 0, np.zeros(0, np.int64), np.zeros(0, np.int64))
+NOTHING = (b"", 0, 0, 0, np.zeros(0, np.int64), np.zeros(0, np.int64))
 _LOADED: dict[tuple[str, str], Pair] = {}
 
 
@@ -260,7 +411,7 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
 def _results(rows: list[tuple]) -> list[pa.Array]:
     groups, n_a, n_b, n_groups, pairs, links = zip(*rows) if rows else [()] * 6
     numbers = [pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups)]
-    return [pa.array(groups, pa.string()), *numbers, _lists(list(pairs)), _lists(list(links))]
+    return [pa.array(groups, pa.binary()).cast(pa.string()), *numbers, _lists(list(pairs)), _lists(list(links))]
 
 
 RESULT_NAMES = ["groups", "n_a", "n_b", "n_groups", "pairs", "pair_links"]
@@ -344,12 +495,12 @@ def _fragments(path_a: str, path_b: str, size: int):
         for batch in batches:
             for row in range(batch.num_rows):
                 key, start, text = (batch.column(i)[row].as_py() for i in range(3))
-                parts = parts_of(text)
-                found = list(both.tokens(parts))
-                if None in found:
-                    made = [(start, Fragment(closes=True, same=False))]
+                a, b, _, _, same = both.tokens(parts_of(text))
+                if same.all():
+                    sides = [list(zip(ids.tolist(), e.sizes[ids].tolist())) for ids, e in ((a, both.entries_a), (b, both.entries_b))]
+                    made = fragments(*sides, start, size)
                 else:
-                    made = fragments([t for a, _ in found for t in a], [t for _, b in found for t in b], start, size)
+                    made = [(start, Fragment(closes=True, same=False))]
                 out = [{"key": key, "slot": at // size, "start": at} | _stored_fragment(f) for at, f in made]
                 yield pa.RecordBatch.from_pylist(out, schema=_PARTIAL)
 
@@ -373,7 +524,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = START.then(_read_fragment(row))
             c, done = whole.closed, whole.same and not whole.tail_a and not whole.tail_b
             pairs, n = np.fromiter(c.links, np.int64, len(c.links)), np.fromiter(c.links.values(), np.int64, len(c.links))
-            result = (";".join(c.groups), c.n_a, c.n_b, c.n_groups, pairs, n) if done else NOTHING
+            result = (";".join(c.groups).encode(), c.n_a, c.n_b, c.n_groups, pairs, n) if done else NOTHING
             yield pa.RecordBatch.from_arrays([pa.array([row["key"]], pa.int64()), *_results([result])], names=["key", *RESULT_NAMES])
 
 
@@ -396,8 +547,11 @@ def align_documents(
     them; ``pairs`` (id of A times 2^32 plus id of B, each once) and ``pair_links`` say how many pairs of
     overlapping tokens have these ids. A text that is null or empty, or whose tokens' bytes are not a space and
     the text (as with a U+2581 in it), has no tokens: an empty ``groups`` and zeros. Repeated rows are rows of
-    their own. A document's groups are one value, as its text is.
+    their own. A document's groups are one value, as its text is. Texts of more than ``chunk`` bytes are aligned
+    in fragments by several tasks.
     """
+    if not 0 < chunk <= SLICE_BYTES:
+        raise ValueError(f"a chunk has 1 to {SLICE_BYTES} bytes")
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.struct(*carry).alias("row"), whole.alias("text"))
     form = f"row {rows.schema['row'].dataType.simpleString()}"

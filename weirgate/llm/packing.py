@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirgate.llm.common import stored
-from weirgate.llm.words import BYTE_VALUE, SLICE_BYTES, run_hashes
+from weirgate.llm.words import BYTE_VALUE, SLICE_BYTES, HashIndex, Runs, run_hashes
 from weirgate.llm.words import _buffers as buffers
 
 CAPACITY = 2048
@@ -224,60 +224,20 @@ class Places:
 
 
 class Known:
-    """Ids of units by their 64-bit hash, in an open-addressed table of arrays; emptied when it is full."""
+    """Ids of units by their 64-bit hash; emptied when it is full."""
 
     def __init__(self, most: int):
         self.most = most
         self.clear()
 
     def clear(self) -> None:
-        self.n = 0
-        self.keys, self.entry = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int64)
-        self.starts, self.sizes = np.zeros(1 << 11, np.int64), np.zeros(1 << 11, np.int64)
-        self.flat, self.used = np.zeros(1 << 13, np.uint32), 0
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The entry of each hash, -1 where there is none."""
-        mask = len(self.keys) - 1
-        out = np.full(len(hashes), -1, np.int64)
-        place, left = (hashes & np.uint64(mask)).astype(np.int64), np.arange(len(hashes))
-        while len(left):
-            found = self.keys[place]
-            hit = found == hashes[left]
-            out[left[hit]] = self.entry[place[hit]]
-            on = ~hit & (found != 0)
-            left, place = left[on], (place[on] + 1) & mask
-        return out
-
-    def _put(self, hashes: np.ndarray, entries: np.ndarray) -> None:
-        mask = len(self.keys) - 1
-        place = (hashes & np.uint64(mask)).astype(np.int64)
-        while len(hashes):
-            free = self.keys[place] == 0
-            self.keys[place[free]] = hashes[free]  # of several at one place the last one has it
-            won = free & (self.keys[place] == hashes)
-            self.entry[place[won]] = entries[won]
-            hashes, entries, place = hashes[~won], entries[~won], (place[~won] + 1) & mask
+        self.index, self.ids = HashIndex(), Runs(np.uint32)
 
     def add(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
         """New different hashes with their ids."""
-        n, sizes = len(hashes), np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for each in ids for i in each), np.uint32, int(sizes.sum()))
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        while self.n + n > len(self.starts):
-            self.starts, self.sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.sizes))
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.starts[self.n : self.n + n] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[self.n : self.n + n] = sizes
-        if 2 * (self.n + n) > len(self.keys):
-            old, old_entries = self.keys, self.entry
-            size = 1 << int(4 * (self.n + n)).bit_length()
-            self.keys, self.entry = np.zeros(size, np.uint64), np.zeros(size, np.int64)
-            self._put(old[old != 0], old_entries[old != 0])
-        self._put(hashes, np.arange(self.n, self.n + n))
-        self.n += n
-        self.used += len(flat)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.ids.add(np.fromiter((i for each in ids for i in each), np.uint32, int(sizes.sum())), sizes)
+        self.index.number(hashes)
 
 
 SPACE, LETTER, DIGIT, MARK, OTHER = range(5)
@@ -383,26 +343,27 @@ class WordIds:
         hashes = run_hashes(BYTE_VALUE[values], starts, ends)
         hashes[hashes == 0] = 1
         known, long = self.known, np.flatnonzero(ends - starts > LONG_UNIT)
-        entries = known.find(hashes)
+        entries = known.index.find(hashes)
         entries[long] = -2
         new = np.flatnonzero(entries == -1)
         if len(new):
             fresh, at = np.unique(hashes[new], return_index=True)
-            if known.n + len(fresh) > known.most:
+            if known.index.n + len(fresh) > known.most:
                 known.clear()
                 new = np.flatnonzero(entries != -2)
                 fresh, at = np.unique(hashes[new], return_index=True)
             at = new[at]
             raw = values.tobytes()
             known.add(fresh, self._encoded([raw[s:e] for s, e in zip(starts[at], ends[at])], simple[at]))
-            entries[new] = known.find(hashes[new])
-        sizes, begin, flat = known.sizes[entries], known.starts[entries], known.flat
+            entries[new] = known.index.find(hashes[new])
+        runs = known.ids
+        sizes, begin, flat = runs.sizes[entries], runs.starts[entries], runs.flat
         if len(long):
             raw = values.tobytes()
             ids = self._encoded([raw[s:e] for s, e in zip(starts[long], ends[long])], simple[long])
             sizes[long] = [len(x) for x in ids]
-            begin[long] = known.used + np.cumsum(sizes[long]) - sizes[long]
-            flat = np.concatenate((known.flat[: known.used], *[np.array(x, np.uint32) for x in ids]))
+            begin[long] = runs.used + np.cumsum(sizes[long]) - sizes[long]
+            flat = np.concatenate((runs.flat[: runs.used], *[np.array(x, np.uint32) for x in ids]))
         bounds = np.concatenate(([0], np.cumsum(sizes)))
         where = np.arange(bounds[-1]) + np.repeat(begin - bounds[:-1], sizes)
         return flat[where].astype(self.kind), np.diff(bounds[np.searchsorted(starts, offsets)])

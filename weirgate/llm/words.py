@@ -179,3 +179,73 @@ def chosen_runs(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.nda
     starts = np.arange(len(runs))
     inside = words.bounds[text[: len(runs)] + 1] - starts >= size
     return runs[inside], starts[inside], text[: len(runs)][inside]
+
+
+class HashIndex:
+    """Numbers of 64-bit hashes in the order they were added, in an open-addressed table of arrays."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.n = 0
+        self.keys, self.entry = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, which is not 0; -1 where there is none."""
+        mask = len(self.keys) - 1
+        out = np.full(len(hashes), -1, np.int64)
+        place, left = (hashes & np.uint64(mask)).astype(np.int64), np.arange(len(hashes))
+        while len(left):
+            found = self.keys[place]
+            hit = found == hashes[left]
+            out[left[hit]] = self.entry[place[hit]]
+            on = ~hit & (found != 0)
+            left, place = left[on], (place[on] + 1) & mask
+        return out
+
+    def _put(self, hashes: np.ndarray, entries: np.ndarray) -> None:
+        mask = len(self.keys) - 1
+        place = (hashes & np.uint64(mask)).astype(np.int64)
+        while len(hashes):
+            free = self.keys[place] == 0
+            self.keys[place[free]] = hashes[free]  # of several at one place the last one has it
+            won = free & (self.keys[place] == hashes)
+            self.entry[place[won]] = entries[won]
+            hashes, entries, place = hashes[~won], entries[~won], (place[~won] + 1) & mask
+
+    def number(self, hashes: np.ndarray) -> None:
+        """Give new different hashes the next numbers."""
+        total = self.n + len(hashes)
+        if 2 * total > len(self.keys):
+            old, old_entries = self.keys, self.entry
+            size = 1 << int(4 * total).bit_length()
+            self.keys, self.entry = np.zeros(size, np.uint64), np.zeros(size, np.int64)
+            self._put(old[old != 0], old_entries[old != 0])
+        self._put(hashes, np.arange(self.n, total))
+        self.n = total
+
+
+class Runs:
+    """Arrays of one kind side by side, by number."""
+
+    def __init__(self, kind):
+        self.flat, self.starts, self.sizes, self.used, self.n = np.zeros(1 << 12, kind), np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64), 0, 0
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while self.n + len(sizes) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.sizes))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.starts[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.n : self.n + len(sizes)] = sizes
+        self.used += len(flat)
+        self.n += len(sizes)
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The arrays of these numbers one after the other, and where each one ends."""
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[numbers] - ends + sizes, sizes)
+        return self.flat[where], ends
