@@ -1,10 +1,12 @@
+from pathlib import Path
+
 import pytest
 
 from weirgate.contracts import Contract
 from weirgate.operators import adoption as D
 from weirgate.operators import catalog as C
 from weirgate.operators import events as E
-from weirgate.operators.quality import model_tests
+from weirgate.operators.quality import column_profile, file_profile, model_tests
 from weirgate.plans.models import run_model, run_stages
 from pyspark.sql import functions as F
 
@@ -43,6 +45,39 @@ def test_column_tests(spark):
         model_tests(df, {"id": ["positive"]})
 
 
+def test_unique_tests_share_one_shuffle_of_one_scan(spark, folder):
+    path = f"{folder}/t"
+    spark.range(100).selectExpr("id", "id % 40 AS twice", "CAST(id % 2 AS double) AS half", "IF(id < 3, NULL, id) AS gaps", "CAST(NULL AS string) AS none").write.parquet(path)
+    df = spark.read.parquet(path)
+    found = model_tests(df, {c: ["unique"] for c in df.columns})
+    assert {r.column_name: r.violations for r in found.collect()} == {"id": 0, "twice": 40, "half": 2, "gaps": 0, "none": 0}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("FileScan parquet") == 1
+
+
+def test_column_profile_of_every_kind(spark):
+    df = spark.range(1000).selectExpr(
+        "IF(id % 4 = 0, NULL, id) AS n", "CAST(id % 10 AS double) / 4 AS x", "date_add(DATE '2024-01-01', CAST(id AS int)) AS day",
+        "array(id, NULL) AS list", "map('k', id % 5) AS kv", "named_struct('a', id, 'b', 'é') AS s", "CAST(NULL AS string) AS none", "X'00ff' AS raw",
+        "IF(id = 0, double('NaN'), 1.5) AS odd",
+    )
+    found = {r.column_name: r for r in column_profile(df).collect()}
+    assert [found["n"].nulls, found["n"].null_rate, found["none"].null_rate] == [250, 0.25, 1.0]
+    assert (found["n"].least, found["n"].greatest) == ("1", "999") and abs(found["n"].approx_median - 500) < 25
+    assert abs(found["n"].approx_distinct - 750) < 40 and found["x"].approx_distinct == 10 and found["kv"].approx_distinct == 5
+    assert found["none"].approx_distinct == 0 and found["none"].approx_median is None and found["none"].bytes == 0
+    assert found["odd"].approx_median == 1.5 and found["odd"].approx_distinct == 2
+    assert found["raw"].bytes == 4000 and found["list"].least is None
+    empty = column_profile(df.limit(0)).first()
+    assert (empty.row_count, empty.null_rate, empty.bytes) == (0, None, 0)
+
+
+def test_file_profile(spark, folder):
+    spark.range(10).repartition(3).write.parquet(f"{folder}/t")
+    files = [p for p in Path(folder, "t").glob("*.parquet")]
+    assert tuple(file_profile(spark, f"{folder}/t").first())[0] >= len(files) == 3
+
+
 def test_backfill_range(spark):
     df = spark.sql("select timestamp_ntz'2024-01-31 23:59:59' as ts union all select timestamp_ntz'2024-02-01 00:00:00'")
     assert E.date_range(df, "ts", "2024-01-01", "2024-01-31").count() == 1

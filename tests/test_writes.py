@@ -1,5 +1,6 @@
 import random
 from datetime import date, datetime
+from fractions import Fraction
 from pathlib import Path
 
 import pytest
@@ -167,6 +168,44 @@ def test_fingerprint_ignores_order_and_counts_copies(spark):
     assert of(df.filter("id > 99"))["row_count"] == 0
 
 
+def test_canonical_numbers_are_exact(spark):
+    rng = random.Random(2)
+    values = [0.0, -0.0, 1.0, -1.5, 0.1, 1e300, -1e-300, 5e-324, 1.7976931348623157e308, 2.0**52, 2.0**53 - 1, float("nan"), float("inf"), -float("inf"), None]
+    values += [rng.choice((-1, 1)) * rng.random() * 2.0 ** rng.randint(-1070, 1020) for _ in range(500)] + [2.0**k for k in range(-1074, 1024, 7)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for r in df.select("x", P.canonical(F.col("x"), df.schema["x"].dataType).alias("t")).collect():
+        if r.x is None or r.x != r.x or r.x in (0, float("inf"), -float("inf")):
+            assert r.t == {None: None, "nan": "nan", "0.0": "0", "-0.0": "0", "inf": "inf", "-inf": "-inf"}[r.x if r.x is None else str(r.x)]
+        else:
+            whole, power = r.t.split("p")
+            assert Fraction(int(whole)) * Fraction(2) ** int(power) == Fraction(r.x)
+            assert 2**52 <= abs(int(whole)) < 2**53
+
+
+def test_fingerprints_of_nested_values(spark):
+    def of(value):
+        return P.table_fingerprint(spark.sql(f"SELECT {value} AS v"), "t").first()["fingerprint"]
+
+    prints = [
+        of(v)
+        for v in (
+            "array('a,1', 'b')", "array('a', '1:b')", "array('a,1,b')", "array('a', NULL)", "array('a')", "map('a', 1, 'b', 2)", "map('a', 2, 'b', 1)",
+            "named_struct('p', 1, 'q', NULL)", "named_struct('p', NULL, 'q', 1)", "array(array(1), array(2))", "array(array(1, 2))",
+            "DATE '2024-01-01'", "X'61'", "CAST(1 AS double)", "TIMESTAMP_NTZ '2024-01-01 00:00:00.000001'", "TIMESTAMP_NTZ '2024-01-01 00:00:00'",
+        )
+    ]
+    assert len(set(prints)) == len(prints)
+    assert of("map('a', 1, 'b', 2)") == of("map('b', 2, 'a', 1)")
+
+
+def test_texts_keep_microseconds(spark, folder, rows):
+    df = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-01 00:00:13.179575' AS a, TIMESTAMP '2024-01-01 00:00:13.000001' AS b")
+    for kind in ("json", "csv"):
+        path = K.append_files(df, folder, kind, kind)
+        back = spark.read.schema(df.schema).option("header", True).format(kind).load(path)
+        assert rows(back) == rows(df)
+
+
 def test_verify(spark):
     left = spark.createDataFrame([("a", "1"), ("b", "2")], "k string, fingerprint string")
     right = spark.createDataFrame([("a", "1"), ("b", "3"), ("c", "4")], "k string, fingerprint string")

@@ -84,8 +84,9 @@ def unlocked_modules(refs: DataFrame, lock: DataFrame) -> DataFrame:
 
 
 def first_per_module(refs: DataFrame) -> DataFrame:
-    """The first reference to each module in order of ``position``; a partial aggregate, no window."""
-    return refs.groupBy(schema_ref_module(F.col("schema_ref")).alias("module")).agg(
+    """The first reference to each module in order of ``position``; a partial aggregate, no window. No reference is
+    in no module."""
+    return refs.filter("schema_ref IS NOT NULL").groupBy(schema_ref_module(F.col("schema_ref")).alias("module")).agg(
         F.min_by("schema_ref", "position").alias("schema_ref"), F.min("position").alias("position")
     )
 

@@ -12,8 +12,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weirgate.functions.identifiers import sha256_digest
+from weirgate.functions.times import micros
 
 WORDS = 4
 WORD_DIGITS = 15
@@ -21,18 +23,53 @@ PIECES = 3
 PIECE_BITS = 20
 
 
+def canonical(c: Column, kind: T.DataType) -> Column:
+    """Text of a value that any engine can make, NULL for NULL.
+
+    Numbers with a fraction are their exact sign, whole significand of 53 bits and power of two, as ``-123p-45``
+    (``0``, ``nan``, ``inf`` and ``-inf`` by name; both zeros are equal). Timestamps are microseconds and dates days
+    since 1970, binary values hex. Lists and structs have each value with its length, maps their entries in order
+    of the key's text.
+    """
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        x = c.cast("double")
+        size, power = F.abs(x), F.floor(F.log2(F.abs(x))).cast("int")
+        # in two steps, as the factor may be beyond the largest number
+        half = F.floor((F.lit(52) - power) / 2).cast("int")
+        two = F.lit(2.0)
+        scaled = size * F.pow(two, half) * F.pow(two, F.lit(52) - power - half)
+        step = F.when(scaled >= float(1 << 53), 1).when(scaled < float(1 << 52), -1).otherwise(0)
+        whole = (scaled / F.pow(two, step)).cast("bigint").cast("string")
+        sign = F.when(x < 0, "-").otherwise("")
+        exact = F.concat(sign, whole, F.lit("p"), (power + step - 52).cast("string"))
+        special = F.when(F.isnan(x), "nan").when(size == float("inf"), F.concat(sign, F.lit("inf"))).when(x == 0, "0")
+        return F.when(c.isNotNull(), special.otherwise(exact))
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return micros(c).cast("string")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("string")
+    if isinstance(kind, T.BinaryType):
+        return F.hex(c)
+    if isinstance(kind, T.ArrayType):
+        return F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: sized(canonical(x, kind.elementType))), ","), F.lit("]"))
+    if isinstance(kind, T.MapType):
+        pair = lambda e: F.concat(sized(canonical(e["key"], kind.keyType)), F.lit("="), sized(canonical(e["value"], kind.valueType)))
+        return F.concat(F.lit("{"), F.array_join(F.sort_array(F.transform(F.map_entries(c), pair)), ","), F.lit("}"))
+    if isinstance(kind, T.StructType):
+        values = [sized(canonical(c.getField(f.name), f.dataType)) for f in kind.fields]
+        return F.when(c.isNotNull(), F.concat(F.lit("("), F.concat_ws(",", *values), F.lit(")")))
+    return c.cast("string")
+
+
+def sized(text: Column) -> Column:
+    """A text after its length, ``-`` for NULL."""
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+
 def row_text(df: DataFrame, columns: Sequence[str]) -> Column:
-    """Unambiguous text of a row: sorted names, each with the length and text of its value, ``-`` for NULL."""
-    parts = []
-    for name in sorted(columns):
-        value = F.col(f"`{name}`").cast("string")
-        parts.append(
-            F.concat(
-                F.lit(f"{name}="),
-                F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-")),
-            )
-        )
-    return F.concat_ws("\n", *parts)
+    """Unambiguous text of a row: sorted names, each with the length and canonical text of its value, ``-`` for NULL."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{n}="), sized(canonical(F.col(f"`{n}`"), kinds[n]))) for n in sorted(columns)])
 
 
 def part_digests(df: DataFrame, keys: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:

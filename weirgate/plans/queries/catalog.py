@@ -101,7 +101,7 @@ def unlocked_modules(t):
        FROM schema_refs WHERE schema_ref IS NOT NULL GROUP BY 1""",
 )
 def first_references(t):
-    return C.first_per_module(t.schema_refs.filter("schema_ref IS NOT NULL"))
+    return C.first_per_module(t.schema_refs)
 
 
 DIFF = """old AS (SELECT dataset, name, min(type) AS type FROM fields WHERE name <> 'amount' GROUP BY dataset, name),
@@ -134,11 +134,10 @@ def field_name_problems(t):
 
 @query(
     "U1",
-    """SELECT concat_ws('/', namespace, name) AS id, type, namespace, name, owner FROM catalog WHERE namespace <> 'team-0'""",
+    """SELECT concat_ws('/', namespace, name) AS id, type, namespace, name, owner FROM catalog""",
 )
 def catalog_listing(t):
-    records = t.catalog.filter("namespace <> 'team-0'")
-    return C.listing(records.filter("type = 'dataset'"), records.filter("type = 'job'"))
+    return C.listing(t.catalog.filter("type = 'dataset'"), t.catalog.filter("type = 'job'"))
 
 
 @query("L11", "SELECT name, namespace, version FROM catalog WHERE namespace = 'team-1' AND type = 'dataset'")
@@ -164,12 +163,26 @@ def catalog_upsert(t):
     return upsert(t.catalog.select("name", "owner", "updated_at"), changes, ["name"], order)
 
 
-@query("L12")
+EVENT_COLUMNS = {"event_id": "bigint", "ts": "timestamp", "user_id": "bigint", "event_type": "string", "value": "float", "props": "string"}
+
+
+@query(
+    "L12",
+    f"""SELECT 'analytics/events' AS id, 'dataset' AS type, 'analytics' AS namespace, 'events' AS name, 'core@example.com' AS owner,
+              'internal' AS classification, 'parquet' AS format, count(*) AS row_count, max(ts) AS freshness,
+              [{", ".join(f"'{n}:{kind}:{str(n == 'user_id').lower()}'" for n, kind in EVENT_COLUMNS.items())}] AS fields,
+              [{", ".join(f"count(*) FILTER (WHERE {n} IS NULL) / CAST(count(*) AS DOUBLE)" for n in EVENT_COLUMNS)}] AS null_rates
+       FROM events""",
+)
 def catalog_record(t):
-    contract = Contract.from_dict(
-        {
-            "name": "events", "classification": "internal",
-            "schema": [{"name": "event_id", "type": "bigint"}, {"name": "user_id", "type": "bigint", "pii": True}],
-        }
+    """The record, its fields and null rates listed in the contract's order."""
+    schema = [{"name": n, "type": kind, "pii": n == "user_id"} for n, kind in EVENT_COLUMNS.items()]
+    contract = Contract.from_dict({"name": "events", "classification": "internal", "schema": schema})
+    record = C.record_of(t.events, contract, "analytics", "core@example.com", "ts")
+    field = lambda f: F.concat_ws(":", f["name"], f["type"], f["pii"].cast("string"))
+    return record.select(
+        "id", "type", "namespace", "name", "owner", "classification", F.col("schema.format").alias("format"),
+        F.col("quality.rowCount").alias("row_count"), F.col("quality.freshness").alias("freshness"),
+        F.transform("schema.fields", field).alias("fields"),
+        F.array(*[F.col("quality.nullRate")[n] for n in EVENT_COLUMNS]).alias("null_rates"),
     )
-    return C.record_of(t.events.select("event_id", "user_id", "ts"), contract, "analytics", "core@example.com", "ts")

@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from weirgate.contracts import Contract, conform, conformance_report, read_together
 from weirgate.operators import events as E
-from weirgate.operators.quality import file_profile, model_tests, profile
+from weirgate.operators.quality import column_profile, model_tests
+from weirgate.plans.digests import text_sql
 from weirgate.plans.models import python_transform, run_model, run_stages
 from weirgate.plans.registry import query
+from weirgate.session import written
 
 RESHAPED = {
     "event_id": "id", "user_id": "user_id", "event_type": "type", "timestamp": "timestamp",
@@ -177,7 +179,7 @@ def python_rows(t):
     "V5",
     """SELECT strftime(ts, '%Y-%m-%d') AS date, event_type, count(*) AS total_events, count(DISTINCT user_id) AS unique_users,
               count(user_name) AS known_users
-       FROM events LEFT JOIN users USING (user_id) WHERE event_type <> 'error' GROUP BY 1, 2""",
+       FROM events LEFT JOIN users USING (user_id) GROUP BY 1, 2""",
 )
 def staged_transforms(t):
     summary = Contract.from_dict(
@@ -191,7 +193,7 @@ def staged_transforms(t):
     )
 
     def stage(x):
-        return {"staged": x["raw"].filter(F.col("event_type") != "error")}
+        return {"staged": x["raw"].select("event_type", "ts", "user_id")}
 
     def enrich(x):
         return {"enriched": E.enrich_events(x["staged"], x["users"])}
@@ -209,21 +211,44 @@ def staged_transforms(t):
     return result["summary"]
 
 
-@query(
-    "A18",
-    """SELECT count(*) AS row_count, max(ts) AS freshness,
-              count(*) FILTER (WHERE user_name IS NULL) / CAST(count(*) AS DOUBLE) AS null_rate_user_name,
-              CAST(0 AS DOUBLE) AS null_rate_ts
-       FROM events LEFT JOIN users USING (user_id)""",
-)
-def quality_profile(t):
-    enriched = E.enrich_events(t.events, t.users).select("user_name", "ts")
-    return profile(enriched, freshness="ts")
+PROFILED = {"user_id": "bigint", "event_id": "bigint", "ts": "timestamp_ntz", "event_type": "string", "value": "double", "props": "string",
+            "user_name": "string", "user_email": "string"}
+
 
+def profile_sql(name, kind):
+    """A column's row of the profile; the sketches are held to their bounds against exact results."""
+    sized = {"double": "double", "timestamp_ntz": "timestamp"}.get(kind, "plain")
+    number = kind in ("bigint", "double")
+    bounds = f"min({name}), max({name})" if kind in ("bigint", "string") else "NULL, NULL"
+    least, greatest = (f"CAST({b} AS VARCHAR)" for b in bounds.split(", "))
+    return f"""SELECT '{name}' AS column_name, '{kind}' AS type, count(*) AS row_count, count(*) - count({name}) AS nulls,
+        (count(*) - count({name})) / CAST(count(*) AS DOUBLE) AS null_rate, CAST(coalesce(sum(strlen({text_sql(name, sized)})), 0) AS BIGINT) AS bytes,
+        {least} AS least, {greatest} AS greatest, TRUE AS distinct_near, {'TRUE' if number else 'NULL::BOOLEAN'} AS median_near
+        FROM events LEFT JOIN users USING (user_id)"""
 
-@query("A18")
-def file_sizes(t):
-    return file_profile(t.spark, t.path("lineitem"))
+
+@query("A18", " UNION ALL ".join(profile_sql(n, k) for n, k in PROFILED.items()))
+def quality_profile(t):
+    """All columns. Of the sketches the query returns whether they are within 5 % of the exact number of distinct
+    values, and within 5 % of the rows of the middle one; least and greatest of times and fractions are left out,
+    as engines write them differently."""
+    enriched = written(E.enrich_events(t.events, t.users).select(*PROFILED), "enriched")
+    found = column_profile(enriched)
+    exact = enriched.agg(*[F.count_distinct(c).alias(f"d_{c}") for c in PROFILED])
+    listed = exact.select(F.explode(F.create_map(*[x for c in PROFILED for x in (F.lit(c), F.col(f"d_{c}"))])).alias("column_name", "distinct"))
+    both = found.join(listed, "column_name")
+    medians = {r["column_name"]: r["approx_median"] for r in found.where("approx_median IS NOT NULL").collect()}
+    ranks = enriched.agg(*[(F.count_if(F.col(c) <= m) / F.count(c)).alias(c) for c, m in medians.items()]).first().asDict()
+    middle = {c: abs(r - 0.5) <= 0.05 for c, r in ranks.items()}
+    near = F.abs(F.col("approx_distinct") - F.col("distinct")) <= 0.05 * F.col("distinct")
+    median = F.lit(None).cast("boolean")
+    for c, good in middle.items():
+        median = F.when(F.col("column_name") == c, good).otherwise(median)
+    shown = F.col("type").isin("bigint", "string")
+    return both.select(
+        "column_name", "type", "row_count", "nulls", "null_rate", "bytes", F.when(shown, F.col("least")).alias("least"),
+        F.when(shown, F.col("greatest")).alias("greatest"), near.alias("distinct_near"), median.alias("median_near"),
+    )
 
 
 @query(

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from weirgate.operators import governance as V
 from weirgate.operators.fingerprint import fingerprints, table_fingerprint, verify
+from weirgate.plans.digests import CUSTOMER, ORDERS, digest_sql, row_sql
+from weirgate.plans.queries.writes import versioned
 from weirgate.plans.registry import query
-from weirgate.session import scratch_path, written
-from weirgate.sources.refresh import apply_partition_retention, apply_retention
-from weirgate.sources.writers import write_partitioned
+from weirgate.session import written
+from weirgate.sources.versions import retain, retain_days
 
 AS_OF = "2025-06-01"
 RANK = "CASE {c} WHEN 'public' THEN 0 WHEN 'internal' THEN 1 WHEN 'confidential' THEN 2 WHEN 'restricted' THEN 3 END"
@@ -77,88 +78,61 @@ def retention_status(t):
 
 
 def _stored(t):
-    path = scratch_path(t.spark, "orders")
-    t.orders.select("o_orderkey", "o_orderdate", "o_totalprice").write.parquet(path)
-    return path, t.spark.read.parquet(path)
+    table = versioned(t, "orders")
+    table.replace(t.orders, "load")
+    return table
+
+
+def retention_date():
+    return F.lit("1999-01-01").cast("date")
 
 
 @query(
     "L14",
-    """SELECT o_orderkey, o_orderdate, o_totalprice, 'kept' AS place FROM orders WHERE date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-01-01') <= 730
-       UNION ALL SELECT o_orderkey, o_orderdate, o_totalprice, 'archive' FROM orders WHERE date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-01-01') > 730""",
+    """SELECT *, CASE WHEN date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-01-01') <= 730 THEN 'kept' ELSE 'archive' END AS place FROM orders""",
 )
 def retention_archive(t):
-    path, stored = _stored(t)
-    archive = scratch_path(t.spark, "archive")
-    apply_retention(stored, path, "o_orderdate", 730, F.lit("1999-01-01").cast("date"), "archive", archive)
-    kept = t.spark.read.parquet(path).withColumn("place", F.lit("kept"))
-    return kept.unionByName(t.spark.read.parquet(archive).withColumn("place", F.lit("archive")))
+    table, archive = _stored(t), versioned(t, "archive")
+    for _ in range(2):  # the repeated run neither archives twice nor loses anything
+        retain(table, "o_orderdate", 730, retention_date(), "nightly", "archive", archive)
+    kept = table.read().withColumn("place", F.lit("kept"))
+    return kept.unionByName(archive.read().withColumn("place", F.lit("archive")))
 
 
-@query(
-    "L14",
-    "SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-01-01') <= 730",
-)
+@query("L14", "SELECT * FROM orders WHERE date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-01-01') <= 730")
 def retention_delete(t):
-    path, stored = _stored(t)
-    apply_retention(stored, path, "o_orderdate", 730, F.lit("1999-01-01").cast("date"), "delete")
-    return t.spark.read.parquet(path)
+    table = _stored(t)
+    retain(table, "o_orderdate", 730, retention_date(), "nightly")
+    return table.read()
 
 
-@query(
-    "L14",
-    """SELECT event_id, event_type, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%Y-%m-%d') < '2024-01-11' AS archived FROM events""",
-)
+@query("L14", "SELECT *, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%Y-%m-%d') < '2024-01-11' AS archived FROM events")
 def retention_by_day(t):
-    path, archive = scratch_path(t.spark, "days"), scratch_path(t.spark, "archive")
-    dated = t.events.select("event_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("date"))
-    write_partitioned(dated, path, "date")
-    apply_partition_retention(t.spark, path, "date", 20, date(2024, 1, 31), "archive", archive)
-    kept = t.spark.read.schema(dated.schema).parquet(path).withColumn("archived", F.lit(False))
-    return kept.unionByName(t.spark.read.schema(dated.schema).parquet(archive).withColumn("archived", F.lit(True)))
-
-
-def digest_sql(rows, keys="", salt="''"):
-    """The fingerprint in DuckDB terms over a query giving ``txt`` and the keys."""
-    prefix = f"{keys}, " if keys else ""
-    group = f"GROUP BY {keys}" if keys else ""
-    limbs = ", ".join(
-        f"CAST(sum((CAST(('0x' || substr(h, {1 + 15 * i}, 15)) AS BIGINT) >> {20 * j}) & 1048575) AS VARCHAR)"
-        for i in range(4)
-        for j in range(3)
-    )
-    return f"""hashed AS (SELECT {prefix}sha256(txt) AS h FROM ({rows})),
-      parts AS (SELECT {prefix}substr(h, 1, 2) AS part, count(*) AS n, sha256(concat_ws(',', substr(h, 1, 2), CAST(count(*) AS VARCHAR), {limbs})) AS d
-                FROM hashed GROUP BY {prefix}substr(h, 1, 2)),
-      prints AS (SELECT {prefix}CAST(coalesce(sum(n), 0) AS BIGINT) AS row_count,
-                        concat('sha256:', sha256(concat({salt}, coalesce(string_agg(d, '' ORDER BY d), '')))) AS fingerprint FROM parts {group})"""
-
-
-def value_sql(name):
-    text = f"CAST({name} AS VARCHAR)"
-    return f"concat('{name}=', coalesce(concat(CAST(length({text}) AS VARCHAR), ':', {text}), '-'))"
-
-
-CUSTOMER_TEXT = "concat_ws(chr(10), " + ", ".join(value_sql(n) for n in ("c_custkey", "c_name", "c_nationkey")) + ")"
-ORDER_TEXT = "concat_ws(chr(10), " + ", ".join(value_sql(n) for n in ("o_custkey", "o_orderkey", "o_orderpriority")) + ")"
+    table, archive = versioned(t, "days", "date"), versioned(t, "archive", "date")
+    table.replace(t.events.withColumn("date", F.date_format("ts", "yyyy-MM-dd")), "load")
+    for _ in range(2):
+        retain_days(table, 20, date(2024, 1, 31), "nightly", "archive", archive)
+    return table.read().withColumn("archived", F.lit(False)).unionByName(archive.read().withColumn("archived", F.lit(True)))
+
+
 SALT = "concat('table=customer', chr(10), 'profile=default', chr(10))"
 
 
-@query("A21", f"WITH {digest_sql(f'SELECT {CUSTOMER_TEXT} AS txt FROM customer', salt=SALT)} SELECT row_count, fingerprint FROM prints")
+@query("A21", f"WITH {digest_sql(f'SELECT {row_sql(CUSTOMER)} AS txt FROM customer', salt=SALT)} SELECT row_count, fingerprint FROM prints")
 def table_fingerprints(t):
-    return table_fingerprint(t.customer.select("c_custkey", "c_name", "c_nationkey"), "customer")
+    return table_fingerprint(t.customer, "customer")
+
+
+ORDER_VALUES = {name: kind for name, kind in ORDERS.items() if name != "o_orderstatus"}
 
 
 @query(
     "A22",
-    f"""WITH {digest_sql(f'SELECT o_orderstatus, {ORDER_TEXT} AS txt FROM orders', keys='o_orderstatus')}
+    f"""WITH {digest_sql(f'SELECT o_orderstatus, {row_sql(ORDER_VALUES)} AS txt FROM orders', keys='o_orderstatus')}
         SELECT o_orderstatus, fingerprint AS actual, CASE WHEN o_orderstatus = 'P' THEN 'sha256:stale' ELSE fingerprint END AS expected,
                o_orderstatus <> 'P' AS matches FROM prints""",
 )
 def verified_fingerprints(t):
-    columns = ["o_custkey", "o_orderkey", "o_orderpriority"]
-    actual = fingerprints(t.orders.select("o_orderstatus", *columns), ["o_orderstatus"])
-    stored = written(actual, "fingerprints").withColumn(
-        "fingerprint", F.when(F.col("o_orderstatus") == "P", "sha256:stale").otherwise(F.col("fingerprint"))
-    )
-    return verify(actual, stored, ["o_orderstatus"])
+    actual = written(fingerprints(t.orders, ["o_orderstatus"]), "fingerprints")
+    noted = F.when(F.col("o_orderstatus") == "P", "sha256:stale").otherwise(F.col("fingerprint"))
+    return verify(actual, actual.withColumn("fingerprint", noted), ["o_orderstatus"])

@@ -6,7 +6,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from weirgate.contracts import Contract
+from weirgate.contracts.types import Field
 from weirgate.operators.catalog import resolve
+from weirgate.operators.fingerprint import fingerprints
+from weirgate.plans.digests import CUSTOMER, LINEITEM, ORDERS, tables_sql
 from weirgate.plans.registry import query
 from weirgate.session import scratch_path
 from weirgate.sources.custom import read_resolved
@@ -26,10 +29,12 @@ EVENTS = Contract.from_dict(
 )
 
 
-@query("S1", "SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase'")
+EVENT_FILES = Contract(EVENTS.name, (*EVENTS.fields, Field("props")))
+
+
+@query("S1", "SELECT event_id, user_id, event_type, value, props FROM events")
 def parquet_scan(t):
-    df = read_files(t.spark, t.path("events"), EVENTS)
-    return df.filter(F.col("event_type") == "purchase").select("event_id", "user_id", "value")
+    return read_files(t.spark, t.path("events"), EVENT_FILES)
 
 
 @query("S2", "SELECT event_id, user_id, event_type, value FROM events")
@@ -89,22 +94,13 @@ def inline_scan(t):
     return t.events.join(levels, "event_type", "left").groupBy("severity").agg(F.count(F.lit(1)).alias("events"))
 
 
-def _counts(frames):
-    counted = [
-        df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
-        for name, df in frames.items()
-    ]
-    return reduce(lambda a, b: a.unionByName(b), counted)
-
-
-@query(
-    "S10",
-    """SELECT 'customer' AS table_name, count(*) AS row_count FROM customer UNION ALL
-       SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem""",
-)
+@query("S10", tables_sql({"customer": CUSTOMER, "orders": ORDERS, "lineitem": LINEITEM}))
 def sync_scan(t):
+    """Every table that is wanted is read once, whole; its rows are told by their fingerprint."""
     wanted = [Contract(n, table=n, store="warehouse") for n in ("customer", "orders", "customer", "lineitem")]
-    return _counts(read_tables(wanted, lambda c: t.spark.read.parquet(t.path(c.locator))))
+    tables = read_tables(wanted, lambda c: t.spark.read.parquet(t.path(c.locator)))
+    prints = [fingerprints(df).select(F.lit(name).alias("table_name"), "row_count", "fingerprint") for name, df in tables.items()]
+    return reduce(lambda a, b: a.unionByName(b), prints)
 
 
 @query(

@@ -5,13 +5,17 @@ import uuid
 from pyspark.sql import functions as F
 
 from weirgate.contracts import Contract
+from weirgate.contracts.types import contract_type
 from weirgate.operators import runs as R
 from weirgate.operators.events import date_range, name_summary
+from weirgate.operators.fingerprint import fingerprints
+from weirgate.plans.digests import CUSTOMER, ORDERS, tables_sql
 from weirgate.plans.queries.events import named_events
 from weirgate.plans.registry import query
 from weirgate.session import scratch_path
-from weirgate.sources import keyed, refresh, writers
+from weirgate.sources import keyed, writers
 from weirgate.sources.readers import read_files
+from weirgate.sources.versions import VersionedTable, refresh_versions
 
 
 @query("K1", "SELECT event_id, event_type, value FROM events")
@@ -50,27 +54,40 @@ def per_dataset_format(t):
 
 @query(
     "K4 K13",
-    """SELECT table_name, destination, row_count AS rows_written, 0 AS errors
-       FROM (SELECT 'customer' AS table_name, count(*) AS row_count FROM customer UNION ALL SELECT 'orders', count(*) FROM orders)
-       CROSS JOIN (VALUES ('lake'), ('mirror')) AS d(destination)""",
+    f"""SELECT d.destination, p.table_name, p.row_count AS rows_written, 0 AS errors, p.fingerprint
+       FROM ({tables_sql({"customer": CUSTOMER, "orders": ORDERS})}) p CROSS JOIN (VALUES ('lake'), ('mirror')) AS d(destination)""",
 )
 def fan_out(t):
+    """The summary of the sync, with the fingerprint of the rows that a reader finds at each destination."""
     prefix = scratch_path(t.spark, "fan")
+    tables = {"customer": t.customer, "orders": t.orders}
 
     def to(folder):
         return lambda name, df: writers.append_files(df, f"{prefix}/{folder}", name)
 
-    summary = writers.fan_out({"customer": t.customer, "orders": t.orders}, {"lake": to("lake"), "mirror": to("mirror")})
-    return summary.select("table_name", "destination", "rows_written", "errors")
+    summary = writers.fan_out(tables, {"lake": to("lake"), "mirror": to("mirror")})
+    found = None
+    for place in ("lake", "mirror"):
+        for name, df in tables.items():
+            rows = fingerprints(t.spark.read.schema(df.schema).parquet(f"{prefix}/{place}/{name}"))
+            rows = rows.select(F.lit(place).alias("destination"), F.lit(name).alias("table_name"), "fingerprint")
+            found = rows if found is None else found.unionByName(rows)
+    return summary.join(found, ["destination", "table_name"]).select("destination", "table_name", "rows_written", "errors", "fingerprint")
 
 
-@query("K6", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus <> 'F'")
+def versioned(t, label, partition_by=None):
+    """A new versioned table of its own name, below the scratch folder."""
+    return VersionedTable(t.spark, f"{label}_{uuid.uuid4().hex}", scratch_path(t.spark, label), partition_by)
+
+
+@query("K6", "SELECT * EXCLUDE (o_orderstatus) FROM orders WHERE o_orderstatus <> 'F'")
 def refreshed_table(t):
-    path = scratch_path(t.spark, "refresh")
-    t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus").write.parquet(path)
-    current = t.spark.read.parquet(path)
-    writers.refresh_table(current.filter("o_orderstatus <> 'F'").select("o_orderkey", "o_totalprice"), path)
-    return t.spark.read.parquet(path)
+    table = versioned(t, "refresh")
+    table.replace(t.orders, "load")
+    kept = table.read().filter("o_orderstatus <> 'F'").drop("o_orderstatus")
+    for _ in range(2):  # the repeated run changes nothing
+        table.replace(kept, "refresh")
+    return table.read()
 
 
 @query("K7", "SELECT c_custkey, c_name FROM customer")
@@ -101,30 +118,26 @@ def created_if_absent(t):
        SELECT c_custkey, c_acctbal FROM latest UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM latest)""",
 )
 def upserted_table(t):
-    path = scratch_path(t.spark, "upsert")
-    t.customer.select("c_custkey", "c_acctbal").write.parquet(path)
+    table = versioned(t, "upsert")
+    table.replace(t.customer.select("c_custkey", "c_acctbal"), "load")
     changes = t.orders.select(
         F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"), "o_orderdate", "o_orderkey"
     )
-    order = [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()]
-    writers.refresh_table(keyed.upsert(t.spark.read.parquet(path), changes, ["c_custkey"], order), path)
-    return t.spark.read.parquet(path)
+    table.upsert(changes, ["c_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()], "orders")
+    return table.read()
 
 
 @query(
     "K9",
-    """WITH moved AS (SELECT c_custkey, c_name, 'BUILDING' AS c_mktsegment FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_acctbal > 0)
-       SELECT * FROM moved UNION ALL SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM moved)""",
+    """WITH moved AS (SELECT * REPLACE ('BUILDING' AS c_mktsegment) FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_acctbal > 0)
+       SELECT * FROM moved UNION ALL SELECT * FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM moved)""",
 )
 def upserted_partitions(t):
-    path = scratch_path(t.spark, "partitions")
-    stored = t.customer.select("c_custkey", "c_name", "c_mktsegment")
-    writers.write_partitioned(stored, path, "c_mktsegment")
-    changes = t.customer.filter("c_mktsegment = 'MACHINERY' AND c_acctbal > 0").select(
-        "c_custkey", "c_name", F.lit("BUILDING").alias("c_mktsegment")
-    )
-    keyed.upsert_partitions(path, changes, ["c_custkey"], [F.col("c_name")], "c_mktsegment")
-    return t.spark.read.parquet(path)
+    table = versioned(t, "partitions", "c_mktsegment")
+    table.replace(t.customer, "load")
+    moved = t.customer.filter("c_mktsegment = 'MACHINERY' AND c_acctbal > 0").withColumn("c_mktsegment", F.lit("BUILDING"))
+    table.upsert(moved, ["c_custkey"], [F.col("c_name")], "move")
+    return table.read()
 
 
 @query("K10", "SELECT event_id, event_type, strftime(ts, '%Y-%m-%d') AS date FROM events")
@@ -161,15 +174,19 @@ def materialised_model(t):
     return writers.save_model(name_summary(named_events(t)), table, path=scratch_path(t.spark, "model"))
 
 
-@query("K12", "SELECT run_id, event_type, event_time, job_name FROM lineage_events")
+@query(
+    "K12",
+    """SELECT run_id, event_type, event_time, job_name, place FROM lineage_events CROSS JOIN (VALUES ('log'), ('copy')) AS p(place)""",
+)
 def event_log(t):
-    prefix = scratch_path(t.spark, "events")
+    prefix, events = scratch_path(t.spark, "events"), t.lineage_events
     errors = writers.append_events(
-        t.lineage_events,
+        events,
         [lambda df: writers.append_files(df, prefix, "log"), lambda df: writers.append_files(df, prefix, "copy", "json")],
     )
     assert not errors, errors
-    return t.spark.read.parquet(f"{prefix}/log")
+    log, copy = t.spark.read.parquet(f"{prefix}/log"), t.spark.read.schema(events.schema).json(f"{prefix}/copy")
+    return log.withColumn("place", F.lit("log")).unionByName(copy.withColumn("place", F.lit("copy")))
 
 
 @query(
@@ -221,15 +238,13 @@ def completed_runs(t):
     return R.complete_runs(opened, done)
 
 
-@query("D1", "SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0")
+@query("D1", "SELECT * FROM customer WHERE c_acctbal > 0")
 def refreshed_on_change(t):
-    contract = Contract.from_dict(
-        {"name": "customer", "schema": [{"name": "c_custkey", "type": "bigint"}, {"name": "c_name"}]}
-    )
-    path, meta = scratch_path(t.spark, "seeded"), scratch_path(t.spark, "meta")
-    rows = t.customer.select("c_custkey", "c_name")
-    first = refresh.refresh(t.spark, contract, rows, path, meta)
-    again = refresh.refresh(t.spark, contract, rows.repartition(3), path, meta)
-    changed = refresh.refresh(t.spark, contract, t.customer.filter("c_acctbal > 0").select("c_custkey", "c_name"), path, meta)
-    assert (first.seeded, again.skipped, changed.seeded) == (1, 1, 1)
-    return t.spark.read.parquet(path)
+    names = [(f.name, contract_type(f.dataType)) for f in t.customer.schema]
+    contract = Contract.from_dict({"name": "customer", "schema": [{"name": n, "type": kind} for n, kind in names]})
+    table = versioned(t, "seeded")
+    first = refresh_versions(table, contract, t.customer, "monday")
+    again = refresh_versions(table, contract, t.customer.repartition(3), "tuesday")
+    changed = refresh_versions(table, contract, t.customer.filter("c_acctbal > 0"), "wednesday")
+    assert (first.loaded, again.loaded, changed.loaded) == (True, False, True)
+    return table.read()

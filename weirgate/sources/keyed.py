@@ -24,7 +24,7 @@ LOG_OPERATIONS = ("insert", "create", "update", "delete")
 OPERATIONS = ("create", "update", "delete")
 
 
-def _match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+def matching(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Rows of ``left`` with (``left_semi``) or without (``left_anti``) an equal key in ``right``."""
     named = right.select(*[F.col(k).alias(f"__{k}") for k in keys])
     return left.join(named, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), how)
@@ -38,7 +38,7 @@ def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str], order: S
     """
     columns = [*current.columns, *_extra(changes, current)]
     latest = written(newest(changes.select(*columns), keys, order).select(*current.columns), "changes")
-    return _match(current, latest, keys, "left_anti").unionByName(latest)
+    return matching(current, latest, keys, "left_anti").unionByName(latest)
 
 
 def _extra(changes: DataFrame, current: DataFrame) -> list[str]:
@@ -57,7 +57,7 @@ def apply_change_log(
     checked = changes.withColumn(operation, F.when(op.isin(*LOG_OPERATIONS), op).otherwise(wrong))
     latest = written(newest(checked, keys, [F.col(position).desc()]), "changes")
     alive = latest.filter(op != "delete")
-    return _match(current, latest, keys, "left_anti").unionByName(alive.select(*current.columns))
+    return matching(current, latest, keys, "left_anti").unionByName(alive.select(*current.columns))
 
 
 def rejected_changes(current: DataFrame, changes: DataFrame, keys: Sequence[str], operation: str = "op") -> DataFrame:
@@ -67,7 +67,7 @@ def rejected_changes(current: DataFrame, changes: DataFrame, keys: Sequence[str]
 
 
 def _rejected(current: DataFrame, changes: DataFrame, keys: Sequence[str], operation: str) -> DataFrame:
-    known = _match(current.select(*keys), changes, keys, "left_semi").distinct()
+    known = matching(current.select(*keys), changes, keys, "left_semi").distinct()
     marked = known.select(*[F.col(k).alias(f"__{k}") for k in keys], F.lit(True).alias("__known"))
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
     op, found = F.col(operation), F.col("__known").isNotNull()
@@ -89,10 +89,10 @@ def apply_changes(current: DataFrame, changes: DataFrame, keys: Sequence[str], o
     if first:
         raise ValueError(f"change cannot apply: {first[0].asDict()}")
     alive = changes.filter(F.col(operation) != "delete")
-    return _match(current, changes, keys, "left_anti").unionByName(alive.select(*current.columns))
+    return matching(current, changes, keys, "left_anti").unionByName(alive.select(*current.columns))
 
 
-def _in(partition: str, values: list) -> Column:
+def partitions_in(partition: str, values: list) -> Column:
     """Rows of these partitions, as a filter that Spark prunes folders by."""
     inside = F.col(partition).isin(*[v for v in values if v is not None])
     return inside | F.col(partition).isNull() if None in values else inside
@@ -108,14 +108,14 @@ def upsert_partitions(path: str, changes: DataFrame, keys: Sequence[str], order:
     spark = changes.sparkSession
     current = spark.read.parquet(path)
     latest = written(newest(changes, keys, order).select(*current.columns), "changes")
-    places = _match(current.select(*dict.fromkeys((*keys, partition))), latest, keys, "left_semi").select(partition)
+    places = matching(current.select(*dict.fromkeys((*keys, partition))), latest, keys, "left_semi").select(partition)
     touched = [r[0] for r in places.unionByName(latest.select(partition)).distinct().collect()]
-    affected = current.filter(_in(partition, touched))
-    result = written(_match(affected, latest, keys, "left_anti").unionByName(latest), "staged")
+    affected = current.filter(partitions_in(partition, touched))
+    result = written(matching(affected, latest, keys, "left_anti").unionByName(latest), "staged")
     filled = {r[0] for r in result.select(partition).distinct().collect()}
     emptied = [v for v in touched if v not in filled]
     folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
-    gone = [r[0] for r in current.filter(_in(partition, emptied)).select(folder).distinct().collect()] if emptied else []
+    gone = [r[0] for r in current.filter(partitions_in(partition, emptied)).select(folder).distinct().collect()] if emptied else []
     write_partitioned(result, path, partition, mode="overwrite")
     for old in gone:
         delete_path(spark, unquote(old))

@@ -44,10 +44,21 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(jvm_path, True)
 
 
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none where it does not exist."""
+    fs, jvm_path = _file_system(spark, path)
+    if not fs.exists(jvm_path):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(jvm_path) if s.isDirectory())
+
+
 def append_files(df: DataFrame, prefix: str, table: str, file_format: str = "parquet") -> str:
-    """Append new files below ``prefix/table``; every table has its own format."""
+    """Append new files below ``prefix/table``; every table has its own format. Texts keep the microseconds of times."""
     path = f"{prefix.rstrip('/')}/{table}"
     writer = df.write.mode("append").format(file_format)
+    if file_format in ("json", "csv"):
+        exact = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
+        writer = writer.option("timestampNTZFormat", exact).option("timestampFormat", f"{exact}[XXX]")
     if file_format == "csv":
         writer = writer.option("header", True).option("escape", '"')
     writer.save(path)
@@ -83,9 +94,10 @@ def write_partitioned(
 
 
 def refresh_table(df: DataFrame, path: str, partition_by: str | None = None) -> int:
-    """Replace all rows of a parquet table: write beside it, check the number of rows, then swap.
+    """Replace all rows of a parquet folder: write beside it, check the number of rows, then swap.
 
-    ``df`` may read the same path. The old files go only once the new ones are in place; a failure before
+    Between the two renames readers find no folder; a table with readers is a
+    :class:`~weirgate.sources.versions.VersionedTable`. ``df`` may read the same path. The old files go only once the new ones are in place; a failure before
     that leaves them as they were.
     """
     spark, tag = df.sparkSession, uuid.uuid4().hex
