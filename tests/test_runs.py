@@ -2,8 +2,10 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from weirgate.operators import metrics as M
+from weirgate.operators import paging
 from weirgate.operators import runs as R
 
 START = datetime(2024, 1, 1)
@@ -124,7 +126,7 @@ def test_no_runs(spark):
 @pytest.mark.parametrize("limit,offset", [(5, 0), (7, 30), (10, 595), (5, 5000)])
 @pytest.mark.parametrize("deep", [False, True])
 def test_pages(runs, histories, monkeypatch, limit, offset, deep):
-    monkeypatch.setattr(R, "DEEP_PAGE", 0 if deep else 100_000)
+    monkeypatch.setattr(paging, "FEW", 0 if deep else 100_000)
     everything = sorted((r for (p, e), s in histories.items() for r in history(p, e, s)), key=lambda r: (-r[4].timestamp(), r[0]))
     got = R.page(runs, limit, offset).collect()
     assert [r.id for r in got] == [r[0] for r in everything[offset : offset + limit]]
@@ -134,11 +136,36 @@ def test_pages(runs, histories, monkeypatch, limit, offset, deep):
 def test_pages_put_undated_rows_last(spark, monkeypatch):
     rows = history("p", "dev", ["success"] * 5) + [(f"u{i}", "p", "dev", "success", None, 1, 1, "1") for i in range(4)]
     expected = [r.id for r in R.page(frame(spark, rows), 9).collect()]
-    monkeypatch.setattr(R, "DEEP_PAGE", 0)
+    monkeypatch.setattr(paging, "FEW", 0)
     for offset in range(0, 9, 2):
         assert [r.id for r in R.page(frame(spark, rows), 3, offset).collect()] == expected[offset : offset + 3]
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_a_page_among_a_million_equal_instants(spark, kind):
+    ids = f"CAST(id * 7919 % 1000003 - 500000 AS {kind})"
+    many = spark.range(1_000_003).selectExpr(f"{ids} AS id", "TIMESTAMP_NTZ '2024-03-01 12:00:00' AS start_time")
+    around = spark.range(3).selectExpr(f"CAST(id AS {kind}) AS id", "CASE id WHEN 0 THEN NULL WHEN 1 THEN TIMESTAMP_NTZ '2024-03-01 12:00:00.000001' ELSE TIMESTAMP_NTZ '2020-01-01 00:00:00' END AS start_time")
+    df = many.unionByName(around)
+    ordered = sorted(range(-500_000, 500_003), key=int if kind == "bigint" else lambda i: str(i).encode())
+    place = str if kind == "string" else int
+    for offset in (0, 654_321, 1_000_002):
+        wanted = ([place(1)] + [place(i) for i in ordered] + [place(2), place(0)])[offset : offset + 40]
+        assert [r.id for r in R.page(df, 40, offset).collect()] == wanted
+    types = {f.name: f.dataType for f in df.schema}
+    numbers = [*paging.order_numbers("start_time", types["start_time"], True), *paging.order_numbers("id", types["id"])]
+    parts = paging.located(df, numbers, 654_321, 40, 1_000_006)
+    assert sum(length for *_, length in parts) == 40
+    assert all(part.count() <= paging.FEW for part, *_ in parts)
+
+
+def test_a_long_page_takes_whole_buckets(spark, monkeypatch):
+    monkeypatch.setattr(paging, "FEW", 10)
+    df = spark.range(5000).selectExpr("CAST(id AS string) AS id", "timestampadd(SECOND, CAST(id % 40 AS int), TIMESTAMP_NTZ '2024-01-01 00:00:00') AS start_time")
+    everything = [r.id for r in df.orderBy(F.col("start_time").desc(), "id").collect()]
+    assert [r.id for r in R.page(df, 700, 333).collect()] == everything[333:1033]
+
+
 def test_filter_bounds_are_inclusive(spark):
     runs = frame(spark, history("p", "dev", ["success"] * 4))
     found = R.filter_runs(runs, package="p", since=START - timedelta(hours=2), until=START - timedelta(hours=1))

@@ -5,9 +5,10 @@ from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weirgate.operators.windows import newest, previous_instant, previous_value, running_total
+from weirgate.operators.windows import SPAN, newest, previous_instant, previous_value, running_total, spans
 
 START = datetime(2024, 1, 1)
 
@@ -92,6 +93,48 @@ def test_running_total_needs_no_join(data):
     assert "Join" not in plan
 
 
+DENSE = {
+    "spark.sql.shuffle.partitions": "16",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+}
+
+
+@pytest.fixture
+def dense(spark):
+    """40,000 rows, two thirds of them in one second of one key, and 9,000 of those in one instant."""
+    before = {k: spark.conf.get(k, None) for k in DENSE}
+    for key, value in DENSE.items():
+        spark.conf.set(key, value)
+    yield spark.range(40_000).selectExpr(
+        "id",
+        "CASE WHEN id % 3 > 0 THEN 'hot' ELSE concat('k', id % 50) END AS k",
+        """CASE WHEN id % 3 > 0 THEN timestampadd(MICROSECOND, CAST(greatest(id - 13500, 0) AS int), TIMESTAMP_NTZ '2024-01-01 10:00:00')
+                ELSE timestampadd(MINUTE, CAST(id AS int), TIMESTAMP_NTZ '2023-01-01 00:00:00') END AS at""",
+        "CAST(id % 7 AS int) AS n",
+    ).cache()
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_a_dense_second_of_one_key_is_many_spans(dense):
+    sizes = [r["count"] for r in spans(dense, ["k"], ["at", "id"]).groupBy(SPAN).count().collect()]
+    assert len(sizes) >= 12 and max(sizes) <= 3 * 40_000 / 16
+    instants = dense.select("k", "at").distinct()
+    sizes = [r["count"] for r in spans(instants, ["k"], ["at"]).groupBy(SPAN).count().collect()]
+    assert len(sizes) >= 12 and max(sizes) <= 3 * instants.count() / 16
+
+
+def test_dense_keys_against_plain_windows(dense):
+    by_time = W.partitionBy("k").orderBy("at", "id")
+    plain = dense.withColumn("before", F.lag("n").over(by_time))
+    assert previous_value(dense, ["k"], "at", "id", "n", "before").exceptAll(plain).isEmpty()
+    sums = dense.groupBy("k", "at").agg(F.sum("n").alias("n"))
+    upto = sums.withColumn("upto", F.sum("n").over(W.partitionBy("k").orderBy("at")))
+    assert running_total(dense, ["k"], "at", "n", "upto").exceptAll(upto).isEmpty()
+    steps = sums.select("k", "at", F.lag("at").over(W.partitionBy("k").orderBy("at")).alias("before"))
+    assert previous_instant(dense, ["k"], "at", "before").exceptAll(steps).isEmpty()
+
+
 def test_newest_rejects_zero(data):
     with pytest.raises(ValueError):
         newest(data[1], ["k"], [F.col("id")], 0)

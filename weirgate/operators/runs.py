@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weirgate.functions.times import millis_between
-from weirgate.operators.windows import newest, previous_value, running_total
+from weirgate.operators.paging import page as page
+from weirgate.operators.windows import newest, previous_value
 
 # Fixed values of the run model.
 ENVIRONMENTS = ("dev", "int", "prod")
@@ -18,8 +18,6 @@ STATUSES = ("pending", "running", "success", "failure", "cancelled")
 STATS_RUNS = 10
 HEALTH_RUNS = 5
 UNHEALTHY_FAILURES = 3
-# Pages ending within this many rows are taken as a top-N.
-DEEP_PAGE = 1_000
 
 
 def newest_first() -> list[Column]:
@@ -47,46 +45,6 @@ def filter_runs(
     return runs
 
 
-def page(df: DataFrame, limit: int, offset: int = 0, at: str = "start_time", tiebreak: str = "id") -> DataFrame:
-    """One page, newest first, every row carrying the number of rows before paging in ``total``.
-
-    Past the end the page is empty. An early page is a top-N. A deep one would carry everything before it
-    to one task, so it is located first: rows are counted per hour, which says in which hours the page
-    lies, and only those are read and given positions.
-    """
-    total = df.agg(F.count(F.lit(1))).scalar()
-    if offset + limit <= DEEP_PAGE:
-        return df.orderBy(F.col(at).desc(), F.col(tiebreak)).offset(offset).limit(limit).withColumn("total", total)
-    hours = df.groupBy(F.date_trunc("hour", F.col(at)).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
-    after = W.orderBy(F.col("hour").desc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
-    placed = hours.withColumn("newer", F.coalesce(F.sum("n").over(after), F.lit(0)))
-    found = (
-        placed.filter((F.col("newer") < offset + limit) & (F.col("newer") + F.col("n") > offset))
-        .agg(F.min("hour").alias("first"), F.max("hour").alias("last"), F.min("newer").alias("newer"), F.count_if(F.col("hour").isNull()).alias("undated"))
-        .first()
-    )
-    kind = df.schema[at].dataType
-    inside = F.lit(False)
-    if found["first"] is not None:
-        end = found["last"] + timedelta(hours=1)
-        inside = (F.col(at) >= F.lit(found["first"]).cast(kind)) & (F.col(at) < F.lit(end).cast(kind))
-    if found["undated"]:
-        inside = F.coalesce(inside, F.lit(False)) | F.col(at).isNull()
-    near = df.filter(inside)
-    counted = running_total(near.select(at, F.lit(1).alias("__n")), (), at, "__n", "__upto")
-    here = near.agg(F.count(F.lit(1))).scalar()
-    shown = counted.select(F.col(at).alias("__at"), "__n", (F.lit(found["newer"] or 0) + here - F.col("__upto")).alias("__newer"))
-    shown = shown.filter((F.col("__newer") < offset + limit) & (F.col("__newer") + F.col("__n") > offset))
-    position = F.col("__newer") + F.row_number().over(W.partitionBy("__at").orderBy(tiebreak))
-    return (
-        near.join(shown.drop("__n"), F.col(at).eqNullSafe(F.col("__at")))
-        .withColumn("__position", position)
-        .filter((F.col("__position") > offset) & (F.col("__position") <= offset + limit))
-        .orderBy("__position")
-        .select(*df.columns, total.alias("total"))
-    )
-
-
 def newest_runs(runs: DataFrame, n: int, keys: Sequence[str] = ("package", "environment")) -> DataFrame:
     """The ``n`` newest runs per key with their position in ``run_rank``; ties go to the smaller id."""
     return newest(runs, keys, newest_first(), n, rank="run_rank")

@@ -1,8 +1,10 @@
 """Ordered computations per key that stay balanced when one key holds most of the rows.
 
-A plain window sends a whole key to one task. These helpers do not: the newest-N keeps only N rows per
-key and map task before the shuffle, and the running forms cut every key into short time spans, work
-inside each span, and carry one small summary row per span across.
+A plain window sends a whole key to one task. These helpers do not. The newest-N keeps only N rows per key and map
+task before the shuffle. The running forms are scans in two levels: rows are dealt to spans of about equal size by
+ranges of key and order, which Spark chooses from a sample of them, so a dense hour of one key is many spans and a
+quiet year is part of one; every (key, span) is worked on by itself, and one row per span carries what the spans
+before it add up to. The spans are written, so both levels see the same ones.
 """
 
 from __future__ import annotations
@@ -13,6 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from weirgate.session import written
+
+SPAN = "__span"
+
 
 def newest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1, rank: str | None = None) -> DataFrame:
     """First ``n`` rows per key in the given order, with their 1-based position as ``rank`` when named.
@@ -29,49 +35,53 @@ def newest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int =
     return kept if rank else kept.drop(name)
 
 
-def running_total(
-    df: DataFrame, keys: Sequence[str], at: str, amount: str, out: str, span: str = "hour"
-) -> DataFrame:
+def spans(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = SPAN) -> DataFrame:
+    """``df`` written in ranges of keys and order, numbered in that order in ``out``.
+
+    Equal rows of keys and order are in one span, so ``order`` is to end in a unique column where many are equal.
+    """
+    return written(df.repartitionByRange(*keys, *order).withColumn(out, F.spark_partition_id()), "spans")
+
+
+def running_total(df: DataFrame, keys: Sequence[str], at: str, amount: str, out: str) -> DataFrame:
     """Sum of ``amount`` over all rows of the key up to and including each instant.
 
     One row per key and instant: rows of the same instant are added up first. Each span starts with a row
-    holding the sum of all spans before it, so a span's window holds at most its distinct instants, the
-    window over spans one row per span, and no join is needed.
+    holding the sum of all spans before it, so no join is needed.
     """
-    instants = df.groupBy(*keys, at).agg(F.sum(amount).alias("__amount"))
-    dated = instants.withColumn("__span", F.date_trunc(span, F.col(at)))
-    before = W.partitionBy(*keys).orderBy("__span").rowsBetween(W.unboundedPreceding, -1)
-    carried = dated.groupBy(*keys, "__span").agg(F.sum("__amount").alias("__total")).select(
+    instants = spans(df.groupBy(*keys, at).agg(F.sum(amount).alias("__amount")), keys, (at,))
+    before = W.partitionBy(*keys).orderBy(SPAN).rowsBetween(W.unboundedPreceding, -1)
+    carried = instants.groupBy(*keys, SPAN).agg(F.sum("__amount").alias("__total")).select(
         *keys,
         F.lit(None).cast(df.schema[at].dataType).alias(at),
         F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__amount"),
-        "__span",
+        SPAN,
         F.lit(True).alias("__carry"),
     )
     inside = (
-        W.partitionBy(*keys, "__span").orderBy(F.col("__carry").desc(), at).rowsBetween(W.unboundedPreceding, W.currentRow)
+        W.partitionBy(*keys, SPAN).orderBy(F.col("__carry").desc(), at).rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     return (
-        dated.withColumn("__carry", F.lit(False)).unionByName(carried)
+        instants.withColumn("__carry", F.lit(False)).unionByName(carried)
         .withColumn(out, F.sum("__amount").over(inside))
         .filter(~F.col("__carry"))
         .select(*keys, at, F.col("__amount").alias(amount), out)
     )
 
 
-def previous_instant(df: DataFrame, keys: Sequence[str], at: str, out: str, span: str = "hour") -> DataFrame:
+def previous_instant(df: DataFrame, keys: Sequence[str], at: str, out: str) -> DataFrame:
     """Distinct instants of each key with the instant before; NULL for the first.
 
     Each span starts with a copy of the last instant of the span before it.
     """
-    instants = df.select(*keys, at).distinct().withColumn("__span", F.date_trunc(span, F.col(at)))
-    over_spans = W.partitionBy(*keys).orderBy("__span")
+    instants = spans(df.select(*keys, at).distinct(), keys, (at,))
+    over_spans = W.partitionBy(*keys).orderBy(SPAN)
     carried = (
-        instants.groupBy(*keys, "__span").agg(F.max(at).alias("__last"))
-        .select(*keys, F.lag("__last").over(over_spans).alias(at), "__span", F.lit(True).alias("__carry"))
+        instants.groupBy(*keys, SPAN).agg(F.max(at).alias("__last"))
+        .select(*keys, F.lag("__last").over(over_spans).alias(at), SPAN, F.lit(True).alias("__carry"))
         .filter(F.col(at).isNotNull())
     )
-    inside = W.partitionBy(*keys, "__span").orderBy(at)
+    inside = W.partitionBy(*keys, SPAN).orderBy(at)
     return (
         instants.withColumn("__carry", F.lit(False)).unionByName(carried)
         .withColumn(out, F.lag(at).over(inside))
@@ -80,25 +90,25 @@ def previous_instant(df: DataFrame, keys: Sequence[str], at: str, out: str, span
     )
 
 
-def previous_value(
-    df: DataFrame, keys: Sequence[str], at: str, tiebreak: str, value: str, out: str, span: str = "day"
-) -> DataFrame:
+def previous_value(df: DataFrame, keys: Sequence[str], at: str, tiebreak: str, value: str, out: str) -> DataFrame:
     """``value`` of the row before, in order of time and tiebreak, as a new column; NULL for the first row.
 
-    Each span starts with a copy of the last row of the span before it.
+    Each span starts with a copy of the last row of the span before it. Rows of one instant are split by the
+    tiebreak.
     """
-    rows = df.withColumn("__span", F.date_trunc(span, F.col(at)))
+    rows = spans(df, keys, (at, tiebreak))
     last = F.max_by(F.struct(at, tiebreak, value), F.struct(at, tiebreak))
     carried = (
-        rows.groupBy(*keys, "__span").agg(last.alias("__last"))
-        .withColumn("__last", F.lag("__last").over(W.partitionBy(*keys).orderBy("__span")))
+        rows.groupBy(*keys, SPAN).agg(last.alias("__last"))
+        .withColumn("__last", F.lag("__last").over(W.partitionBy(*keys).orderBy(SPAN)))
         .filter(F.col("__last").isNotNull())
-        .select(*keys, "__span", "__last.*", F.lit(True).alias("__carry"))
+        .select(*keys, SPAN, "__last.*", F.lit(True).alias("__carry"))
     )
-    inside = W.partitionBy(*keys, "__span").orderBy(at, tiebreak)
+    # a carried row comes first, also where its instant is that of the span's first row
+    inside = W.partitionBy(*keys, SPAN).orderBy(F.col("__carry").desc(), at, tiebreak)
     return (
         rows.withColumn("__carry", F.lit(False)).unionByName(carried, allowMissingColumns=True)
         .withColumn(out, F.lag(value).over(inside))
         .filter(~F.col("__carry"))
-        .drop("__span", "__carry")
+        .drop(SPAN, "__carry")
     )
