@@ -118,26 +118,46 @@ def step(run, kind, minutes):
     return (run, kind, START + timedelta(minutes=minutes), "job")
 
 
-def test_lifecycle(spark, folder):
-    schema = schema_of(spark, LINEAGE)
+def follow(spark, folder, max_files=None, **kw):
+    """The newest rows of all runs, after the files that are there were followed to their end."""
+    stream = ingest.file_stream(stateful_session(spark), f"{folder}/in", schema_of(spark, LINEAGE), max_files=max_files)
+    rows = lifecycle.lifecycle_stream(stream, 3600, "10 minutes", **kw)
+    query = ingest.run_available(windows.save_updates(rows, f"{folder}/out", f"{folder}/cp"))
+    newest = windows.latest_updates(spark, f"{folder}/out", ["run_id", "job_name"])
+    return query, {r.run_id: (r.status, r.duration_ms) for r in newest.collect()}
 
-    def run():
-        rows = lifecycle.lifecycle_stream(ingest.file_stream(stateful_session(spark), f"{folder}/in", schema), 3600, "10 minutes")
-        writer = rows.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out")
-        ingest.run_available(writer.option("checkpointLocation", f"{folder}/cp"))
 
+def test_lifecycle(spark, folder):
     chatty = [step("r1", "RUNNING", i / 10) for i in range(50)]
     land(spark, folder, "in", [step("r1", "START", 0), step("r1", "START", 0), *chatty, step("r2", "START", 1), step("r3", "START", 2)], LINEAGE)
-    run()
+    assert set(follow(spark, folder)[1].values()) == {("running", None)}
     land(spark, folder, "in", [step("r1", "COMPLETE", 6), step("r1", "COMPLETE", 6), step("r3", "FAIL", 7)], LINEAGE)
-    run()
+    assert follow(spark, folder)[1] == {"r1": ("success", 360_000), "r2": ("running", None), "r3": ("failure", 300_000)}
     land(spark, folder, "in", [step("r4", "START", 200), step("r4", "ABORT", 201)], LINEAGE)
-    run()
     land(spark, folder, "in", [step("r5", "START", 300)], LINEAGE)
-    run()
-    got = {(r.run_id, r.status) for r in spark.read.parquet(f"{folder}/out").collect()}
-    assert got == {("r1", "success"), ("r2", "stale"), ("r3", "failure"), ("r4", "cancelled")}
-    assert spark.read.parquet(f"{folder}/out").count() == 4
+    wanted = {"r1": ("success", 360_000), "r2": ("stale", None), "r3": ("failure", 300_000), "r4": ("cancelled", 60_000), "r5": ("running", None)}
+    assert follow(spark, folder, max_files=1)[1] == wanted
+    # a late end closes a stale run while its state is kept, a repeated one changes nothing
+    land(spark, folder, "in", [step("r2", "COMPLETE", 301), step("r1", "COMPLETE", 302)], LINEAGE)
+    wanted |= {"r2": ("success", 18_000_000), "r1": ("success", 302 * 60_000)}
+    assert follow(spark, folder)[1] == wanted
+
+
+def test_lifecycle_state_is_dropped(spark, folder):
+    land(spark, folder, "in", [step("r1", "START", 0), step("r1", "FAIL", 1), step("r2", "START", 0)], LINEAGE)
+    follow(spark, folder, keep_seconds=600)
+    land(spark, folder, "in", [step("r3", "START", 200)], LINEAGE)
+    query, _ = follow(spark, folder, keep_seconds=600)
+    land(spark, folder, "in", [step("r4", "START", 400)], LINEAGE)
+    query, found = follow(spark, folder, keep_seconds=600)
+    assert found["r1"][0] == "failure" and found["r2"][0] == found["r3"][0] == "stale" and found["r4"][0] == "running"
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 5  # values and timers of r3 and r4
+
+
+def test_lifecycle_reads_its_source_once(spark, folder):
+    land(spark, folder, "in", [step("r1", "START", 0), step("r1", "ABORT", 1)], LINEAGE)
+    query, _ = follow(spark, folder)
+    assert len(query.lastProgress["sources"]) == 1 and len(query.lastProgress["stateOperators"]) == 1
 
 
 def test_fan_out_replaces_a_repeated_batch(spark, folder):

@@ -128,17 +128,19 @@ def facet_schemas(t):
     return L.schema_fields(t.nested_events)
 
 
-@query(
-    "T6",
-    """SELECT run_id, job_name, start_time, end_time, status,
+def lifecycle_sql(as_of):
+    """Run rows as of an instant, an SQL expression."""
+    return f"""SELECT run_id, job_name, start_time, end_time, status,
               CAST(floor((epoch_us(end_time) - epoch_us(start_time)) / CAST(1000 AS DOUBLE)) AS BIGINT) AS duration_ms FROM (
          SELECT run_id, job_name, min(event_time) FILTER (WHERE event_type = 'START') AS start_time,
                 max(event_time) FILTER (WHERE event_type <> 'START') AS end_time,
                 CASE max(event_type) FILTER (WHERE event_type <> 'START') WHEN 'COMPLETE' THEN 'success' WHEN 'FAIL' THEN 'failure'
                      WHEN 'ABORT' THEN 'cancelled'
-                     ELSE CASE WHEN min(event_time) < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL '1' HOUR THEN 'stale' ELSE 'running' END END AS status
-         FROM lineage_events GROUP BY run_id, job_name)""",
-)
+                     ELSE CASE WHEN min(event_time) < {as_of} - INTERVAL '1' HOUR THEN 'stale' ELSE 'running' END END AS status
+         FROM lineage_events GROUP BY run_id, job_name)"""
+
+
+@query("T6", lifecycle_sql("TIMESTAMP '2024-01-20 00:00:00'"))
 def run_lifecycle(t):
     return L.run_lifecycle(t.lineage_events, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), timeout_seconds=3600)
 

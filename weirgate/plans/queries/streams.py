@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from weirgate.plans.queries.events import RESHAPED, STAMP, raw_events, stamp
+from weirgate.plans.queries.lineage import lifecycle_sql
 from weirgate.plans.registry import query
 from weirgate.session import path_bytes, scratch_path
 from weirgate.streaming import ingest, lifecycle, windows
@@ -74,29 +75,17 @@ def stream_rates(t):
     return windows.latest_updates(t.spark, out, ["window_start", "event_type"])
 
 
-@query(
-    "T6",
-    """WITH ends AS (SELECT run_id, job_name, min(event_time) FILTER (WHERE event_type = 'START') AS start_time,
-                            max(event_time) FILTER (WHERE event_type <> 'START') AS end_time,
-                            max(event_type) FILTER (WHERE event_type <> 'START') AS end_type FROM lineage_events GROUP BY run_id, job_name),
-            final AS (SELECT date_trunc('millisecond', least(max(event_time) FILTER (WHERE event_type = 'START'),
-                                                             max(event_time) FILTER (WHERE event_type <> 'START'))) - INTERVAL '10' MINUTE AS watermark
-                      FROM lineage_events)
-       SELECT run_id, job_name, start_time, end_time,
-              CASE end_type WHEN 'COMPLETE' THEN 'success' WHEN 'FAIL' THEN 'failure' WHEN 'ABORT' THEN 'cancelled' ELSE 'stale' END AS status
-       FROM ends, final WHERE end_type IS NOT NULL OR date_trunc('millisecond', start_time) + INTERVAL '1' HOUR < watermark""",
-)
+@query("T6", lifecycle_sql("(SELECT max(event_time) - INTERVAL '10' MINUTE FROM lineage_events)"))
 def stream_lifecycle(t):
-    """The watermark of two joined streams is the lower of the two, here of the starts and of the ends."""
+    """The batch form as of the last watermark. The stream stops half way through and goes on from its checkpoint."""
     out, checkpoint = folders(t, "lifecycle")
     source = scratch_path(t.spark, "lineage")
-    events = t.lineage_events
-    events.write.parquet(source)
-    session = stateful_session(t.spark, path_bytes(t.spark, source))
-    rows = lifecycle.lifecycle_stream(ingest.file_stream(session, source, events.schema), timeout_seconds=3600)
-    writer = rows.writeStream.format("parquet").outputMode("append").option("path", out)
-    ingest.run_available(writer.option("checkpointLocation", checkpoint))
-    return t.spark.read.schema(rows.schema).parquet(out)
+    events, half = t.lineage_events, F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    for later in (False, True):
+        events.where((F.col("event_time") >= half) == F.lit(later)).write.mode("append").parquet(source)
+        stream = ingest.file_stream(stateful_session(t.spark), source, events.schema)
+        ingest.run_available(windows.save_updates(lifecycle.lifecycle_stream(stream, timeout_seconds=3600), out, checkpoint))
+    return windows.latest_updates(t.spark, out, ["run_id", "job_name"])
 
 
 @query("T7", "SELECT event_id, user_id, event_type, user_name, user_email FROM events LEFT JOIN users USING (user_id)")
@@ -106,20 +95,13 @@ def stream_enrichment(t):
     return t.spark.read.parquet(out).select("event_id", "user_id", "event_type", "user_name", "user_email")
 
 
-@query(
-    "T9",
-    """SELECT place, event_type, count(*) AS events FROM events CROSS JOIN (VALUES ('lake'), ('mirror')) AS p(place) GROUP BY place, event_type""",
-)
+@query("T9", "SELECT events.*, place FROM events CROSS JOIN (VALUES ('lake'), ('mirror')) AS p(place)")
 def stream_fan_out(t):
     out, checkpoint = folders(t, "fan")
     places = {name: f"{out}/{name}" for name in ("lake", "mirror")}
     ingest.run_available(ingest.fan_out_stream(event_stream(t), places, checkpoint))
-    result = None
-    for name, path in places.items():
-        found = t.spark.read.parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
-        found = found.withColumn("place", F.lit(name))
-        result = found if result is None else result.unionByName(found)
-    return result
+    found = [t.spark.read.parquet(path).drop("batch_id").withColumn("place", F.lit(name)) for name, path in places.items()]
+    return found[0].unionByName(found[1])
 
 
 @query("T10", "SELECT event_id, event_type, value * 0.5 AS score FROM events")

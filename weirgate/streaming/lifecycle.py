@@ -3,52 +3,90 @@
 from __future__ import annotations
 
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from weirgate.functions.times import millis_between
 from weirgate.operators.lineage import END_STATUS
 
+RUN_STATE = "start bigint, end bigint, status string, due bigint"
+RUN_UPDATE = "run_id string, job_name string, start_us bigint, end_us bigint, status string"
+ENDS = {event: i for i, event in enumerate(END_STATUS)}
+ENDED_AS = {status: event for event, status in END_STATUS.items()}
+
+
+class RunProcessor(StatefulProcessor):
+    """One run: its earliest start, its latest end, and an event-time timer (``due``), in one value of state."""
+
+    def __init__(self, timeout_ms: int, keep_ms: int):
+        self.timeout_ms, self.keep_ms = timeout_ms, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", RUN_STATE)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        start, end, status, due = before = tuple(self.run.get() or (None, None, None, None))
+        kind = ENDED_AS.get(status)
+        for row in rows:
+            event, at = row["event_type"], row["event_us"]
+            if event == "START":
+                start = at if start is None else min(start, at)
+            elif end is None or (at, ENDS[event]) > (end, ENDS[kind]):
+                end, kind = at, event
+        if end is not None:
+            status, due = END_STATUS[kind], end // 1000 + self.keep_ms
+        elif status != "stale":
+            status, due = "running", start // 1000 + self.timeout_ms + 1
+        if (start, end, status, due) == before:
+            return
+        if due != before[3]:
+            if before[3] is not None:
+                self.handle.deleteTimer(before[3])
+            self.handle.registerTimer(due)
+        self.run.update((start, end, status, due))
+        yield Row(run_id=key[0], job_name=key[1], start_us=start, end_us=end, status=status)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        start, end, status, due = self.run.get()
+        if status != "running":  # kept long enough after its end, or after it went stale
+            self.run.clear()
+            return
+        self.handle.registerTimer(due + self.keep_ms)
+        self.run.update((start, end, "stale", due + self.keep_ms))
+        yield Row(run_id=key[0], job_name=key[1], start_us=start, end_us=end, status="stale")
+
+    def close(self) -> None:
+        pass
+
 
-def lifecycle_stream(events: DataFrame, timeout_seconds: int = 3600, delay: str = "10 minutes") -> DataFrame:
-    """Run rows from a stream of (run_id, event_type, event_time, job_name).
+def lifecycle_stream(events: DataFrame, timeout_seconds: int = 3600, delay: str = "10 minutes", keep_seconds: int = 86_400) -> DataFrame:
+    """Changes of runs from a stream of (run_id, event_type, event_time, job_name); the newest per run is its row.
 
-    Starts are joined with the ends that follow within the timeout. A run is emitted once both are known,
-    or as stale when the watermark passes its start by the timeout; the join's state goes then. Heartbeats
-    never reach the shuffle, and repeated events of a run are dropped before the join, so a run that
-    reports often costs no more than another.
+    The columns are those of :func:`weirgate.operators.lineage.run_lifecycle`. A run is emitted when it opens, when
+    it ends, and as stale when the watermark has passed its start by the timeout without an end. Its state goes
+    ``keep_seconds`` after its end, or after it went stale; an end that comes before that still closes a stale
+    run. The source is read once and its rows are kept in one state. Heartbeats never reach the shuffle, and
+    repeated events of a run change nothing. Events later than the watermark are dropped. Start it in update mode
+    in a session of :func:`weirgate.streaming.state.stateful_session`, for instance with ``save_updates``.
     """
     kind = events.schema["event_time"].dataType
-
-    def side(wanted: list[str], prefix: str) -> DataFrame:
-        return (
-            events.filter(F.col("event_type").isin(wanted))
-            .select(
-                F.col("run_id").alias(f"{prefix}_run"),
-                F.col("job_name").alias(f"{prefix}_job"),
-                F.col("event_type").alias(f"{prefix}_type"),
-                F.col("event_time").cast("timestamp").alias(f"{prefix}_at"),
-            )
-            .withWatermark(f"{prefix}_at", delay)
-            .dropDuplicatesWithinWatermark([f"{prefix}_run"])
-        )
-
-    starts, ends = side(["START"], "start"), side(list(END_STATUS), "end")
-    limit = F.expr(f"start_at + INTERVAL {timeout_seconds} SECONDS")
-    same_run = (F.col("start_run") == F.col("end_run")) & F.col("end_at").between(F.col("start_at"), limit)
-    status = F.lit("stale")
-    for event_type, name in END_STATUS.items():
-        status = F.when(F.col("end_type") == event_type, name).otherwise(status)
-    return starts.join(ends, same_run, "left_outer").select(
-        F.col("start_run").alias("run_id"),
-        F.col("start_job").alias("job_name"),
-        F.col("start_at").cast(kind).alias("start_time"),
-        F.col("end_at").cast(kind).alias("end_time"),
-        status.alias("status"),
+    steps = (
+        events.filter(F.col("event_type").isin("START", *END_STATUS))
+        .select("run_id", "job_name", "event_type", F.col("event_time").cast("timestamp").alias("event_time"))
+        .withWatermark("event_time", delay)
+        .withColumn("event_us", F.unix_micros("event_time"))
     )
+    processor = RunProcessor(timeout_seconds * 1000, keep_seconds * 1000)
+    changes = steps.groupBy("run_id", "job_name").transformWithState(processor, RUN_UPDATE, "update", "EventTime")
+    start, end = (F.timestamp_micros(c).cast(kind) for c in ("start_us", "end_us"))
+    timed = changes.select("run_id", "job_name", start.alias("start_time"), end.alias("end_time"), "status")
+    return timed.withColumn("duration_ms", millis_between(F.col("start_time"), F.col("end_time")))
 
 
 class HeartbeatListener(StreamingQueryListener):
