@@ -1,4 +1,6 @@
+import time
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -188,6 +190,43 @@ def test_heartbeats_never_fail_the_query(spark, folder):
     assert {b["event_type"] for b in beats} == {"RUNNING"}
 
 
+def test_beats_are_appended_as_rows_and_failures_tried_again(spark, folder, monkeypatch):
+    log = lifecycle.BeatLog(spark, f"{folder}/beats")
+    beat = {"event_type": "RUNNING", "event_time": START, "uptime_seconds": 1.5, "records_processed": 7}
+    log(beat | {"run_id": "a"})
+    log(beat | {"run_id": "b"})
+    log.close()
+    assert sorted(r.run_id for r in spark.read.parquet(f"{folder}/beats").collect()) == ["a", "b"]
+    blocked = lifecycle.BeatLog(spark, f"{folder}/file/beats")
+    Path(folder, "file").write_text("in the way")
+    blocked(beat | {"run_id": "c"})
+    time.sleep(3)
+    Path(folder, "file").unlink()
+    blocked.close()
+    assert [r.run_id for r in spark.read.parquet(f"{folder}/file/beats").collect()] == ["c"]
+
+
+def test_missed_beats(spark, folder):
+    def beat(run, minutes):
+        return (run, START + timedelta(minutes=minutes))
+
+    def missed():
+        stream = ingest.file_stream(stateful_session(spark), f"{folder}/in", schema_of(spark, BEATS), max_files=1)
+        rows = lifecycle.missed_beats(stream, 60, allowed=3)
+        ingest.run_available(rows.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp"))
+        return sorted((r.run_id, (r.event_time - START).total_seconds() / 60) for r in spark.read.schema(rows.schema).parquet(f"{folder}/out").collect())
+
+    BEATS = "run_id string, event_time timestamp_ntz"
+    land(spark, folder, "in", [beat("a", 0), beat("a", 1), beat("a", 1), beat("a", 5), beat("b", 0), beat("b", 3)], BEATS)
+    assert missed() == [("a", 1)]
+    land(spark, folder, "in", [beat("a", 6), beat("c", 30)], BEATS)  # the watermark goes to minute 20
+    assert missed() == [("a", 1), ("a", 6), ("b", 3)]
+    land(spark, folder, "in", [beat("b", 40)], BEATS)  # b's miss was told already
+    assert missed() == [("a", 1), ("a", 6), ("b", 3)]
+    land(spark, folder, "in", [beat("d", 60)], BEATS)
+    assert missed() == [("a", 1), ("a", 6), ("b", 3), ("b", 40), ("c", 30)]
+
+
 def test_topic_stream_names_the_missing_module(spark):
     with pytest.raises(RuntimeError, match="spark-sql-kafka"):
         ingest.topic_stream(spark, "localhost:1", "t", schema_of(spark, EVENTS))

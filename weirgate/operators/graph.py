@@ -7,10 +7,11 @@ the frontier: a small one is broadcast against the edges, which are then scanned
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from weirgate.session import scratch_path, written
+from weirgate.session import scratch_path, verify_rows, written
+
 
 
 def _oriented(edges: DataFrame, direction: str) -> DataFrame:
@@ -26,11 +27,14 @@ class _Rounds:
     def __init__(self, spark: SparkSession, label: str, schema: str):
         self._spark, self._path, self._schema = spark, scratch_path(spark, label), schema
 
-    def add(self, df: DataFrame, number: int) -> int:
-        """Write the rows of a round; their number."""
-        seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{self._path}/round={number}")
-        return seen.get["rows"]
+    def add(self, df: DataFrame, number: int, *measures: Column) -> int | tuple:
+        """Write and verify the rows of a round; their number, and the measures of them that are asked for."""
+        seen, path = Observation(), f"{self._path}/round={number}"
+        named = [m.alias(f"m{i}") for i, m in enumerate(measures)]
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), *named).write.parquet(path)
+        found = seen.get
+        verify_rows(self.get(number), found["rows"], path)
+        return (found["rows"], *(found[f"m{i}"] for i in range(len(measures)))) if measures else found["rows"]
 
     def get(self, number: int) -> DataFrame:
         return self._spark.read.schema(self._schema).parquet(f"{self._path}/round={number}")
@@ -136,26 +140,33 @@ def transform_dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Level of each transform: 0 without dependencies, otherwise one above its highest dependency.
 
-    Each round counts the dependencies that the last level's transforms meet; a transform whose count is
-    full joins the next level. Those on or behind a cycle never fill up and are left out.
+    A table holds the transforms that wait, each with the number of its dependencies that no earlier level has met.
+    A level is one job: the transforms freed last count down those that need them, and those that reach zero are
+    freed next. The dependencies that are met are dropped from the other table whenever they are half of it, so
+    both tables shrink and all levels together read each dependency a few times. Transforms on or behind a cycle
+    never reach zero and are left out.
     """
     spark = nodes.sparkSession
     transforms = nodes.filter(F.col("type") == "transform").select(F.col("id").alias("transform")).distinct()
     needs = written(transform_dependencies(nodes, edges), "needs")
-    wanted = written(needs.groupBy("transform").agg(F.count(F.lit(1)).alias("wanted")), "wanted")
-    levels, hits = _Rounds(spark, "levels", "transform string"), _Rounds(spark, "hits", "transform string, met bigint")
-    level = 0
-    freed = levels.add(transforms.join(wanted, "transform", "left_anti"), level)
-    while freed:
-        done = levels.get(level).withColumnRenamed("transform", "depends_on")
+    wanted = needs.groupBy("transform").agg(F.count(F.lit(1)).alias("missing"))
+    rounds, level = _Rounds(spark, "levels", "transform string, missing bigint"), 0
+    waiting = transforms.join(wanted, "transform", "left").select("transform", F.coalesce("missing", F.lit(0)).alias("missing"))
+    rows, freed, unmet = rounds.add(waiting, level, F.count_if(F.col("missing") == 0), F.sum("missing"))
+    held, since = unmet, 0  # dependencies in ``needs``, and the level since which those met are still in it
+    while freed and freed < rows:
+        if 2 * unmet <= held:
+            met = rounds.all().filter((F.col("missing") == 0) & (F.col("round") >= since) & (F.col("round") < level))
+            needs = written(needs.join(met.select(F.col("transform").alias("depends_on")), "depends_on", "left_anti"), "needs")
+            held, since = unmet, level
+        state = rounds.get(level)
+        done = state.filter("missing = 0").select(F.col("transform").alias("depends_on"))
         met = needs.join(done, "depends_on").groupBy("transform").agg(F.count(F.lit(1)).alias("met"))
-        if not hits.add(met, level):
-            break
-        touched = hits.get(level).select("transform")
-        total = hits.all().join(touched, "transform", "left_semi").groupBy("transform").agg(F.sum("met").alias("met"))
+        left = state.filter("missing > 0").join(met, "transform", "left")
         level += 1
-        freed = levels.add(total.join(wanted, "transform").filter("met = wanted").select("transform"), level)
-    return levels.all().withColumnRenamed("round", "level")
+        rows, freed, unmet = rounds.add(left.select("transform", (F.col("missing") - F.coalesce("met", F.lit(0))).alias("missing")), level, F.count_if(F.col("missing") == 0), F.sum("missing"))
+        unmet = unmet or 0
+    return rounds.all().filter("missing = 0").select("transform", F.col("round").alias("level"))
 
 
 def transform_ports(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -114,19 +114,36 @@ def stream_scores(t):
 
 @query("T3", "SELECT 'RUNNING' AS event_type, count(*) AS records_processed FROM events")
 def stream_heartbeats(t):
-    beats = []
-    listener = lifecycle.HeartbeatListener(beats.append)
+    """The heartbeats of a query over all events, read back from where the listener's rows were appended."""
     out, checkpoint = folders(t, "beats")
+    log = lifecycle.BeatLog(t.spark, f"{out}-log")
+    listener = lifecycle.HeartbeatListener(log)
     t.spark.streams.addListener(listener)
     try:
-        stream = event_stream(t).select("event_id", "event_type", "value")
-        query = ingest.run_available(ingest.fan_out_stream(stream, {"lake": out}, checkpoint))
+        query = ingest.run_available(ingest.fan_out_stream(event_stream(t), {"lake": out}, checkpoint))
         if not listener.wait_for_end(str(query.runId), seconds=300):
             raise RuntimeError("the stream's last heartbeat did not arrive")
     finally:
         t.spark.streams.removeListener(listener)
-    reported = t.spark.createDataFrame(
-        [(b["run_id"], b["event_type"], b["records_processed"]) for b in beats if b["run_id"] == str(query.runId)],
-        "run_id string, event_type string, records_processed bigint",
-    )
-    return reported.groupBy("event_type").agg(F.max("records_processed").alias("records_processed"))
+        log.close()
+    beats = t.spark.read.schema(lifecycle.BEAT).parquet(f"{out}-log").filter(F.col("run_id") == str(query.runId))
+    return beats.groupBy("event_type").agg(F.max("records_processed").alias("records_processed"))
+
+
+@query(
+    "T3 F7",
+    """WITH beats AS (SELECT DISTINCT run_id, event_time FROM heartbeats),
+            steps AS (SELECT *, lead(event_time) OVER (PARTITION BY run_id ORDER BY event_time) AS next_time FROM beats)
+       SELECT run_id, event_time, event_time + INTERVAL '2' HOUR AS missed_at FROM steps
+       WHERE coalesce(next_time, (SELECT max(event_time) - INTERVAL '10' MINUTE FROM beats)) > event_time + INTERVAL '2' HOUR""",
+)
+def stream_missed_beats(t):
+    """The stream stops half way through and goes on from its checkpoint."""
+    out, checkpoint = folders(t, "missed")
+    source = scratch_path(t.spark, "heartbeats")
+    beats, half = t.heartbeats, F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    for later in (False, True):
+        beats.where((F.col("event_time") >= half) == F.lit(later)).write.mode("append").parquet(source)
+        missed = lifecycle.missed_beats(ingest.file_stream(stateful_session(t.spark), source, beats.schema), 3600)
+        ingest.run_available(missed.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint))
+    return t.spark.read.schema(missed.schema).parquet(out)

@@ -6,7 +6,8 @@ import threading
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Row
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -14,6 +15,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from weirgate.functions.times import millis_between
 from weirgate.operators.lineage import END_STATUS
 
+REMEMBERED_ENDS = 1_000
 RUN_STATE = "start bigint, end bigint, status string, due bigint"
 RUN_UPDATE = "run_id string, job_name string, start_us bigint, end_us bigint, status string"
 ENDS = {event: i for i, event in enumerate(END_STATUS)}
@@ -89,6 +91,114 @@ def lifecycle_stream(events: DataFrame, timeout_seconds: int = 3600, delay: str
     return timed.withColumn("duration_ms", millis_between(F.col("start_time"), F.col("end_time")))
 
 
+BEAT = "run_id string, event_type string, event_time timestamp, uptime_seconds double, records_processed bigint"
+MISS = "run_id string, last_us bigint, missed_us bigint"
+
+
+class LivenessProcessor(StatefulProcessor):
+    """One run's newest heartbeat, with a timer for when the next one is late."""
+
+    def __init__(self, allowed_us: int):
+        self.allowed_us = allowed_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.beat = handle.getValueState("beat", "last bigint, due bigint")
+
+    def _missed(self, key, last: int) -> Row:
+        return Row(run_id=key[0], last_us=last, missed_us=last + self.allowed_us)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        last, due = self.beat.get() or (None, None)
+        before, told = due, last is not None and due is None  # without a timer the newest beat's miss is told
+        for at in sorted({r["event_us"] for r in rows}):
+            if last is not None and at <= last:
+                continue
+            if last is not None and at - last > self.allowed_us and not told:
+                yield self._missed(key, last)
+            last, told = at, False
+            due = (last + self.allowed_us) // 1000 + 1
+        if due != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(due)
+            self.beat.update((last, due))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        last, _ = self.beat.get()
+        self.beat.update((last, None))
+        yield self._missed(key, last)
+
+    def close(self) -> None:
+        pass
+
+
+def missed_beats(beats: DataFrame, interval_seconds: int, allowed: float = 2.0, delay: str = "10 minutes") -> DataFrame:
+    """A row (run_id, event_time, missed_at) for each heartbeat that no other follows within ``allowed`` intervals.
+
+    From a stream of (run_id, event_time). The newest beat of a run is reported by an event-time timer, once the
+    watermark has passed the time the next one was due, without waiting for another beat. Equal beats are one.
+    """
+    kind = beats.schema["event_time"].dataType
+    steps = (
+        beats.select("run_id", F.col("event_time").cast("timestamp").alias("event_time"))
+        .withWatermark("event_time", delay)
+        .withColumn("event_us", F.unix_micros("event_time"))
+    )
+    processor = LivenessProcessor(int(interval_seconds * allowed * 1_000_000))
+    missed = steps.groupBy("run_id").transformWithState(processor, MISS, "append", "EventTime")
+    return missed.select(
+        "run_id", F.timestamp_micros("last_us").cast(kind).alias("event_time"), F.timestamp_micros("missed_us").cast(kind).alias("missed_at")
+    )
+
+
+class BeatLog:
+    """Heartbeats appended to a folder as rows, by a thread of their own and in the batches that pile up meanwhile.
+
+    Pass it to a :class:`HeartbeatListener`. A batch that fails is kept and tried again with the next one; ``close``
+    writes what is left and raises what went wrong last, if anything is.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self._waiting: list[tuple] = []
+        self._error: Exception | None = None
+        self._closed = False
+        self._changed = threading.Condition()
+        self._thread = threading.Thread(target=inheritable_thread_target(spark)(self._run), daemon=True)
+        self._thread.start()
+
+    def __call__(self, beat: dict) -> None:
+        with self._changed:
+            self._waiting.append(tuple(beat[name] for name in ("run_id", "event_type", "event_time", "uptime_seconds", "records_processed")))
+            self._changed.notify()
+
+    def _run(self) -> None:
+        while True:
+            with self._changed:
+                self._changed.wait_for(lambda: self._waiting or self._closed)
+                batch, self._waiting = self._waiting, []
+                if not batch:
+                    return
+            try:
+                self.spark.createDataFrame(batch, BEAT).coalesce(1).write.mode("append").parquet(self.path)
+                self._error = None
+            except Exception as error:
+                with self._changed:
+                    self._error, self._waiting = error, batch + self._waiting
+                    if self._closed:
+                        return
+                    self._changed.wait(1.0)
+
+    def close(self) -> None:
+        with self._changed:
+            self._closed = True
+            self._changed.notify()
+        self._thread.join()
+        if self._error:
+            raise self._error
+
+
 class HeartbeatListener(StreamingQueryListener):
     """Reports a RUNNING event for every progress of a query, and nothing it does can fail the query.
 
@@ -99,7 +209,7 @@ class HeartbeatListener(StreamingQueryListener):
         self._emit = emit
         self._started: dict[str, datetime] = {}
         self._records: dict[str, int] = {}
-        self._ended: set[str] = set()
+        self._ended: dict[str, None] = {}  # in order, the oldest ones are forgotten
         self._changed = threading.Condition()
 
     def wait_for_end(self, run_id: str, seconds: float) -> bool:
@@ -134,5 +244,7 @@ class HeartbeatListener(StreamingQueryListener):
         self._started.pop(str(event.runId), None)
         self._records.pop(str(event.runId), None)
         with self._changed:
-            self._ended.add(str(event.runId))
+            self._ended[str(event.runId)] = None
+            while len(self._ended) > REMEMBERED_ENDS:
+                self._ended.pop(next(iter(self._ended)))
             self._changed.notify_all()
