@@ -31,6 +31,14 @@ def test_append_keeps_earlier_files(spark, folder, rows):
     assert rows(spark.read.parquet(path)) == [(0, "x"), (1, "x")]
 
 
+@pytest.mark.parametrize("kind", ["parquet", "json"])
+def test_a_repeated_run_appends_once(spark, folder, rows, kind):
+    for run, value in (("a", 1), ("b", 2), ("b", 2), ("a", 3)):
+        path = K.append_files(posts(spark, (value, "x"), (value, "y")), folder, "t", kind, run=run)
+    back = spark.read.schema("id int, name string, run string").format(kind).load(path)
+    assert rows(back) == [(2, "x", "b"), (2, "y", "b"), (3, "x", "a"), (3, "y", "a")]
+
+
 def test_single_file(spark, folder):
     path = K.write_single_file(posts(spark, *[(i, "x") for i in range(50)]).repartition(5), folder, "t")
     assert len(list(Path(path).glob("part-*"))) == 1

@@ -79,13 +79,10 @@ def has_signal(json_text: Column) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-def stage_indicators(resource_keys: DataFrame) -> DataFrame:
-    """Distinct database signals per release from rows of (resource, type, key)."""
-    return (
-        resource_keys.filter(signal(F.col("indicator_key")))
-        .select("cluster", "namespace", F.col("resource_name").alias("release_name"), "indicator_type", "indicator_key")
-        .distinct()
-    )
+def indicator_rows(resource_keys: DataFrame) -> DataFrame:
+    """Database signals per release from rows of (resource, type, key), repeated ones as they come."""
+    found = resource_keys.filter(signal(F.col("indicator_key")))
+    return found.select("cluster", "namespace", F.col("resource_name").alias("release_name"), "indicator_type", "indicator_key")
 
 
 def indicator_types(indicators: DataFrame) -> DataFrame:
@@ -105,8 +102,11 @@ def assessment(has_claim: Column, has_indicators: Column) -> Column:
     return F.when(has_claim, "managed").when(has_indicators, "unmanaged").otherwise("no-db")
 
 
-def adoption_report(releases: DataFrame, claims: DataFrame, indicators: DataFrame) -> DataFrame:
-    """One row per release. Claims and indicators are reduced to a row per release before the joins."""
+def adoption_report(releases: DataFrame, claims: DataFrame, indicators: DataFrame, updated_at: Column | None = None) -> DataFrame:
+    """One row per release, stamped with ``updated_at`` (now by default).
+
+    Claims and indicators, in which signals may repeat, are reduced to a row per release before the joins.
+    """
     claimed = _claims_by_release(claims).withColumn("has_dbclaim", F.lit(True))
     shown = indicator_types(indicators).withColumn("has_db_indicators", F.lit(True))
     return (
@@ -121,6 +121,7 @@ def adoption_report(releases: DataFrame, claims: DataFrame, indicators: DataFram
             "db_type",
         )
         .withColumn("assessment", assessment(F.col("has_dbclaim"), F.col("has_db_indicators")))
+        .withColumn("updated_at", F.current_timestamp() if updated_at is None else updated_at)
     )
 
 
@@ -130,7 +131,7 @@ def releases_with_claim(releases: DataFrame, claims: DataFrame) -> DataFrame:
 
 def releases_with_signals_only(releases: DataFrame, claims: DataFrame, indicators: DataFrame) -> DataFrame:
     unclaimed = releases.join(_claims_by_release(claims), list(RELEASE_KEYS), "left_anti")
-    return unclaimed.join(indicators.select(*RELEASE_KEYS).distinct(), list(RELEASE_KEYS), "left_semi")
+    return unclaimed.join(indicators.select(*RELEASE_KEYS), list(RELEASE_KEYS), "left_semi")
 
 
 def posture(report: DataFrame, every_combination: bool = False) -> DataFrame:

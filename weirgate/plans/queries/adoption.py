@@ -24,7 +24,7 @@ REPORT = f"""{RELEASES}, {CLAIMS}, {INDICATORS},
 
 
 def staged(t):
-    return D.stage_releases(t.helm_releases), D.stage_claims(t.database_claims), D.stage_indicators(t.resource_keys)
+    return D.stage_releases(t.helm_releases), D.stage_claims(t.database_claims), D.indicator_rows(t.resource_keys)
 
 
 @query("F4", f"WITH {RELEASES} SELECT cluster, namespace, release_name, chart_name, status, collected_at FROM rel")
@@ -80,12 +80,12 @@ def document_signals(t):
     f"WITH {INDICATORS} SELECT cluster, namespace, release_name, string_agg(DISTINCT indicator_type, ',' ORDER BY indicator_type) AS indicator_types FROM ind GROUP BY 1, 2, 3",
 )
 def indicator_types(t):
-    return D.indicator_types(D.stage_indicators(t.resource_keys))
+    return D.indicator_types(D.indicator_rows(t.resource_keys))
 
 
-@query("J2 P15", f"WITH {REPORT} SELECT * FROM report")
+@query("J2 P15", f"WITH {REPORT} SELECT *, TIMESTAMP '2024-02-01 00:00:00' AS updated_at FROM report")
 def adoption_report(t):
-    return D.adoption_report(*staged(t))
+    return D.adoption_report(*staged(t), updated_at=F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
 
 
 @query("J3", f"WITH {REPORT} SELECT cluster, namespace, release_name, chart_name FROM report WHERE has_dbclaim")

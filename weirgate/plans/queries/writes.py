@@ -180,12 +180,18 @@ def materialised_model(t):
 )
 def event_log(t):
     prefix, events = scratch_path(t.spark, "events"), t.lineage_events
-    errors = writers.append_events(
-        events,
-        [lambda df: writers.append_files(df, prefix, "log"), lambda df: writers.append_files(df, prefix, "copy", "json")],
-    )
-    assert not errors, errors
-    log, copy = t.spark.read.parquet(f"{prefix}/log"), t.spark.read.schema(events.schema).json(f"{prefix}/copy")
+    starts = events.filter("event_type = 'START'"), events.filter("event_type <> 'START'")
+    for run, rows in (("a", starts[0]), ("b", starts[1]), ("b", starts[1])):  # the second run is repeated
+        errors = writers.append_events(
+            rows,
+            [
+                lambda df, run=run: writers.append_files(df, prefix, "log", run=run),
+                lambda df, run=run: writers.append_files(df, prefix, "copy", "json", run=run),
+            ],
+        )
+        assert not errors, errors
+    reader = t.spark.read.schema(events.schema)
+    log, copy = reader.parquet(f"{prefix}/log").drop("run"), reader.json(f"{prefix}/copy").drop("run")
     return log.withColumn("place", F.lit("log")).unionByName(copy.withColumn("place", F.lit("copy")))
 
 

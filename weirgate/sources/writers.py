@@ -52,16 +52,20 @@ def list_folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(jvm_path) if s.isDirectory())
 
 
-def append_files(df: DataFrame, prefix: str, table: str, file_format: str = "parquet") -> str:
-    """Append new files below ``prefix/table``; every table has its own format. Texts keep the microseconds of times."""
+def append_files(df: DataFrame, prefix: str, table: str, file_format: str = "parquet", run: str | None = None) -> str:
+    """Append new files below ``prefix/table``; every table has its own format. Texts keep the microseconds of times.
+
+    With ``run`` the files go to a folder of that run, in place of what an earlier attempt of it has left there: a
+    run that is repeated after a failure appends its rows once. Readers find the run in a column of that name.
+    """
     path = f"{prefix.rstrip('/')}/{table}"
-    writer = df.write.mode("append").format(file_format)
+    writer = df.write.mode("overwrite" if run else "append").format(file_format)
     if file_format in ("json", "csv"):
         exact = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
         writer = writer.option("timestampNTZFormat", exact).option("timestampFormat", f"{exact}[XXX]")
     if file_format == "csv":
         writer = writer.option("header", True).option("escape", '"')
-    writer.save(path)
+    writer.save(f"{path}/run={run}" if run else path)
     return path
 
 

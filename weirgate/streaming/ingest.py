@@ -103,15 +103,18 @@ def on_change(
 
 
 def fan_out_stream(stream: DataFrame, paths: Mapping[str, str], checkpoint: str):
-    """Write each batch to several folders, one subfolder per batch, replaced when a batch is retried."""
+    """Write each batch to several folders, one subfolder per batch, replaced when a batch is retried.
+
+    The batch is computed once, for the first folder; the others are copied from the files there, so nothing is
+    held in the memory of executors.
+    """
+    first, *others = paths.values()
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            for path in paths.values():
-                batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        finally:
-            batch.unpersist()
+        batch.write.mode("overwrite").parquet(f"{first}/batch_id={batch_id}")
+        for path in others:
+            done = batch.sparkSession.read.schema(batch.schema).parquet(f"{first}/batch_id={batch_id}")
+            done.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
