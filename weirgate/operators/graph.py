@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from weirgate.session import scratch_path, verify_rows, written
 
 
+#: Steps of one job of a search.
+HOPS = 3
+
 
 def _oriented(edges: DataFrame, direction: str) -> DataFrame:
     if direction not in ("up", "down"):
@@ -47,18 +50,27 @@ class _Rounds:
 def reach(edges: DataFrame, seeds: DataFrame, direction: str, max_depth: int | None = None) -> DataFrame:
     """Nodes reachable from any seed with their smallest distance in ``depth``; seeds have depth 0.
 
-    Cycles end by themselves: a node is followed only in the round that first finds it. ``seeds`` has one
-    column, ``node``. A round's join is on the node, so a hub's edges are split by AQE, and the distinct
-    combines before its shuffle.
+    Cycles end by themselves: a node is followed only from the round that first finds it. ``seeds`` has one
+    column, ``node``. A round is one job that goes ``HOPS`` steps ahead, so the nodes known already are read
+    once for as many steps. A step's join is on the node, so a hub's edges are split by AQE, and the smallest
+    depth of a node combines before its shuffle.
     """
     hops = written(_oriented(edges, direction), "hops")
-    rounds, depth = _Rounds(edges.sparkSession, "reach", "node string"), 0
-    found = rounds.add(seeds.select("node").distinct(), depth)
+    rounds, number, depth = _Rounds(edges.sparkSession, "reach", "node string, depth int"), 0, 0
+    found = rounds.add(seeds.select("node", F.lit(0).alias("depth")).distinct(), number)
     while found and (max_depth is None or depth < max_depth):
-        ahead = hops.join(rounds.get(depth), "node").select(F.col("next").alias("node")).distinct()
-        depth += 1
-        found = rounds.add(ahead.join(rounds.all(), "node", "left_anti"), depth)
-    return rounds.all().withColumnRenamed("round", "depth")
+        ahead = rounds.get(number).filter(F.col("depth") == depth).select("node")
+        steps = HOPS if max_depth is None else min(HOPS, max_depth - depth)
+        reached = None
+        for step in range(1, steps + 1):
+            ahead = hops.join(ahead, "node").select(F.col("next").alias("node")).distinct()
+            there = ahead.withColumn("depth", F.lit(depth + step))
+            reached = there if reached is None else reached.unionByName(there)
+        nearest = reached.groupBy("node").agg(F.min("depth").alias("depth"))
+        depth, number = depth + steps, number + 1
+        new = nearest.join(rounds.all().select("node"), "node", "left_anti")
+        _, found = rounds.add(new, number, F.count_if(F.col("depth") == depth))
+    return rounds.all().select("node", "depth")
 
 
 def upstream_nodes(edges: DataFrame, nodes: DataFrame, destination: str) -> DataFrame:
