@@ -118,7 +118,9 @@ class VersionedTable:
         if not re.fullmatch(r"[A-Za-z0-9_-]+", run):
             raise ValueError("a run id has letters, digits, - and _ only")
         path, seen = self._data(run), Observation()
-        writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
+        # small partitions go to one task together, one that holds most rows to many
+        dealt = df.hint("rebalance", self.partition_by) if self.partition_by else df
+        writer = dealt.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
         (writer.partitionBy(self.partition_by) if self.partition_by else writer).parquet(path)
         rows = seen.get["rows"]
         schema = T.StructType([f for f in df.schema if f.name != self.partition_by] + [f for f in df.schema if f.name == self.partition_by])
@@ -232,12 +234,14 @@ class VersionedTable:
         self.spark.sql(f"CREATE OR REPLACE VIEW {self.name} TBLPROPERTIES ({listed}) AS SELECT {names} FROM {table}")
         self._listed[number] = list(parts)
         self.after("view")
-        self.expire()
+        self._expire(number)
         return number
 
     def expire(self) -> None:
         """Drop versions beyond the newest ``keep``, and folders that none of the kept ones points to."""
-        current = self.version()
+        self._expire(self.version())
+
+    def _expire(self, current: int) -> None:
         kept = range(max(1, current - self.keep + 1), current + 1)
         used = {p.folder.split("://")[-1].removeprefix("file:") for n in kept for p in self.parts(n)}
         used = {"/" + f.lstrip("/") for f in used}
