@@ -1,4 +1,5 @@
 import json
+from datetime import date
 from pathlib import Path
 
 import pytest
@@ -7,10 +8,13 @@ from weirgate.contracts import Contract
 from weirgate.sources import readers as S
 from weirgate.sources.custom import read_resolved
 
-TABLE = Contract.from_dict(
+LEVELS = Contract.from_dict(
     {
-        "name": "gauge_posts", "format": "csv",
-        "schema": [{"name": "id", "type": "integer"}, {"name": "name"}, {"name": "created_at", "type": "timestamp"}],
+        "name": "river_levels", "format": "csv",
+        "schema": [
+            {"name": "river"}, {"name": "level_m", "type": "number"}, {"name": "read_on", "type": "date"},
+            {"name": "flooded", "type": "boolean"}, {"name": "sensor", "type": "bigint"},
+        ],
     }
 )
 
@@ -22,46 +26,54 @@ def write(folder, name, text):
 
 
 def test_csv(spark, folder, rows):
-    path = write(folder, "t.csv", 'name,id\n"Pont d\'Arc",1\n"say ""hi"", ok",2\n,3\n')
-    assert rows(S.read_csv(spark, path, TABLE).select("id", "name")) == [(1, "Pont d'Arc"), (2, 'say "hi", ok'), (3, None)]
+    text = "sensor,flooded,river,read_on,level_m\n9007199254740993,true,\"Inn, \"\"upper\"\"\",2024-02-29,-0.35\n,,,,\n12,FALSE,  Würm,not a day,1e2\n"
+    found = rows(S.read_csv(spark, write(folder, "levels.csv", text), LEVELS))
+    assert found == sorted(
+        [('Inn, "upper"', -0.35, date(2024, 2, 29), True, 9007199254740993), (None,) * 5, ("  Würm", 100.0, None, False, 12)], key=repr
+    )
 
 
-def test_ragged_csv_fails(spark, folder):
-    path = write(folder, "t.csv", "id,name\n1,a\n2\n")
-    with pytest.raises(Exception):
-        S.read_csv(spark, path, Contract("x")).collect()
-    only_id = Contract.from_dict({"name": "x", "schema": [{"name": "id", "type": "integer"}]})
-    with pytest.raises(Exception):
-        S.read_csv(spark, path, only_id).collect()
-    with pytest.raises(Exception):
-        S.read_csv(spark, path, only_id).count()
+@pytest.mark.parametrize("declared", [(), ("level_m",)])
+def test_a_row_with_too_few_values_fails(spark, folder, declared):
+    contract = Contract.from_dict({"name": "short", "schema": [{"name": n, "type": "number"} for n in declared]})
+    df = S.read_csv(spark, write(folder, "short.csv", "level_m,river,sensor\n0.5,Isar,3\n0.75,Isar\n0.25,Inn,4\n"), contract)
+    for action in (df.collect, df.count):
+        with pytest.raises(Exception):
+            action()
 
 
-def test_empty_csv_fails(spark, folder):
+def test_a_csv_file_needs_a_header(spark, folder):
     with pytest.raises(Exception):
-        S.read_csv(spark, write(folder, "t.csv", ""), TABLE).collect()
+        S.read_csv(spark, write(folder, "nothing.csv", ""), LEVELS).collect()
+    assert S.read_csv(spark, write(folder, "header.csv", "river,level_m\n"), LEVELS).count() == 0
 
 
 def test_csv_values_are_text_without_a_contract(spark, folder):
-    df = S.read_csv(spark, write(folder, "t.csv", "id,name\n01,a\n"), Contract("x"))
-    assert dict(df.dtypes) == {"id": "string", "name": "string"} and df.first()["id"] == "01"
+    df = S.read_csv(spark, write(folder, "raw.csv", "sensor,read_on,flooded\n007,2024-01-31,true\n"), Contract("raw"))
+    assert {kind for _, kind in df.dtypes} == {"string"} and df.first().asDict() == {"sensor": "007", "read_on": "2024-01-31", "flooded": "true"}
 
 
 def test_json_array(spark, folder, rows):
-    path = write(folder, "t.json", json.dumps([{"id": 1, "name": "mill race"}, {"name": "lower sluice", "other": 2}], indent=1))
-    assert rows(S.read_seed_file(spark, path, TABLE).select("id", "name")) == [(1, "mill race"), (None, "lower sluice")]
+    items = [
+        {"river": "Isar", "level_m": 2, "flooded": None, "extra": [1, 2]}, {"sensor": 2**53 + 1, "read_on": "2023-12-31"}, {},
+        {"river": "ü\"\\", "level_m": 0.1, "flooded": False},
+    ]
+    found = rows(S.read_seed_file(spark, write(folder, "levels.json", json.dumps(items, indent=2)), LEVELS))
+    assert found == sorted(
+        [("Isar", 2.0, None, None, None), (None, None, date(2023, 12, 31), None, 2**53 + 1), (None,) * 5, ('ü"\\', 0.1, None, False, None)], key=repr
+    )
 
 
 def test_unknown_seed_extension(spark):
     with pytest.raises(ValueError):
-        S.read_seed_file(spark, "rows.yaml", TABLE)
+        S.read_seed_file(spark, "levels.yaml", LEVELS)
 
 
-def test_inline_rows(spark):
-    given = [{"id": 1, "name": "mill race", "created_at": "2024-01-01T00:00:00Z"}, {"id": -1, "name": ""}]
-    got = S.inline_rows(spark, given, TABLE).orderBy("id").collect()
-    assert (got[0].id, got[0].name, got[0].created_at) == (-1, "", None)
-    assert got[1].name == "mill race" and got[1].created_at is not None
+def test_inline_rows(spark, rows):
+    given = [{"river": "Isar", "read_on": "2024-02-29", "level_m": 1}, {}, {"sensor": 5, "flooded": True, "unknown": "left out"}]
+    assert rows(S.inline_rows(spark, given, LEVELS)) == sorted(
+        [("Isar", 1.0, date(2024, 2, 29), None, None), (None,) * 5, (None, None, None, True, 5)], key=repr
+    )
 
 
 def test_missing_modules_are_named(spark, folder):
@@ -74,8 +86,10 @@ def test_missing_modules_are_named(spark, folder):
 
 
 def test_message_decoding(spark, rows):
-    df = spark.createDataFrame([(b'{"id": 1, "name": "a"}',), (b"nonsense",)], "value binary")
-    assert rows(S.decode_json(df, TABLE.schema).select("id", "name")) == [(1, "a"), (None, None)]
+    messages = [b'{"sensor": 4, "level_m": -1.5, "read_on": "2024-03-31"}', b"[1, 2", None, b'{"flooded": true, "sensor": null}']
+    df = spark.createDataFrame([(m,) for m in messages], "value binary")
+    found = rows(S.decode_json(df, LEVELS.schema).select("sensor", "level_m", "read_on", "flooded"))
+    assert found == sorted([(4, -1.5, date(2024, 3, 31), None), (None,) * 4, (None,) * 4, (None, None, None, True)], key=repr)
     assert S.kafka_options("h:1", "t")["startingOffsets"] == "earliest"
 
 

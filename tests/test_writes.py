@@ -12,7 +12,9 @@ from weirgate.sources import keyed
 from weirgate.sources import refresh as D
 from weirgate.sources import writers as K
 
-TABLE = Contract.from_dict({"name": "gauge_posts", "schema": [{"name": "id", "type": "integer"}, {"name": "name"}]})
+SLUICES = Contract.from_dict(
+    {"name": "sluices", "schema": [{"name": "river"}, {"name": "gates", "type": "bigint"}, {"name": "width_m", "type": "number"}, {"name": "built", "type": "date"}]}
+)
 
 
 def posts(spark, *pairs):
@@ -21,8 +23,9 @@ def posts(spark, *pairs):
 
 def test_create_if_absent(spark, folder):
     path = f"{folder}/t"
-    assert K.create_if_absent(spark, path, TABLE) and not K.create_if_absent(spark, path, TABLE)
-    assert spark.read.parquet(path).count() == 0 and spark.read.parquet(path).columns == ["id", "name"]
+    assert K.create_if_absent(spark, path, SLUICES) and not K.create_if_absent(spark, path, SLUICES)
+    found = spark.read.parquet(path)
+    assert found.count() == 0 and found.dtypes == [("river", "string"), ("gates", "bigint"), ("width_m", "double"), ("built", "date")]
 
 
 def test_append_keeps_earlier_files(spark, folder, rows):
@@ -220,39 +223,46 @@ def test_verify(spark):
     assert {r.k: r.matches for r in P.verify(left, right, ["k"]).collect()} == {"a": True, "b": False, "c": False}
 
 
+def sluices(spark, *rows):
+    return spark.createDataFrame(list(rows), SLUICES.schema)
+
+
 def test_refresh_only_on_change(spark, folder, rows):
-    path, meta = f"{folder}/t", f"{folder}/meta"
-    default, edge = posts(spark, (1, "mill race"), (2, "lower sluice")), posts(spark, (-1, ""), (1, "Pont d'Arc"))
+    path, meta = f"{folder}/sluices", f"{folder}/meta"
+    spring = sluices(spark, ("Isar", 4, 12.5, date(1921, 6, 1)), ("Inn", 9, None, None), ("Isar", 4, 12.5, date(1921, 6, 1)), (None, 0, -0.0, None))
+    flood = sluices(spark, ("Würm", 2, 3.25, date(2001, 1, 31)))
 
     def load(df, **kw):
-        r = D.refresh(spark, TABLE, df, path, meta, **kw)
+        r = D.refresh(spark, SLUICES, df, path, meta, **kw)
         return r.seeded, r.rows, r.skipped
 
-    assert load(default) == (1, 2, 0)
-    assert load(default.repartition(3)) == (0, 0, 1)
-    assert load(default, force=True) == (1, 2, 0)
-    assert load(edge, profile="edge-cases") == (1, 2, 0)
-    assert rows(spark.read.parquet(path)) == [(-1, ""), (1, "Pont d'Arc")]
-    assert load(default) == (1, 2, 0)
-    assert rows(spark.read.parquet(path)) == [(1, "mill race"), (2, "lower sluice")]
-    assert load(None, profile="empty") == (0, 0, 0)
-    assert spark.read.parquet(path).count() == 2
-    assert load(None, profile="empty", clean=True) == (1, 0, 0)
-    assert spark.read.parquet(path).count() == 0
-    assert spark.read.parquet(meta).filter("loaded").count() == 1
+    assert load(spring) == (1, 4, 0) and load(spring.orderBy("gates").repartition(5)) == (0, 0, 1)
+    assert load(spring.dropDuplicates()) == (1, 3, 0)  # a copy less is a change
+    assert load(spring.dropDuplicates(), force=True) == (1, 3, 0)
+    assert load(flood, profile="flood") == (1, 1, 0) and rows(spark.read.parquet(path)) == rows(flood)
+    assert load(flood, profile="flood") == (0, 0, 1)
+    assert load(spring.dropDuplicates()) == (1, 3, 0)  # back from the other profile
+    assert load(None, profile="dry") == (0, 0, 0) and load(flood.limit(0), profile="dry") == (0, 0, 0)
+    assert spark.read.parquet(path).count() == 3
+    assert load(None, profile="dry", clean=True) == (1, 0, 0) and spark.read.parquet(path).count() == 0
+    assert [r["profile"] for r in spark.read.parquet(meta).filter("loaded").collect()] == ["dry"]
 
 
 def test_seed_profiles(spark, folder):
-    csv = Path(folder) / "large.csv"
-    csv.write_text("id,name\n" + "".join(f"{i},gate {i}\n" for i in range(20)))
-    seed = D.Seed(inline=({"id": 1, "name": "mill race"},), file="ignored.csv", profiles={
-        "large": D.Seed(file=str(csv)), "empty": D.Seed(),
-    })
-    assert D.seed_rows(spark, TABLE, seed).count() == 1
-    assert D.seed_rows(spark, TABLE, seed, "large").count() == 20
-    assert D.seed_rows(spark, TABLE, seed, "empty") is None
-    with pytest.raises(KeyError, match="empty, large"):
-        D.seed_rows(spark, TABLE, seed, "huge")
+    csv, lines = Path(folder) / "many.csv", Path(folder) / "one.json"
+    csv.write_text("built,river\n" + "".join(f"19{i:02d}-05-01,river {i}\n" for i in range(37)))
+    lines.write_text('[{"river": "Lech", "gates": 11}]')
+    seed = D.Seed(
+        inline=({"river": "Isar", "gates": 4}, {"width_m": 0.5}), file="is not read",
+        profiles={"many": D.Seed(file=str(csv)), "one": D.Seed(file=str(lines)), "none": D.Seed()},
+    )
+    assert sorted(r.gates or 0 for r in D.seed_rows(spark, SLUICES, seed).collect()) == [0, 4]
+    many = D.seed_rows(spark, SLUICES, seed, "many")
+    assert many.count() == 37 and many.agg(F.max("built")).first()[0] == date(1936, 5, 1)
+    assert D.seed_rows(spark, SLUICES, seed, "one").first().asDict() == {"river": "Lech", "gates": 11, "width_m": None, "built": None}
+    assert D.seed_rows(spark, SLUICES, seed, "none") is None
+    with pytest.raises(KeyError, match="many, none, one"):
+        D.seed_rows(spark, SLUICES, seed, "twice")
 
 
 @pytest.mark.parametrize("policy,kept,archived", [("delete", [2], []), ("archive", [2], [1]), ("notify", [1, 2], [])])
