@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirgate.llm.common import stored
+from weirgate.llm.common import held, stored
 from weirgate.llm.tokencount import AFTER_LETTERS, safe_parts
 from weirgate.llm.words import BYTE_VALUE, SLICE_BYTES, HashIndex, Runs, run_hashes
 
@@ -386,13 +386,8 @@ class Pair:
 
 
 NOTHING = (b"", 0, 0, 0, np.zeros(0, np.int64), np.zeros(0, np.int64))
-_LOADED: dict[tuple[str, str], Pair] = {}
-
-
 def load(path_a: str, path_b: str) -> Pair:
-    if (path_a, path_b) not in _LOADED:
-        _LOADED[path_a, path_b] = Pair(path_a, path_b)
-    return _LOADED[path_a, path_b]
+    return held((Pair, path_a, path_b), lambda: Pair(path_a, path_b))
 
 
 # ---- tables ----

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -13,7 +14,11 @@ from pyspark.sql import functions as F
 
 from weirgate.session import scratch_path, verify_rows, written
 
-CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a job runs: its shuffle files go when it ends, and what goes to Python at once is bounded by bytes.
+JOB_CONF = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
 
 
 _SHIPPED: set[str] = set()
@@ -37,22 +42,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 @contextmanager
-def _shuffles_dropped(spark: SparkSession):
-    """Free a job's shuffle files when it ends; its rows are in the shared folder by then."""
-    before = spark.conf.get(CLEANUP_CONF, None)
-    spark.conf.set(CLEANUP_CONF, "true")
+def _job_settings(spark: SparkSession):
+    """``JOB_CONF`` for one job, whose rows are in the shared folder when it ends."""
+    before = {key: spark.conf.get(key, None) for key in JOB_CONF}
+    for key, value in JOB_CONF.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP_CONF)
-        else:
-            spark.conf.set(CLEANUP_CONF, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared scratch folder and read back, without leaving shuffle files behind."""
-    with _shuffles_dropped(df.sparkSession):
+    with _job_settings(df.sparkSession):
         return written(df, label)
 
 
@@ -65,7 +69,7 @@ class Newest:
     def keep(self, df: DataFrame) -> DataFrame:
         path = scratch_path(self.spark, self.label)
         seen = Observation()
-        with _shuffles_dropped(self.spark):
+        with _job_settings(self.spark):
             df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         verify_rows(back, seen.get["rows"], path)
@@ -81,6 +85,21 @@ class Newest:
             self.path = None
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make):
+    """What a Python worker keeps from task to task, made once; only one operator's at a time.
+
+    Workers go from one operator to the next, so what the one before it has kept is dropped first.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def label_split(doc_id: Column) -> Column:
     """0, 1 or 2 by the CRC-32 of the id as text; documents in part 1 are held out of every fit."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3

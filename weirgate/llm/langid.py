@@ -22,9 +22,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirgate.llm.common import stored
+from weirgate.llm.common import held, stored
 from weirgate.llm.words import mixed, run_hashes
 
+SLICE_ROWS = 64
 SAMPLE_DOCS = 500
 MAX_WORDS = 100_000
 MAX_GRAMS = 50_000
@@ -228,7 +229,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     ranked = None
     for row in counts:
         share = min(1.0, 2.0 * sample / row["count"])
-        part = labelled.where((F.col("label") == row["label"]) & (F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))))
+        low = F.pmod(F.xxhash64("k"), F.lit(1 << 62)) < F.lit(max(1, int(share * (1 << 62))))
+        part = labelled.where((F.col("label") == row["label"]) & low)
         part = part.orderBy(F.xxhash64("k"), "k").limit(sample)
         ranked = part if ranked is None else ranked.union(part)
     if ranked is None:
@@ -239,10 +241,16 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     return fit(texts)
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model | None = shared.value
-        for batch in batches:
+        model: Model | None = held((Model, shared), lambda: shared.value)
+        for batch in _sliced(batches):
             texts = pc.utf8_lower(batch.column(1).fill_null("")).to_pylist()
             n = len(texts)
             if model is None:
@@ -258,11 +266,11 @@ def _predict(shared):
             none = counts == 0
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    *batch.columns[:2],
                     pa.array([UNDETERMINED if none[i] else names[best[i]] for i in range(n)], pa.string()),
                     pa.array(np.where(none, 0.0, odds[np.arange(n), best]), pa.float64()),
                 ],
-                names=["row", "lang_pred", "score"],
+                names=["row", "text", "lang_pred", "score"],
             )
 
     return run
@@ -275,6 +283,10 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", carry: tu
     go to the language first by name. Columns other than the text are never looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*carry).alias("row"), F.col(text).cast("string").alias("text"))
+    # the text goes to Python and back once, also where it is carried
+    others = [c for c in carry if c != text]
+    rows = docs.select(F.struct(F.lit(0).alias("__none"), *others).alias("row"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_predict(shared), f"row {kind}, lang_pred string, score double").select("row.*", "lang_pred", "score")
+    found = rows.mapInArrow(_predict(shared), f"row {kind}, text string, lang_pred string, score double")
+    carried = [F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in carry]
+    return found.select(*carried, "lang_pred", "score")

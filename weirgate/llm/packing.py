@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirgate.llm.common import stored
+from weirgate.llm.common import held, stored
 from weirgate.llm.words import BYTE_VALUE, SLICE_BYTES, HashIndex, Runs, run_hashes
 from weirgate.llm.words import _buffers as buffers
 
@@ -408,13 +408,8 @@ def _slices(data: np.ndarray) -> Iterator[tuple[int, int]]:
         at = stop
 
 
-_LOADED: dict[str, WordIds] = {}
-
-
 def load(path: str) -> WordIds:
-    if path not in _LOADED:
-        _LOADED[path] = WordIds(path)
-    return _LOADED[path]
+    return held((WordIds, path), lambda: WordIds(path))
 
 
 def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:

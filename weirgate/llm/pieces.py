@@ -24,10 +24,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weirgate.llm.common import held
+
 SPACE = "▁"
 MAX_CHUNKS = 400_000
 MAX_PAIRS = 1_000_000
 LONG_CHUNK = 512
+SLICE_ROWS = 64
 REPLACEMENT = "�".encode()
 
 
@@ -282,14 +285,9 @@ def _runs(words: list[str]) -> Iterator[str]:
         yield marks
 
 
-_LOADED: dict[str, Pieces] = {}
-
-
 def load(path: str) -> Pieces:
     """The pieces of a model file, read once in each Python process."""
-    if path not in _LOADED:
-        _LOADED[path] = Pieces(path)
-    return _LOADED[path]
+    return held((Pieces, path), lambda: Pieces(path))
 
 
 def _encode(path: str, begin: bool, end: bool):
@@ -301,10 +299,7 @@ def _encode(path: str, begin: bool, end: bool):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 packed = [head + pieces.whole(t or "") + tail for t in part.column(1).to_pylist()]
-                flat = np.frombuffer(b"".join(packed), dtype="<u4").astype(np.int32)
-                offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed])))
-                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["row", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(packed)], names=["row", "ids"])
 
     return run
 
@@ -323,6 +318,48 @@ def _decode(path: str):
     return run
 
 
+def _lists(packed: list[bytes]) -> pa.ListArray:
+    """Ids as lists."""
+    flat = np.frombuffer(b"".join(packed), dtype="<u4").astype(np.int32)
+    offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed])))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+
+
+def _round_trip(path: str, begin: bool, end: bool, packed: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = load(path)
+        head = struct.pack("<I", pieces.begin) if begin else b""
+        tail = struct.pack("<I", pieces.end) if end else b""
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                found = [head + pieces.whole(t or "") + tail for t in part.column(1).to_pylist()]
+                decoded = pa.array([pieces.decoded(np.frombuffer(p, dtype="<u4")) for p in found], pa.binary())
+                ids = pa.array(found, pa.binary()) if packed else _lists(found)
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, decoded.cast(pa.string())], names=["row", "ids", "decoded"])
+
+    return run
+
+
+def round_trip(
+    docs: DataFrame,
+    path: str,
+    text: str = "text",
+    carry: tuple[str, ...] = ("doc_id",),
+    begin: bool = True,
+    end: bool = True,
+    packed: bool = False,
+) -> DataFrame:
+    """:func:`encode` and :func:`decode` in one pass: ``carry`` of each row with ``ids`` and ``decoded``.
+
+    With ``packed`` the ids are little-endian unsigned 32-bit integers side by side instead of a list.
+    """
+    rows = docs.select(F.struct(*carry).alias("row"), F.col(text).cast("string").alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+    form = f"row {kind}, ids {'binary' if packed else 'array<int>'}, decoded string"
+    return rows.mapInArrow(_round_trip(path, begin, end, packed), form).select("row.*", "ids", "decoded")
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", carry: tuple[str, ...] = ("doc_id",), begin: bool = True, end: bool = True) -> DataFrame:
     """``carry`` of each row with ``ids``, the piece ids of its whole text; a null text is empty."""
     rows = docs.select(F.struct(*carry).alias("row"), F.col(text).cast("string").alias("text"))

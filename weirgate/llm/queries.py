@@ -3,14 +3,10 @@
 from __future__ import annotations
 
 import functools
-import hashlib
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from weirgate.llm.common import label_split, ship_code, table
 
@@ -18,12 +14,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-@F.pandas_udf(StringType())
-def little_endian_sha256(ids: pd.Series) -> pd.Series:
-    """SHA-256 of ids as little-endian unsigned 32-bit integers, in lowercase hex."""
-    return ids.map(lambda x: hashlib.sha256(np.asarray(x, dtype="<u4").tobytes()).hexdigest())
-
-
 def query(sql: str | None = None):
     def register(function):
         @functools.wraps(function)
@@ -94,15 +84,15 @@ def op5_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
-    from weirgate.llm.pieces import decode, encode
+    from weirgate.llm.pieces import round_trip
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    ids = encode(table(spark, folder, "documents"), path)
-    hashed = ids.select(
-        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), little_endian_sha256("ids").alias("ids_sha256")
+    both = round_trip(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), packed=True)
+    return both.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
-    decoded = decode(hashed, path, carry=("doc_id", "n_tokens", "ids_sha256"))
-    return decoded.withColumn("decoded_sha256", F.sha2(F.col("decoded").cast("binary"), 256)).drop("decoded")
 
 
 @query()

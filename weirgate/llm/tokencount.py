@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weirgate.llm.common import held
+
 BATCH_BYTES = 1 << 15
 MAX_PARTS = 400_000
 LONG_PART = 256
@@ -96,13 +98,8 @@ def _library(path: str) -> tuple[Callable[[list[str]], list[int]], bool]:
     return lambda texts: [len(x.ids) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], safe
 
 
-_LOADED: dict[str, Counter] = {}
-
-
 def load(path: str) -> Counter:
-    if path not in _LOADED:
-        _LOADED[path] = Counter(path)
-    return _LOADED[path]
+    return held((Counter, path), lambda: Counter(path))
 
 
 def _count(path: str):
