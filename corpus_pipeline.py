@@ -17,12 +17,15 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: drops texts of no determined language (null, or without a letter).
 
-    The model is fitted on the labelled documents of this stage's input, without the held-out part.
+    The model is fitted on the labelled documents of this stage's input, without the held-out part. Where there are
+    none, only texts without a letter go.
     """
     from weirgate.llm.langid import UNDETERMINED, identify, train
 
     ship_code(spark)
     model = train(docs.where(label_split(F.col("doc_id")) != 1))
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     known = identify(docs, model, carry=COLUMNS).where(F.col("lang_pred") != UNDETERMINED)
     return known.select(*COLUMNS)
 
@@ -72,14 +75,13 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     import public_tokenizers
 
-    from weirgate.llm.pieces import decode, encode
+    from weirgate.llm.pieces import round_trip
 
     ship_code(spark)
     path = public_tokenizers.path("piece_bpe_32k.model")
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest")
     named = docs.select("doc_id", "lang", "source", "text", digest)
-    ids = encode(named, path, carry=("doc_id", "lang", "source", "digest"))
-    both = decode(ids, path, carry=("doc_id", "lang", "source", "ids", "digest"))
+    both = round_trip(named, path, carry=("doc_id", "lang", "source", "digest"))
     same = F.sha2(F.col("decoded").cast("binary"), 256) == F.col("digest")
     return both.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("same_text"))
 
