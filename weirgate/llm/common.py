@@ -7,12 +7,13 @@ import gc
 import os
 import shutil
 import tempfile
+import threading
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from weirgate.session import scratch_path, verify_rows, written
+from weirgate.session import scratch_path, verify_rows
 
 #: While a job runs: its shuffle files go when it ends, and what goes to Python at once is bounded by bytes.
 JOB_CONF = {
@@ -54,10 +55,52 @@ def _job_settings(spark: SparkSession):
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+def _written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` written to a new folder of the shared scratch folder and read back, and that folder."""
+    spark, seen = df.sparkSession, Observation()
+    path = scratch_path(spark, label)
+    with _job_settings(spark):
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    verify_rows(back, seen.get["rows"], path)
+    return back, path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class _Scopes(threading.local):
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_SCOPES = _Scopes()
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared scratch folder and read back, without leaving shuffle files behind."""
-    with _job_settings(df.sparkSession):
-        return written(df, label)
+    back, path = _written(df, label)
+    if _SCOPES.open:
+        _SCOPES.open[-1].append(path)
+    return back
+
+
+@contextmanager
+def passing_tables(spark: SparkSession):
+    """Within it, tables that are ``stored`` are deleted at the end; those stored by what it yields stay.
+
+    For an operator that returns rows of a few of its tables: nothing it returns may read the others.
+    """
+    paths: list[str] = []
+    _SCOPES.open.append(paths)
+    try:
+        yield lambda df, label: _written(df, label)[0]
+    finally:
+        _SCOPES.open.pop()
+        for path in paths:
+            _delete(spark, path)
 
 
 class Newest:
@@ -67,12 +110,7 @@ class Newest:
         self.spark, self.label, self.path = spark, label, None
 
     def keep(self, df: DataFrame) -> DataFrame:
-        path = scratch_path(self.spark, self.label)
-        seen = Observation()
-        with _job_settings(self.spark):
-            df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(path)
-        back = self.spark.read.schema(df.schema).parquet(path)
-        verify_rows(back, seen.get["rows"], path)
+        back, path = _written(df, self.label)
         self.drop()
         self.path = path
         return back
@@ -80,8 +118,7 @@ class Newest:
     def drop(self) -> None:
         """Delete the newest table as well, once nothing reads it any more."""
         if self.path:
-            target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-            target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(self.spark, self.path)
             self.path = None
 
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirgate.llm.common import components, stored
+from weirgate.llm.common import components, passing_tables, stored
 from weirgate.llm.words import Words, chosen_runs, mixed, run_hashes, signed, word_slices
 
 SHINGLE = 5
@@ -230,6 +230,17 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent is from 50 to 100")
+    with passing_tables(docs.sparkSession) as keep:
+        profiles, final = _classes(docs, key, text, size, percent)
+        ids = keep(profiles.select("id", "n", F.when(F.col("n") > 0, F.col("s")).alias("s")), "ids")
+        final = keep(final, "final")
+    return ids.join(final, "s", "left").select(
+        F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", F.col("id")).alias("component_id")
+    )
+
+
+def _classes(docs: DataFrame, key: str, text: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Profiles of all rows, with their set ``s``, and the component (s, component_id) of each set."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     counted = rows.where("text is not null").select("text").mapInArrow(_count(size), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n"))
@@ -297,9 +308,4 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     )
     named = last.join(sets, "s")
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    final = stored(last.join(stored(least, "least"), "root").select("s", "component_id"), "final")
-    return (
-        profiles.select("id", "n", F.when(F.col("n") > 0, F.col("s")).alias("s"))
-        .join(final, "s", "left")
-        .select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", F.col("id")).alias("component_id"))
-    )
+    return profiles, last.join(stored(least, "least"), "root").select("s", "component_id")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirgate.llm.common import stored
+from weirgate.llm.common import passing_tables, stored
 from weirgate.llm.words import Words, chosen_runs, run_of, signed, word_slices
 
 WINDOW = 50
@@ -174,6 +174,21 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     """
     if size < 2:
         raise ValueError("a window has two words at least")
+    with passing_tables(docs.sparkSession) as keep:
+        plan = keep(_plan(docs, key, text, size), "cuts")
+    held = F.struct(F.col(key), *carry).alias("row")
+    whole = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"), held)
+    kind = whole.schema["row"].dataType.simpleString()
+    return (
+        whole.join(plan, "id", "left")
+        .select("row", "text", "removed", "copies")
+        .mapInArrow(_cut(size), f"row {kind}, n_words long, n_removed long, kept string")
+        .select("row.*", "n_words", "n_removed", "kept")
+    )
+
+
+def _plan(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """The windows that go from each document (``removed``), and the texts of it that are copies of another's."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     profiles = stored(
         rows.where("id is not null and text is not null").mapInArrow(_profile(size), "id long, n_words long, same binary, anchors array<long>"), "anchors"
@@ -189,15 +204,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     )
     least = stored(found.groupBy("w").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("w", "least"), "least")
     removed = found.join(least, "w").where("id > least").groupBy("id").agg(F.collect_set("w").alias("removed"))
-    plan = stored(
-        copies.groupBy("id").agg(F.collect_set("same").alias("copies")).join(removed, "id", "full").select("id", "removed", "copies"), "cuts"
-    )
-    held = F.struct(F.col(key), *carry).alias("row")
-    whole = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"), held)
-    kind = whole.schema["row"].dataType.simpleString()
-    return (
-        whole.join(plan, "id", "left")
-        .select("row", "text", "removed", "copies")
-        .mapInArrow(_cut(size), f"row {kind}, n_words long, n_removed long, kept string")
-        .select("row.*", "n_words", "n_removed", "kept")
-    )
+    return copies.groupBy("id").agg(F.collect_set("same").alias("copies")).join(removed, "id", "full").select("id", "removed", "copies")
