@@ -166,23 +166,25 @@ def catalog_upsert(t):
 EVENT_COLUMNS = {"event_id": "bigint", "ts": "timestamp", "user_id": "bigint", "event_type": "string", "value": "float", "props": "string"}
 
 
+def field_sql(name, kind):
+    return f"""SELECT '{name}' AS field, '{kind}' AS field_type, {name == 'user_id'} AS pii,
+                      count(*) FILTER (WHERE {name} IS NULL) / CAST(count(*) AS DOUBLE) AS null_rate FROM events"""
+
+
 @query(
     "L12",
     f"""SELECT 'analytics/events' AS id, 'dataset' AS type, 'analytics' AS namespace, 'events' AS name, 'core@example.com' AS owner,
-              'internal' AS classification, 'parquet' AS format, count(*) AS row_count, max(ts) AS freshness,
-              [{", ".join(f"'{n}:{kind}:{str(n == 'user_id').lower()}'" for n, kind in EVENT_COLUMNS.items())}] AS fields,
-              [{", ".join(f"count(*) FILTER (WHERE {n} IS NULL) / CAST(count(*) AS DOUBLE)" for n in EVENT_COLUMNS)}] AS null_rates
-       FROM events""",
+              'internal' AS classification, 'parquet' AS format, (SELECT count(*) FROM events) AS row_count, (SELECT max(ts) FROM events) AS freshness, f.*
+       FROM ({" UNION ALL ".join(field_sql(n, kind) for n, kind in EVENT_COLUMNS.items())}) f""",
 )
 def catalog_record(t):
-    """The record, its fields and null rates listed in the contract's order."""
+    """The record, with a row for each of its fields."""
     schema = [{"name": n, "type": kind, "pii": n == "user_id"} for n, kind in EVENT_COLUMNS.items()]
     contract = Contract.from_dict({"name": "events", "classification": "internal", "schema": schema})
     record = C.record_of(t.events, contract, "analytics", "core@example.com", "ts")
-    field = lambda f: F.concat_ws(":", f["name"], f["type"], f["pii"].cast("string"))
-    return record.select(
+    return record.withColumn("f", F.explode("schema.fields")).select(
         "id", "type", "namespace", "name", "owner", "classification", F.col("schema.format").alias("format"),
         F.col("quality.rowCount").alias("row_count"), F.col("quality.freshness").alias("freshness"),
-        F.transform("schema.fields", field).alias("fields"),
-        F.array(*[F.col("quality.nullRate")[n] for n in EVENT_COLUMNS]).alias("null_rates"),
+        F.col("f.name").alias("field"), F.col("f.type").alias("field_type"), F.col("f.pii").alias("pii"),
+        F.col("quality.nullRate")[F.col("f.name")].alias("null_rate"),
     )
