@@ -156,6 +156,20 @@ def test_lifecycle_state_is_dropped(spark, folder):
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 5  # values and timers of r3 and r4
 
 
+def test_lifecycle_runs_share_buckets(spark, folder):
+    """State and timers are by bucket, so Python is not called for each run; every run is still told by itself."""
+    opened = [step(f"r{i}", "START", i / 100) for i in range(300)]
+    untimed = [("r0", "ABORT", None, "job"), (None, "START", START, None)]
+    land(spark, folder, "in", opened + untimed, LINEAGE)
+    query, found = follow(spark, folder, buckets=4)
+    assert found == {f"r{i}": ("running", None) for i in range(300)} | {None: ("running", None)}
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+    land(spark, folder, "in", [step(f"r{i}", "COMPLETE", 50) for i in range(0, 300, 2)] + [step("last", "START", 100)], LINEAGE)
+    _, found = follow(spark, folder, buckets=4)
+    assert {found[f"r{i}"][0] for i in range(0, 300, 2)} == {"success"} and {found[f"r{i}"][0] for i in range(1, 300, 2)} == {"stale"}
+    assert found[None][0] == "stale" and found["last"][0] == "running" and len(found) == 302
+
+
 def test_lifecycle_reads_its_source_once(spark, folder):
     land(spark, folder, "in", [step("r1", "START", 0), step("r1", "ABORT", 1)], LINEAGE)
     query, _ = follow(spark, folder)

@@ -6,86 +6,101 @@ import threading
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from weirgate.functions.times import millis_between
 from weirgate.operators.lineage import END_STATUS
 
 REMEMBERED_ENDS = 1_000
-RUN_STATE = "start bigint, end bigint, status string, due bigint"
+RUN_BUCKETS = 1 << 10
+RUN_STATE = "run_id array<string>, job_name array<string>, start array<bigint>, end array<bigint>, status array<string>, due array<bigint>"
 RUN_UPDATE = "run_id string, job_name string, start_us bigint, end_us bigint, status string"
 ENDS = {event: i for i, event in enumerate(END_STATUS)}
 ENDED_AS = {status: event for event, status in END_STATUS.items()}
 
 
-class RunProcessor(StatefulProcessor):
-    """One run: its earliest start, its latest end, and an event-time timer (``due``), in one value of state."""
+def _step(run: tuple | None, event: str, at: int) -> tuple:
+    """A run (start, end, status, due) after one more event; earliest start, latest end."""
+    start, end, status, due = run or (None, None, None, None)
+    if event == "START":
+        return at if start is None else min(start, at), end, status, due
+    if end is None or (at, ENDS[event]) > (end, ENDS[ENDED_AS[status]]):
+        return start, at, END_STATUS[event], due
+    return run
 
-    def __init__(self, timeout_ms: int, keep_ms: int):
-        self.timeout_ms, self.keep_ms = timeout_ms, keep_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.run = handle.getValueState("run", RUN_STATE)
+def follow_runs(timeout_ms: int, keep_ms: int):
+    """The function that follows the runs of one bucket: each run's earliest start, latest end, status, and when its
+    status or its state is due to go; the bucket's timer is the earliest of these."""
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        start, end, status, due = before = tuple(self.run.get() or (None, None, None, None))
-        kind = ENDED_AS.get(status)
-        for row in rows:
-            event, at = row["event_type"], row["event_us"]
-            if event == "START":
-                start = at if start is None else min(start, at)
-            elif end is None or (at, ENDS[event]) > (end, ENDS[kind]):
-                end, kind = at, event
+    def timed(run: tuple) -> tuple:
+        start, end, status, due = run
         if end is not None:
-            status, due = END_STATUS[kind], end // 1000 + self.keep_ms
-        elif status != "stale":
-            status, due = "running", start // 1000 + self.timeout_ms + 1
-        if (start, end, status, due) == before:
-            return
-        if due != before[3]:
-            if before[3] is not None:
-                self.handle.deleteTimer(before[3])
-            self.handle.registerTimer(due)
-        self.run.update((start, end, status, due))
-        yield Row(run_id=key[0], job_name=key[1], start_us=start, end_us=end, status=status)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        start, end, status, due = self.run.get()
-        if status != "running":  # kept long enough after its end, or after it went stale
-            self.run.clear()
-            return
-        self.handle.registerTimer(due + self.keep_ms)
-        self.run.update((start, end, "stale", due + self.keep_ms))
-        yield Row(run_id=key[0], job_name=key[1], start_us=start, end_us=end, status="stale")
-
-    def close(self) -> None:
-        pass
-
-
-def lifecycle_stream(events: DataFrame, timeout_seconds: int = 3600, delay: str = "10 minutes", keep_seconds: int = 86_400) -> DataFrame:
+            return start, end, status, end // 1000 + keep_ms
+        return run if status == "stale" else (start, end, "running", start // 1000 + timeout_ms + 1)
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        runs = {(run, job): own for run, job, *own in zip(*state.get)} if state.exists else {}
+        before, told = {}, {}
+        for rows in batches:
+            columns = [rows[c].astype(object).where(rows[c].notna(), None) for c in ("run_id", "job_name", "event_type", "event_us")]
+            for run, job, event, at in zip(*columns):
+                name = (run, job)
+                before.setdefault(name, runs.get(name))
+                runs[name] = _step(runs.get(name), event, int(at))
+        for name, was in before.items():
+            runs[name] = now = timed(runs[name])
+            if was is None or now != tuple(was):
+                told[name] = now
+        watermark = state.getCurrentWatermarkMs()
+        for name in [name for name, run in runs.items() if run[3] < watermark]:
+            start, end, status, due = runs.pop(name)
+            if status == "running":  # otherwise kept long enough after its end, or after it went stale
+                runs[name] = stale = (start, end, "stale", due + keep_ms)
+                told[name] = stale
+        if runs:
+            state.update((*map(list, zip(*runs)), *map(list, zip(*runs.values()))))
+            state.setTimeoutTimestamp(max(min(run[3] for run in runs.values()), watermark + 1))
+        elif state.exists:
+            state.remove()
+        if told:
+            changes = [(*name, *run[:3]) for name, run in told.items()]
+            yield pd.DataFrame(changes, columns=["run_id", "job_name", "start_us", "end_us", "status"]).astype({"start_us": "Int64", "end_us": "Int64"})
+
+    return follow
+
+
+def lifecycle_stream(
+    events: DataFrame, timeout_seconds: int = 3600, delay: str = "10 minutes", keep_seconds: int = 86_400, buckets: int = RUN_BUCKETS
+) -> DataFrame:
     """Changes of runs from a stream of (run_id, event_type, event_time, job_name); the newest per run is its row.
 
     The columns are those of :func:`weirgate.operators.lineage.run_lifecycle`. A run is emitted when it opens, when
     it ends, and as stale when the watermark has passed its start by the timeout without an end. Its state goes
     ``keep_seconds`` after its end, or after it went stale; an end that comes before that still closes a stale
     run. The source is read once and its rows are kept in one state. Heartbeats never reach the shuffle, and
-    repeated events of a run change nothing. Events later than the watermark are dropped. Start it in update mode
-    in a session of :func:`weirgate.streaming.state.stateful_session`, for instance with ``save_updates``.
+    repeated events of a run change nothing. Events later than the watermark or without a time are dropped. Start it
+    in update mode in a session of :func:`weirgate.streaming.state.stateful_session`, for instance with ``save_updates``.
+
+    Runs are dealt by hash to ``buckets``, which share one value of state and one event-time timer each, so Python is
+    called once for a bucket and batch and not several times for a run. A checkpoint keeps the number it began with.
     """
     kind = events.schema["event_time"].dataType
     steps = (
-        events.filter(F.col("event_type").isin("START", *END_STATUS))
+        events.filter(F.col("event_type").isin("START", *END_STATUS) & F.col("event_time").isNotNull())
         .select("run_id", "job_name", "event_type", F.col("event_time").cast("timestamp").alias("event_time"))
         .withWatermark("event_time", delay)
         .withColumn("event_us", F.unix_micros("event_time"))
+        .withColumn("bucket", F.pmod(F.xxhash64("run_id", "job_name"), F.lit(buckets)))
     )
-    processor = RunProcessor(timeout_seconds * 1000, keep_seconds * 1000)
-    changes = steps.groupBy("run_id", "job_name").transformWithState(processor, RUN_UPDATE, "update", "EventTime")
+    follow = follow_runs(timeout_seconds * 1000, keep_seconds * 1000)
+    changes = steps.groupBy("bucket").applyInPandasWithState(follow, RUN_UPDATE, RUN_STATE, "update", GroupStateTimeout.EventTimeTimeout)
     start, end = (F.timestamp_micros(c).cast(kind) for c in ("start_us", "end_us"))
     timed = changes.select("run_id", "job_name", start.alias("start_time"), end.alias("end_time"), "status")
     return timed.withColumn("duration_ms", millis_between(F.col("start_time"), F.col("end_time")))
