@@ -124,3 +124,18 @@ def test_column_reference_splits_at_the_last_dot(spark, rows):
 def test_direction_is_checked(chain):
     with pytest.raises(ValueError):
         G.reach(chain[1], chain[0].select(F.col("id").alias("node")), "sideways")
+
+
+def test_search_does_not_broadcast_the_edges(spark, rows, monkeypatch):
+    """Only the first step of a job knows how small its frontier is; the steps after it must not fetch the edges."""
+    plans, add = [], G._Rounds.add
+
+    def spy(self, df, *rest):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return add(self, df, *rest)
+
+    monkeypatch.setattr(G._Rounds, "add", spy)
+    _, edges = tables(spark, [(f"n{i}", f"n{i + 1}") for i in range(6)], set())
+    start = spark.createDataFrame([("n0",)], "node string")
+    assert rows(G.reach(edges, start, "down")) == [(f"n{i}", i) for i in range(7)]
+    assert plans[1].count("SortMergeJoin [node") == 3  # two in the third step, one in the second

@@ -53,7 +53,8 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str, max_depth: int | N
     Cycles end by themselves: a node is followed only from the round that first finds it. ``seeds`` has one
     column, ``node``. A round is one job that goes ``HOPS`` steps ahead, so the nodes known already are read
     once for as many steps. A step's join is on the node, so a hub's edges are split by AQE, and the smallest
-    depth of a node combines before its shuffle.
+    depth of a node combines before its shuffle. After the first step the frontier's size is not known to the planner,
+    which would take the edges for the smaller side and send them all through the driver: these joins are sorted.
     """
     hops = written(_oriented(edges, direction), "hops")
     rounds, number, depth = _Rounds(edges.sparkSession, "reach", "node string, depth int"), 0, 0
@@ -63,7 +64,7 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str, max_depth: int | N
         steps = HOPS if max_depth is None else min(HOPS, max_depth - depth)
         reached = None
         for step in range(1, steps + 1):
-            ahead = hops.join(ahead, "node").select(F.col("next").alias("node")).distinct()
+            ahead = hops.join(ahead if step == 1 else ahead.hint("merge"), "node").select(F.col("next").alias("node")).distinct()
             there = ahead.withColumn("depth", F.lit(depth + step))
             reached = there if reached is None else reached.unionByName(there)
         nearest = reached.groupBy("node").agg(F.min("depth").alias("depth"))
