@@ -1,4 +1,5 @@
 import random
+import re
 from datetime import date, datetime
 from fractions import Fraction
 from pathlib import Path
@@ -193,6 +194,19 @@ def test_canonical_numbers_are_exact(spark):
             assert 2**52 <= abs(int(whole)) < 2**53
 
 
+def test_fingerprints_of_many_doubles_are_compiled(spark, capsys):
+    """Java interprets generated methods of more than 8,000 bytes, however many rows there are."""
+    table = spark.range(3).select(*[(F.col("id") * 0.1 * i).alias(f"x{i}") for i in range(1, 7)])
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        P.part_digests(table).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
 def test_fingerprints_of_nested_values(spark):
     def of(value):
         return P.table_fingerprint(spark.sql(f"SELECT {value} AS v"), "t").first()["fingerprint"]

@@ -23,6 +23,39 @@ PIECES = 3
 PIECE_BITS = 20
 
 
+def _exact(value: Column) -> Column:
+    """Exact text of a double. Each step is a function over a list of one, which keeps its text out of the generated code:
+    written out, a few such columns make a method so long that Java never compiles it and interprets it for every row."""
+    two = F.lit(2.0)
+
+    def power(x: Column) -> Column:
+        size = F.abs(x)
+        usual = F.when(F.isnan(x) | (size == float("inf")) | (x == 0), 1.0).otherwise(size)
+        return F.struct(x.alias("x"), usual.alias("size"), F.floor(F.log2(usual)).cast("int").alias("power"))
+
+    def scaled(s: Column) -> Column:
+        # in two steps, as the factor may be beyond the largest number
+        half = F.floor((F.lit(52) - s["power"]) / 2).cast("int")
+        whole = s["size"] * F.pow(two, half) * F.pow(two, F.lit(52) - s["power"] - half)
+        return F.struct(s["x"].alias("x"), s["power"].alias("power"), whole.alias("scaled"))
+
+    def stepped(s: Column) -> Column:
+        step = F.when(s["scaled"] >= float(1 << 53), 1).when(s["scaled"] < float(1 << 52), -1).otherwise(0)
+        return F.struct(s["x"].alias("x"), s["power"].alias("power"), s["scaled"].alias("scaled"), step.alias("step"))
+
+    def text(s: Column) -> Column:
+        x, sign = s["x"], F.when(s["x"] < 0, "-").otherwise("")
+        whole = (s["scaled"] / F.pow(two, s["step"])).cast("bigint").cast("string")
+        exact = F.concat(sign, whole, F.lit("p"), (s["power"] + s["step"] - 52).cast("string"))
+        special = F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.concat(sign, F.lit("inf"))).when(x == 0, "0")
+        return F.when(x.isNotNull(), special.otherwise(exact))
+
+    found = F.array(value)
+    for step in (power, scaled, stepped, text):
+        found = F.transform(found, step)
+    return found[0]
+
+
 def canonical(c: Column, kind: T.DataType) -> Column:
     """Text of a value that any engine can make, NULL for NULL.
 
@@ -32,18 +65,7 @@ def canonical(c: Column, kind: T.DataType) -> Column:
     of the key's text.
     """
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        x = c.cast("double")
-        size, power = F.abs(x), F.floor(F.log2(F.abs(x))).cast("int")
-        # in two steps, as the factor may be beyond the largest number
-        half = F.floor((F.lit(52) - power) / 2).cast("int")
-        two = F.lit(2.0)
-        scaled = size * F.pow(two, half) * F.pow(two, F.lit(52) - power - half)
-        step = F.when(scaled >= float(1 << 53), 1).when(scaled < float(1 << 52), -1).otherwise(0)
-        whole = (scaled / F.pow(two, step)).cast("bigint").cast("string")
-        sign = F.when(x < 0, "-").otherwise("")
-        exact = F.concat(sign, whole, F.lit("p"), (power + step - 52).cast("string"))
-        special = F.when(F.isnan(x), "nan").when(size == float("inf"), F.concat(sign, F.lit("inf"))).when(x == 0, "0")
-        return F.when(c.isNotNull(), special.otherwise(exact))
+        return _exact(c.cast("double"))
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return micros(c).cast("string")
     if isinstance(kind, T.DateType):
