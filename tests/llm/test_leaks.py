@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import docs, prose
@@ -60,3 +61,18 @@ def test_closest_windows_against_all_windows(n):
         assert distance[k] == min(found)[0]
         if distance[k] < n:
             assert (distance[k], first[k], count[k]) == min(found)
+
+
+def test_search_draws_its_walks_once(monkeypatch):
+    """The places of walks and samples depend on an item's size alone; drawing them for each batch took much of the time."""
+    item = " ".join(f"w{i}" for i in range(20))
+    texts = [item, f"before {item} after", " ".join(f"w{i}" for i in range(18)), f"x {item}"]
+    index = decontaminate.Index([7], [item], decontaminate.SHARE)
+
+    def found():
+        return sorted({m for w in decontaminate.word_slices(pa.array(texts), lower=True) for m in index.find(w)})
+
+    first = found()
+    assert set(first) == {(0, 7, 0, 0, 20), (1, 7, 0, 1, 20), (2, 7, 2, 0, 18), (3, 7, 0, 1, 20)}
+    monkeypatch.setattr(np.random, "default_rng", None)
+    assert found() == first

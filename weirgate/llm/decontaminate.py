@@ -22,13 +22,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirgate.llm.words import Words, mixed, run_of, word_slices
+from weirgate.llm.words import BASE, Words, run_of, word_slices
 
 SHARE = 0.15
 WALKS, TABLES, SAMPLED = 6, 8, 2
@@ -66,27 +67,36 @@ class _Size:
     tables: list[list[tuple[np.ndarray, np.ndarray]]]
 
 
+@lru_cache(64)
+def _steps(n: int) -> np.ndarray:
+    return np.random.default_rng(n).integers(0, 1 << 63, (3 * n, WALKS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+@lru_cache(1024)
+def _places(n: int, walk: int) -> np.ndarray:
+    return np.random.default_rng((n, walk, 1)).integers(0, n, (TABLES, SAMPLED))
+
+
 def walked(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """By walk, the embedding of each row of ``words``: three times as many places as a row has; 0 past its end."""
     n = words.shape[1]
-    steps = np.random.default_rng(n).integers(0, 1 << 63, (3 * n, WALKS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    at, rows = np.zeros((WALKS, len(words)), dtype=np.int64), np.arange(len(words))
-    padded = np.hstack([words, np.zeros((len(words), 1), np.uint64)])
+    steps = _steps(n)
+    padded = np.hstack([words, np.zeros((len(words), 1), np.uint64)]).ravel()
+    at = np.tile(np.arange(len(words)) * (n + 1), (WALKS, 1))
+    last = at + lengths
     out = np.empty((3 * n, WALKS, len(words)), dtype=np.uint64)
     for step in range(3 * n):
-        word = padded[rows, at]
+        word = padded.take(at)
         out[step] = word
-        at = np.minimum(at + ((word * steps[step]) >> np.uint64(63)).astype(np.int64), lengths)
+        at = np.minimum(at + ((word * steps[step]) >> np.uint64(63)).astype(np.int64), last)
     return out.transpose(1, 2, 0)
 
 
 def _keys(embedded: np.ndarray, walk: int) -> Iterator[np.ndarray]:
-    n = embedded.shape[1]
-    choose = np.random.default_rng((n, walk, 1))
-    for _ in range(TABLES):
-        key = np.zeros(len(embedded), dtype=np.uint64)
-        for place in choose.integers(0, n, SAMPLED):
-            key = mixed(key * np.uint64(31) + embedded[:, place])
+    for places in _places(embedded.shape[1], walk):
+        key = embedded[:, places[0]]
+        for place in places[1:]:
+            key = key * BASE + embedded[:, place]  # of words, which are hashes already
         yield key
 
 
@@ -123,28 +133,45 @@ class Index:
         pair = self.pairs.has(both)
         in_pairs = np.concatenate(([0], np.cumsum(pair, dtype=np.int32), np.zeros(1, np.int32)))
         in_pairs[-1] = in_pairs[-2]
-        start = np.arange(total)
+        left = stop - np.arange(total)
+        tails = np.flatnonzero(left < max(self.sizes))
         for n, size in self.sizes.items():
-            end = np.minimum(start + n, stop)
-            good = (in_words[end] - in_words[:-1] >= n - size.edits) & (in_pairs[np.maximum(end - 1, start)] - in_pairs[start] >= n - 1 - 2 * size.edits)
-            first = np.flatnonzero(good)
+            # whole windows by differences of neighbours, those that end with their text by place
+            whole = np.flatnonzero(in_pairs[n - 1 : total] - in_pairs[: max(total - n + 1, 0)] >= n - 1 - 2 * size.edits)
+            whole = whole[(left[whole] >= n) & (in_words[whole + n] - in_words[whole] >= n - size.edits)]
+            short = tails[(left[tails] < n) & (left[tails] >= n - size.edits)]
+            cut = stop[short]
+            short = short[(in_words[cut] - in_words[short] >= n - size.edits) & (in_pairs[np.maximum(cut - 1, short)] - in_pairs[short] >= n - 1 - 2 * size.edits)]
+            first = np.sort(np.concatenate((whole, short)))
+            end = np.minimum(first + n, stop[first])
             if len(first) and n > 1:
-                first = first[_pairs_within(both, first, end[first], size.pairs) >= n - 1 - 2 * size.edits]
+                near = _pairs_within(both, first, end, size.pairs) >= n - 1 - 2 * size.edits
+                first, end = first[near], end[near]
             for at in range(0, len(first), 1024):
-                yield from self._verify(words, text, first[at : at + 1024], end[first[at : at + 1024]], n, size)
+                yield from self._verify(words, text, first[at : at + 1024], end[at : at + 1024], n, size)
 
     def _verify(self, words: Words, text: np.ndarray, first: np.ndarray, end: np.ndarray, n: int, size: _Size) -> Iterator[tuple[int, int, int, int, int]]:
         lengths = end - first
-        found: set[tuple[int, int]] = set()
+        found, many = [], len(size.ids)
         for walk, embedded in enumerate(walked(_spans(words.hashes, first, lengths, n), lengths)):
+            agreed = []
             for key, (ordered, item) in zip(_keys(embedded, walk), size.tables[walk]):
-                low, high = np.searchsorted(ordered, key, "left"), np.searchsorted(ordered, key, "right")
-                for w in np.flatnonzero(high > low):
-                    found.update((int(w), int(item[k])) for k in range(low[w], high[w]))
+                low = np.searchsorted(ordered, key, "left")
+                hit = np.flatnonzero(ordered[np.minimum(low, many - 1)] == key)
+                if len(hit):
+                    low = low[hit]
+                    agree = np.searchsorted(ordered, key[hit], "right") - low
+                    if agree.max() > 1:
+                        ends = np.cumsum(agree)
+                        low = np.arange(ends[-1]) + np.repeat(low - ends + agree, agree)
+                        hit = np.repeat(hit, agree)
+                    agreed.append(hit * many + item[low])
+            if agreed:
+                found.append(np.unique(np.concatenate(agreed)))
         if found:
-            pairs = np.array(sorted(found))
+            pairs = np.unique(np.concatenate(found))
             for at in range(0, len(pairs), 8192):
-                w, i = pairs[at : at + 8192].T
+                w, i = np.divmod(pairs[at : at + 8192], many)
                 own = text[first[w]]
                 low = np.maximum(first[w] - size.edits, words.bounds[own])
                 room = np.minimum(first[w] + n + size.edits, words.bounds[own + 1]) - low
@@ -193,8 +220,10 @@ def closest_windows(a: np.ndarray, lengths: np.ndarray, b: np.ndarray) -> tuple[
     Returns its edit distance, its first word and its words; of several the first one, and then the shortest.
     """
     n = b.shape[1]
-    edit = a.shape[1] + 1  # a cost is edits * edit + the first word, so the least one has the first window
-    ramp = np.arange(n + 1) * edit
+    edit = a.shape[1] + 1
+    kind = np.int32 if 2 * (n + 2) * edit < 1 << 31 else np.int64
+    edit = kind(edit)  # a cost is edits * edit + the first word, so the least one has the first window
+    ramp = np.arange(n + 1, dtype=kind) * edit
     row = np.tile(ramp, (len(a), 1))
     best, stop = row[:, n].copy(), np.zeros(len(a), dtype=np.int64)
     for j in range(a.shape[1]):
