@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import docs, prose
+from weirgate.llm import jaccard
 from weirgate.llm.jaccard import jaccard_classes
 from weirgate.llm.neardup import near_duplicates
 from weirgate.llm.substring import anchor_plan, difference_cover, remove_repeats
@@ -82,6 +83,33 @@ def test_jaccard_edges(spark):
     assert jaccard_classes(docs(spark, [])).collect() == []
 
 
+def test_jaccard_long_texts_that_do_not_link_are_not_shipped(spark, monkeypatch):
+    """Texts of 2,100 shingles with 0.67 in common: a sketch of 1,024 bits can't tell them from those that link."""
+    shipped, stored = [], jaccard.stored
+
+    def counted(df, label):
+        out = stored(df, label)
+        if label == "pairs":
+            shipped.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", counted)
+    base = prose(1, 2104, 10**6)
+    cut = base.split()
+    texts = [base, *(" ".join([f"y{k}_{i}" if i < 420 else w for i, w in enumerate(cut)]) for k in range(6)), edited(base, 3, 5)]
+    got = [r["component_id"] for r in jaccard_classes(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [0, 1, 2, 3, 4, 5, 6, 0]
+    assert sum(shipped) == 1
+
+
+def test_jaccard_groups_out_of_reach_do_not_meet(spark):
+    """Sets of 400 that share 20 of 100 prefix shingles can't link, however many they are; with 60 of them two can."""
+    rows = [(t, g, g, 400, 80 + t) for g in range(300) for t in range(20)]
+    rows += [(100 + t, g, g, 400, 40 + t) for g in (1000, 1001) for t in range(60)]
+    lists = spark.createDataFrame(rows, "token long, g long, c long, n long, pos int")
+    assert [tuple(r) for r in jaccard._met(lists, 75).collect()] == [(1000, 1000, 1001, 1001)]
+
+
 def brute_repeats(rows, size):
     words = [(i, WORD.findall(t or "")) for i, t in rows]
     first = {}

@@ -11,25 +11,29 @@ A document's set holds the hashes of its distinct shingles. Two sets link when
 3. Star round: in each list of groups with one shingle and similar size, the center is the group that has the
    shingle earliest in its order, so with the fewest shingles of its own: the text that the others are edits of,
    where it is there. A group is compared with two centers at most. Verified links are made into classes.
-4. Cross round: groups that share a shingle are paired where their classes still differ, filtered by size,
-   position and sketch, expanded to members and verified. A sketch has 1,024 bits, each the parity of the number
-   of shingles that fall on it; two sketches differ in no more bits than their sets in shingles. Lists carry it folded to
-   256 bits, verification uses all of it. Pairs inside one class can't change the classes, so nothing is
-   lost, and a large group of near copies is never expanded into all pairs.
+4. Cross round: only shingles that groups of different classes have in their prefixes can be common to two classes.
+   So from the first shingle that two groups share, what a group can still have in common with the other one is the
+   shingles after its prefix and those of its prefix from there on that several classes have. That bounds the size
+   of its partner, its reach. Groups meet in bands of sizes within their reach: an edited copy with too many
+   shingles of its own meets nobody of its size, however many copies share the rest of its prefix. Groups that meet
+   are expanded to members and verified. Pairs inside one class can't change the classes, so nothing is lost,
+   and a large group of near copies is never expanded into all pairs.
 
 Verification drops pairs that their sketches rule out, computes the sets of the documents left from their texts and
-compares exact intersections in cells: one set and a bounded number of its partners.
+compares exact intersections in cells: one set and a bounded number of its partners. A sketch has 1,024 bits or as many
+as the set has shingles, a power of two, each the parity of the number of shingles that fall on it; two sketches
+differ in no more bits than their sets in shingles. The longer of two is folded by exclusive or.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirgate.llm.common import components, passing_tables, stored
@@ -42,7 +46,8 @@ CELL_SETS = 48
 CELL_SHINGLES = 1 << 17
 MOST_SHINGLES = 1 << 20
 SKETCH_LONGS = 16
-FOLDED_LONGS = 4
+BAND = 1.15
+MARKS = 1 << 24
 
 
 def _sets(words: Words, size: int) -> list[np.ndarray]:
@@ -77,7 +82,7 @@ def _count(size: int):
 
 def _sketch(shingles: np.ndarray) -> np.ndarray:
     """The parity bits of a set, as longs."""
-    width = 64 * SKETCH_LONGS
+    width = max(64 * SKETCH_LONGS, 1 << (len(shingles) - 1).bit_length()) if len(shingles) else 64 * SKETCH_LONGS
     odd = np.bincount((shingles % np.uint64(width)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(bool)).view(np.int64)
 
@@ -181,28 +186,41 @@ def _may_link(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) ->
     return (F.lit(100) * F.least(na, nb) >= F.lit(percent) * F.greatest(na, nb)) & (most >= needed)
 
 
-def _bits(longs: int) -> list[Column]:
-    """The sketch in ``longs`` longs: folded by exclusive or, it is the sketch of the set on so many bits."""
-    parts = [[F.col("sketch")[k] for k in range(i, SKETCH_LONGS, longs)] for i in range(longs)]
-    return [reduce(Column.bitwiseXOR, part).alias(f"bits{i}") for i, part in enumerate(parts)]
+def _sketches_allow(percent: int) -> Column:
+    """Whether sets ``a`` and ``b`` with these sketches can link; true where the one is over twice as long as the other."""
+    longs = F.least(F.size("sketcha"), F.size("sketchb"))
 
+    def folded(sketch: str) -> Column:
+        halves = F.zip_with(F.slice(sketch, 1, longs), F.slice(sketch, longs + 1, longs), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(sketch) == longs, F.col(sketch)).when(F.size(sketch) == 2 * longs, halves)
 
-def _sketches_allow(percent: int, longs: int) -> Column:
-    """Whether sets ``a`` and ``b`` with these sketches can link; true where a sketch is not known."""
-    differing = sum((F.bit_count(F.col(f"bits{i}a").bitwiseXOR(F.col(f"bits{i}b"))) for i in range(longs)), F.lit(0))
+    apart = F.zip_with(folded("sketcha"), folded("sketchb"), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
     size = F.col("na") + F.col("nb")
-    return F.coalesce(differing <= size - 2 * F.ceil(size * F.lit(percent) / F.lit(100 + percent)), F.lit(True))
+    most = size - 2 * F.ceil(size * F.lit(percent) / F.lit(100 + percent))
+    return F.coalesce(F.aggregate(apart, F.lit(0), lambda total, bits: total + bits) <= most, F.lit(True))
+
+
+def _marked(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose id is not in ``placed``, so that their texts are not shuffled: each id sets
+    one of ``MARKS`` bits, of which at most 2^18 longs are broadcast at any input size."""
+
+    def marked(df: DataFrame) -> DataFrame:
+        mark = F.pmod(F.xxhash64("id"), F.lit(MARKS))
+        return df.select(*df.columns, F.floor(mark / 64).cast("int").alias("word"), (mark % 64).cast("int").alias("bit"))
+
+    words = stored(marked(placed.select("id")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")), "marks")
+    return marked(rows).join(F.broadcast(words), "word").where("getbit(bits, bit) = 1").drop("word", "bit", "bits")
 
 
 def _links(rows: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (center, member: sets) that link, as ``(a, b)``. Sets are only shipped for pairs that their
     sketches allow."""
     centers, partners = (
-        sets.select("s", "n", *_bits(SKETCH_LONGS)).toDF(name, f"n{end}", *(f"bits{i}{end}" for i in range(SKETCH_LONGS)))
+        sets.select("s", "n", "sketch").toDF(name, f"n{end}", f"sketch{end}")
         for name, end in (("center", "a"), ("member", "b"))
     )
     met = stored(pairs.where("center <> member").distinct(), "met").join(centers, "center").join(partners, "member")
-    pairs = stored(met.where(_sketches_allow(percent, SKETCH_LONGS)).select("center", "member", F.col("nb").alias("n")), "pairs")
+    pairs = stored(met.where(_sketches_allow(percent)).select("center", "member", F.col("nb").alias("n")), "pairs")
     load = pairs.groupBy("center").agg(F.count("member").alias("m"), F.sum("n").alias("n"))
     blocks = stored(
         load.select("center", F.greatest(F.ceil(F.col("m") / CELL_SETS), F.ceil(F.col("n") / CELL_SHINGLES)).alias("blocks")), "blocks"
@@ -215,11 +233,35 @@ def _links(rows: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, percen
     )
     cells = members.unionByName(heads).groupBy("s").agg(F.collect_list(F.struct("center", "block", "member")).alias("cells"))
     placed = stored(stored(cells, "cells").join(sets.select("s", "id"), "s").select("id", "s", "cells"), "placed")
-    whole = rows.join(placed, "id").select("s", "cells", "text")
+    whole = _marked(rows, placed).join(placed, "id").select("s", "cells", "text")
     celled = whole.mapInArrow(_celled(size), "center long, block long, member long, shingles array<long>")
     return stored(celled.groupBy("center", "block").applyInArrow(_verified(percent), "a long, b long"), "links")
 
 
+def _met(shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs of groups and classes ``(ga, ca, gb, cb)`` of ``shared`` that may link: ``(token, g, c, n, pos)`` of each
+    prefix shingle that several classes have."""
+    later = Window.partitionBy("g", "c").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = F.ceil(F.col("n") * F.lit(percent) / F.lit(100)) - 1  # shingles after the prefix
+    left = after + F.count("token").over(later)
+    reach = F.floor(left * F.lit(100 + percent) / F.lit(percent)).cast("long") - F.col("n")
+    reached = shared.select("token", "g", "c", "n", reach.alias("reach"))
+
+    def band(size: Column) -> Column:
+        return F.floor(F.log(size.cast("double")) / F.lit(math.log(BAND))).cast("int")
+
+    least = F.ceil(F.col("n") * F.lit(percent) / F.lit(100))
+    small = reached.where("reach >= n").select("token", band(F.col("n")).alias("band"), *(F.col(k).alias(f"{k}a") for k in ("g", "c", "n", "reach")))
+    large = reached.where(F.col("reach") >= least).select(
+        "token",
+        F.explode(F.sequence(band(least), band(F.least("reach", "n")))).alias("band"),
+        *(F.col(k).alias(f"{k}b") for k in ("g", "c", "n", "reach")),
+    )
+    apart = F.when(F.col("na") == F.col("nb"), F.col("ca") < F.col("cb")).otherwise((F.col("na") < F.col("nb")) & (F.col("ca") != F.col("cb")))
+    fits = (F.lit(100) * F.col("na") >= F.lit(percent) * F.col("nb")) & (F.col("nb") <= F.col("reacha")) & (F.col("na") <= F.col("reachb"))
+    return small.join(large, ["token", "band"]).where(apart & fits).select("ga", "ca", "gb", "cb").distinct()
+
+
 def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: the key, ``n_shingles`` and ``component_id``, the smallest key reachable by links.
 
@@ -250,7 +292,7 @@ def _classes(docs: DataFrame, key: str, text: str, size: int, percent: int) -> t
     order = spark.sparkContext.broadcast(counts)
     profiles = stored(rows.mapInArrow(_profile(size, percent, order), "id long, n long, s long, g long, prefix array<long>, sketch array<long>"), "profiles")
     sets = stored(profiles.where("n > 0").groupBy("s").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("g").alias("g"), F.first("sketch").alias("sketch")), "sets")
-    groups = stored(sets.where("id is not null").groupBy("g").agg(F.min("s").alias("rep"), F.min("n").alias("n"), F.when(F.count("s") == 1, F.first("sketch")).alias("sketch")), "groups")
+    groups = stored(sets.where("id is not null").groupBy("g").agg(F.min("s").alias("rep")), "groups")
     reps = sets.join(groups.select(F.col("rep").alias("s")), "s").select("s", F.col("id").alias("least"))
     postings = (
         profiles.join(stored(reps, "reps"), "s")
@@ -282,17 +324,8 @@ def _classes(docs: DataFrame, key: str, text: str, size: int, percent: int) -> t
     )
     open_lists = stored(lists.join(units.select("g", "c").distinct(), "g"), "open")
     mixed_tokens = stored(open_lists.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("token"), "mixed")
-    bits = [f"bits{i}" for i in range(FOLDED_LONGS)]
-    sketched = groups.select("g", *_bits(FOLDED_LONGS))  # of groups of one set
-    crossing = stored(stored(open_lists.join(mixed_tokens, "token"), "mixed_lists").join(sketched, "g"), "crossing")
-    a, b = (crossing.select("token", *(F.col(x).alias(f"{x}{side}") for x in ("g", "c", "n", "pos", *bits))) for side in "ab")
-    near = _may_link(F.col("na"), F.col("posa"), F.col("nb"), F.col("posb"), percent)
-    # common prefix shingles all come before the last one, so what is left after it bounds the intersection
-    met = a.join(b, "token").where((F.col("ca") < F.col("cb")) & near & _sketches_allow(percent, FOLDED_LONGS)).groupBy("ga", "ca", "gb", "cb")
-    met = met.agg(F.count("token").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("posa").alias("posa"), F.max("posb").alias("posb"))
-    most = F.col("common") + F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) - 1
-    needed = F.ceil((F.col("na") + F.col("nb")) * F.lit(percent) / F.lit(100 + percent))
-    pairs = stored(met.where(most >= needed).select("ga", "ca", "gb", "cb"), "crosses")
+    crossing = stored(open_lists.join(mixed_tokens, "token"), "mixed_lists")
+    pairs = stored(_met(crossing, percent), "crosses")
     wide = (
         pairs.join(units.toDF("ga", "ca", "center"), ["ga", "ca"])
         .join(units.toDF("gb", "cb", "member"), ["gb", "cb"])
