@@ -1,5 +1,6 @@
 """URL filters, archives, the registered queries and the pipeline."""
 
+import ctypes
 import hashlib
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from check import compare, duck, rows_of
 from tests.llm.helpers import docs, prose
-from weirgate.llm import warc
+from weirgate.llm import common, warc
 from weirgate.llm.queries import ORACLE, QUERIES
 from weirgate.llm.urls import filter_urls, lookup_patterns
 
@@ -134,6 +135,19 @@ def test_languages_without_a_labelled_row(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.keep_languages(spark, rows, FOLDER).collect()) == [0, 3]
 
 
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="only glibc gives memory back on demand")
+def test_a_worker_gives_back_what_the_operator_before_held():
+    def own_mb():
+        with open("/proc/self/status") as lines:
+            return next(int(line.split()[1]) // 1024 for line in lines if line.startswith("RssAnon"))
+
+    common.held(("first",), lambda: [bytes(1000) for _ in range(200_000)])
+    above = [bytes(1000) for _ in range(1_000)]  # on top of the heap, which so can't shrink by itself
+    full = own_mb()
+    common.held(("second",), lambda: None)
+    assert own_mb() < full - 150 and above
+
+
 def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
     assert len(corpus_pipeline.STAGES) == 5

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import shutil
@@ -10,6 +11,7 @@ import tempfile
 import threading
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,11 +134,20 @@ def held(key: tuple, make):
     """
     if key not in _HELD:
         _HELD.clear()
-        gc.collect()
+        _give_back()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def _give_back() -> None:
+    """Give freed memory back to the system; the allocators of Arrow and C would keep it for this process."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)
+
+
 def label_split(doc_id: Column) -> Column:
     """0, 1 or 2 by the CRC-32 of the id as text; documents in part 1 are held out of every fit."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3
